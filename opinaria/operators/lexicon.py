@@ -228,8 +228,8 @@ def token_valences(df: DataFrame, lexicon: DataFrame, boosters: DataFrame, negat
     own_caps = F.when(is_upper(F.col("word")) & F.col("mixed_caps"),
                       F.when(F.col("measure") > 0, CAPS).otherwise(-CAPS)).otherwise(0.0)
     valence = _steps(F.col("measure") + own_caps, F.col)
-    return hits.select(id_col, "emphasis", "n_words", "contrast_at", F.col("at").alias("pos"), "word",
-                       F.when(F.col("at") >= 0, valence).alias("valence"))
+    hits = computed(hits, valence=F.when(F.col("at") >= 0, valence))
+    return hits.select(id_col, "emphasis", "n_words", "contrast_at", F.col("at").alias("pos"), "word", "valence")
 
 
 def scores(valences: DataFrame, id_col: str = "doc_id", rules: Rules = Rules()) -> DataFrame:

@@ -6,12 +6,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opinaria.functions.tokens import bucket
+from opinaria.session import spread
 
 WIDE = 1 << 32
 
 
+TEXT_TABLES = ("documents", "pages", "conversations", "embeddings")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    # Work on text and vectors is heavy per row; a single-split test file would keep one core busy.
+    return spread(df) if name in TEXT_TABLES else df
 
 
 def hashed(value: Column) -> Column:

@@ -95,3 +95,10 @@ def computed(df: DataFrame, **columns: Column) -> DataFrame:
     keep = [c for c in df.columns if c not in columns]
     cells = F.struct(*[value.alias(name) for name, value in columns.items()])
     return df.select(*keep, F.inline(F.array(cells)))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give every core a share when a small input arrives in fewer splits than there are cores.
+    Large inputs have more splits than cores and are returned unchanged, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
