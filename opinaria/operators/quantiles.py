@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from opinaria.session import fits_broadcast, lookup
+from opinaria.session import cut_lineage, fits_broadcast
 
 BUCKETS = 256
 
@@ -28,46 +28,43 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
     """Linearly interpolated quantiles per key as ``q0, q1, ...``.
 
     ``totals`` (keys and ``total``) gives the population size where ``df`` leaves out its zeros; values
-    are then taken to be non-negative and the missing rows to be zero. ``df`` is read three
-    times and should be a written table.
+    are then taken to be non-negative and the missing rows to be zero.
     """
     keys = list(keys)
-    hist = df.groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    per_key = df.groupBy(*keys).agg(_cuts(F.col(value), buckets).alias("_cuts"), F.count("*").alias("_m"))
-    if totals is None:
-        per_key = per_key.withColumn("total", F.col("_m"))
-    else:
-        per_key = per_key.join(totals, keys) if keys else per_key.withColumn("total", totals.select("total").scalar())
+    if not keys:
+        # One group: give it a key, so that the same joins serve both cases.
+        only = F.lit(0).alias("_all")
+        totals = None if totals is None else totals.select("total", only)
+        return exact_quantiles(df.select(value, only), ["_all"], value, probs, totals, buckets).drop("_all")
+    # Both are read several times below; the first holds distinct values, the second one row per key.
+    hist = cut_lineage(df.groupBy(*keys, value).agg(F.count("*").alias("_n")))
+    per_key = hist.groupBy(*keys).agg(_cuts(F.col(value), buckets).alias("_cuts"), F.sum("_n").alias("_m"))
+    per_key = per_key.withColumn("total", F.col("_m")) if totals is None else per_key.join(totals, keys)
     # Ranks on either side of each quantile, counted from the smallest listed value; a rank
     # below zero falls among the left-out zeros.
     ranks = []
     for i, p in enumerate(probs):
         place = (F.col("total") - 1) * p
-        low, high = F.floor(place), F.ceil(place)
-        ranks += [F.struct(F.lit(2 * i).alias("slot"), (low - (F.col("total") - F.col("_m"))).alias("rank"), (place - low).alias("frac")),
-                  F.struct(F.lit(2 * i + 1).alias("slot"), (high - (F.col("total") - F.col("_m"))).alias("rank"), (place - low).alias("frac"))]
-    per_key = per_key.withColumn("_ranks", F.array(*ranks))
-
-    def attach(rows: DataFrame, dim: DataFrame) -> DataFrame:
-        if not keys:
-            one = F.lit(0).alias("_one")
-            return lookup(rows.select("*", one), dim.select("*", one), "_one", "inner", bounded=True).drop("_one")
-        if fits_broadcast(dim):
-            return rows.join(F.broadcast(dim), keys)
-        return rows.join(dim, keys)
-
-    placed = attach(hist, per_key.select(*keys, "_cuts")).withColumn(
+        zeros = F.col("total") - F.col("_m")
+        for slot, at in ((2 * i, F.floor(place)), (2 * i + 1, F.ceil(place))):
+            ranks.append(F.struct(F.lit(slot).alias("slot"), (at - zeros).alias("rank"), (place - F.floor(place)).alias("frac")))
+    per_key = cut_lineage(per_key.withColumn("_ranks", F.array(*ranks)))
+    few = fits_broadcast(per_key)
+
+    def attach(rows: DataFrame, dim: DataFrame, on: list[str]) -> DataFrame:
+        return rows.join(F.broadcast(dim) if few else dim, on)
+
+    placed = attach(hist, per_key.select(*keys, "_cuts"), keys).withColumn(
         "_b", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
     sizes = placed.groupBy(*keys, "_b").agg(F.sum("_n").alias("_n"))
     upto = W.partitionBy(*keys).orderBy("_b")
     ends = sizes.withColumn("_end", F.sum("_n").over(upto)).withColumn("_start", F.col("_end") - F.col("_n")).drop("_n")
     wanted = per_key.select(*keys, F.inline("_ranks"))
     zero = wanted.filter("rank < 0").select(*keys, "slot", "frac", F.lit(0.0).alias("_v"))
-    inside = attach(ends, per_key.select(*keys, "_ranks")).select("*", F.inline("_ranks")) \
-        .filter((F.col("rank") >= F.col("_start")) & (F.col("rank") < F.col("_end"))).select(*keys, "_b", "_start", "slot", "rank", "frac")
+    inside = attach(ends, per_key.select(*keys, "_ranks"), keys).withColumn("_w", F.filter(
+        "_ranks", lambda r: (r["rank"] >= F.col("_start")) & (r["rank"] < F.col("_end")))).filter(F.size("_w") > 0)
     # Only buckets that hold a wanted rank are sorted.
-    grouped = inside.groupBy(*keys, "_b", "_start").agg(F.collect_list(F.struct("slot", "rank", "frac")).alias("_w"))
-    rows = placed.join(F.broadcast(grouped) if fits_broadcast(per_key) else grouped, [*keys, "_b"])
+    rows = attach(placed, inside.select(*keys, "_b", "_start", "_w"), [*keys, "_b"])
     running = F.sum("_n").over(W.partitionBy(*keys, "_b").orderBy(value))
     rows = rows.withColumn("_hi", F.col("_start") + running).select(*keys, F.col(value).alias("_v"), "_n", "_hi", F.inline("_w"))
     found = rows.filter((F.col("rank") < F.col("_hi")) & (F.col("rank") >= F.col("_hi") - F.col("_n"))) \
@@ -88,7 +85,8 @@ def running_sums(df: DataFrame, keys: Sequence[str], order: str, sums: Sequence[
     """Inclusive running sums ``cum_<name>`` per key in descending ``order``, and the next row's
     values as ``next_<name>``. ``order`` must be unique per key; ``df`` is read three times."""
     keys = list(keys)
-    cuts = df.agg(_cuts(F.col(order).cast("double"), buckets)).scalar()
+    # at most ``buckets`` numbers come to the driver
+    cuts = F.lit(df.agg(_cuts(F.col(order).cast("double"), buckets)).first()[0] or []).cast("array<double>")
     placed = df.withColumn("_b", F.size(F.filter(cuts, lambda c: c > F.col(order))))
     totals = placed.groupBy(*keys, "_b").agg(
         *[F.sum(s).alias(f"_t_{s}") for s in sums], F.max_by(F.struct(*sums), order).alias("_first"))

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from opinaria.functions.tokens import bucket, ngrams, skip_ngrams, vector_tokens
 from opinaria.operators.quantiles import exact_quantiles
-from opinaria.session import computed, lookup
+from opinaria.session import computed, cut_lineage, lookup
 
 
 @dataclass(frozen=True)
@@ -97,9 +97,8 @@ def term_scales(long: DataFrame, n_docs: Column, value: str = "value") -> DataFr
     A term in fewer than a quarter of the documents has both quartiles at zero, so only the few
     terms above that are put in order. ``long`` should be a written table.
     """
-    present = long.groupBy("term").agg(F.count("*").alias("_m"))
-    frequent = present.withColumn("total", n_docs.cast("bigint")).filter(
-        F.col("_m") > (F.col("total") - 1) * 0.25 - 1).select("term", "total")
+    present = cut_lineage(long.groupBy("term").agg(F.count("*").alias("_m")).withColumn("total", n_docs.cast("bigint")))
+    frequent = present.filter(F.col("_m") > (F.col("total") - 1) * 0.25 - 1).select("term", "total")
     rows = lookup(long.select("term", value), frequent.select("term"), "term", "left_semi")
     quartiles = exact_quantiles(rows, ["term"], value, (0.25, 0.75), totals=frequent)
     iqr = F.col("q1") - F.col("q0")
