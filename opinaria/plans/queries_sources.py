@@ -79,14 +79,14 @@ def _list(names: tuple[str, str, str]):
 @query("b2w_payloads", _sql_payload())
 def b2w_payloads(spark, sf_dir):
     items = _list(("Title", "ReviewText", "Rating"))
-    return J.parse_b2w(_payload(spark, sf_dir, lambda r: F.struct(items(r).alias("Results"), F.lit(2).alias("TotalResults")))).drop("source")
+    return J.parse_site(_payload(spark, sf_dir, lambda r: F.struct(items(r).alias("Results"), F.lit(2).alias("TotalResults"))), "b2w").drop("source")
 
 
 @query("extra_payloads", _sql_payload())
 def extra_payloads(spark, sf_dir):
     items = _list(("titulo", "descricao", "nota"))
-    return J.parse_extra(_payload(spark, sf_dir, lambda r: F.struct(F.struct(
-        F.lit(2).alias("quantidadeAvaliacoes"), items(r).alias("avaliacoes")).alias("avaliacao")))).drop("source")
+    return J.parse_site(_payload(spark, sf_dir, lambda r: F.struct(F.struct(
+        F.lit(2).alias("quantidadeAvaliacoes"), items(r).alias("avaliacoes")).alias("avaliacao"))), "extra").drop("source")
 
 
 @query("extra_payloads_without_count", f"WITH {REVIEWS} SELECT doc_id, title, text, rating FROM reviews WHERE doc_id % 2 = 0")
@@ -96,20 +96,20 @@ def extra_payloads_without_count(spark, sf_dir):
     item = F.struct(F.col("title").alias("titulo"), F.col("text").alias("descricao"), F.col("rating").alias("nota"))
     count = F.when(F.col("doc_id") % 2 == 0, 1)
     payload = F.to_json(F.struct(F.struct(count.alias("quantidadeAvaliacoes"), F.array(item).alias("avaliacoes")).alias("avaliacao")))
-    return J.parse_extra(rows.select("doc_id", payload.alias("payload"))).drop("source")
+    return J.parse_site(rows.select("doc_id", payload.alias("payload")), "extra").drop("source")
 
 
 @query("magalu_payloads", _sql_payload())
 def magalu_payloads(spark, sf_dir):
     items = _list(("title", "review_text", "rating"))
-    return J.parse_magalu(_payload(spark, sf_dir, lambda r: F.struct(F.struct(F.lit(1).alias("pages"), items(r).alias("objects")).alias("data")))).drop("source")
+    return J.parse_site(_payload(spark, sf_dir, lambda r: F.struct(F.struct(F.lit(1).alias("pages"), items(r).alias("objects")).alias("data"))), "magalu").drop("source")
 
 
 @query("reclame_aqui_payloads", _sql_payload())
 def reclame_aqui_payloads(spark, sf_dir):
     items = _list(("evaluation", "description", "score"))
-    return J.parse_reclame_aqui(_payload(spark, sf_dir, lambda r: F.struct(F.struct(F.struct(
-        items(r).alias("data")).alias("complains")).alias("complainResult")))).drop("source")
+    return J.parse_site(_payload(spark, sf_dir, lambda r: F.struct(F.struct(F.struct(
+        items(r).alias("data")).alias("complains")).alias("complainResult"))), "reclame_aqui").drop("source")
 
 
 def _zomato(spark, sf_dir) -> DataFrame:
@@ -125,7 +125,7 @@ def _zomato(spark, sf_dir) -> DataFrame:
 @query("zomato_payloads", f"""WITH {REVIEWS} SELECT doc_id, '' AS title, text, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE rating END AS rating
 FROM reviews WHERE doc_id % 7 <> 0 AND doc_id % 11 <> 0""")
 def zomato_payloads(spark, sf_dir):
-    return J.parse_zomato(_zomato(spark, sf_dir)).drop("source")
+    return J.parse_site(_zomato(spark, sf_dir), "zomato").drop("source")
 
 
 @query("all_payloads", f"""WITH {REVIEWS}, good AS (SELECT * FROM reviews WHERE doc_id % 7 <> 0 AND doc_id % 11 <> 0)
