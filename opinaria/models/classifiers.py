@@ -94,17 +94,15 @@ def _perceptron(n, d, hidden=100, max_iter=20, solver="l-bfgs", step=0.03):
     return MultilayerPerceptronClassifier(layers=[d, hidden, 2], maxIter=max_iter, solver=solver, stepSize=step, seed=0)
 
 
-def _base(n, d, kind):
-    if kind == "logistic":
-        return _logistic(n, d)
-    return _sgd(n, d) if kind == "linear" else None
+def _base(n, d, kind, max_iter=100):
+    return _logistic(n, d, max_iter=max_iter) if kind == "logistic" else _sgd(n, d, max_iter=max_iter)
 
 
-def _bagging(n, d, n_estimators=10, base="tree"):
+def _bagging(n, d, n_estimators=10, base="tree", max_iter=100):
     if base == "tree":
         return RandomForestClassifier(numTrees=n_estimators, featureSubsetStrategy="all", subsamplingRate=1.0,
                                       maxDepth=UNLIMITED_DEPTH, maxMemoryInMB=1024, seed=0)
-    return Bagging(_base(n, d, base), n_estimators)
+    return Bagging(_base(n, d, base, max_iter), n_estimators)
 
 
 def _adaboost(n, d, n_estimators=50, learning_rate=1.0, base="stump"):

@@ -136,7 +136,8 @@ def _features(spark, sf_dir, spec: V.Vectorizer):
 QUICK = {"RandomForestClassifier": {"n_estimators": 10, "max_depth": 5}, "GradientBoostingClassifier": {"n_estimators": 5},
          "XGBClassifier": {"n_estimators": 5}, "LGBMClassifier": {"n_estimators": 5, "max_depth": 5},
          "CatBoostClassifier": {"n_estimators": 5, "max_depth": 5}, "XGBRFClassifier": {"n_estimators": 10},
-         "DecisionTreeClassifier": {"max_depth": 5}, "AdaBoostClassifier": {"n_estimators": 3}, "BaggingClassifier": {"base": "linear", "n_estimators": 3},
+         "DecisionTreeClassifier": {"max_depth": 5}, "AdaBoostClassifier": {"n_estimators": 3}, "BaggingClassifier": {"base": "logistic", "n_estimators": 3, "max_iter": 20},
+         "LogisticRegression": {"max_iter": 30}, "SGDClassifier": {"max_iter": 20}, "LinearSVC": {"max_iter": 20},
          "MLPClassifier": {"hidden": 8, "max_iter": 10}, "KerasClassifier": {"epochs": 5}}
 SMALL = V.Vectorizer("Unigram", max_features=100)
 
@@ -165,7 +166,7 @@ def comparison_sweep(spark, sf_dir):
     for spec in (SMALL, V.Vectorizer("TF-IDF Unigram", tfidf=True, max_features=100)):
         _, train, test = _features(spark, sf_dir, spec)
         tables[spec.name], sizes[spec.name] = (train, test), len(train.select("features").first()["features"])
-    rows = S.results_frame(spark, S.compare(tables, [C.BY_NAME[n] for n in SWEEP], sizes))
+    rows = S.results_frame(spark, S.compare(tables, [C.BY_NAME[n] for n in SWEEP], sizes, QUICK))
     return rows.select("v_name", "c_name", "accuracy", "flag")
 
 
@@ -182,7 +183,7 @@ def vote_search(spark, sf_dir):
     _, train, test = _features(spark, sf_dir, SMALL)
     n, voters = train.count(), []
     for name in SWEEP:
-        estimator = C.BY_NAME[name].build(n, 100)
+        estimator = C.BY_NAME[name].build(n, 100, **QUICK.get(name, {}))
         voters.append((name, lambda e=estimator: e, estimator.fit(train)))
     best = S.best_vote(voters, train, test)
     return best["model"].transform(test).select("doc_id", F.lit(",".join(best["members"])).alias("members"), F.col("prediction").cast("int").alias("pred"))
@@ -199,7 +200,7 @@ def most_informative_terms(spark, sf_dir):
     train, test = train_test(spark, sf_dir)
     train = cut_lineage(train)
     model, a, _ = S.featurize(train, test, SMALL)
-    fitted = C.BY_NAME["LogisticRegression"].build(train.count(), 100).fit(a)
+    fitted = C.BY_NAME["LogisticRegression"].build(train.count(), 100, **QUICK["LogisticRegression"]).fit(a)
     vocab = spark.createDataFrame(list(enumerate(model.stages[1].vocabulary)), "idx int, term string")
     return S.most_informative(S.coefficients(fitted, vocab), labels=("other", "english"))
 
@@ -208,7 +209,7 @@ def most_informative_terms(spark, sf_dir):
 def one_vs_rest_curve(spark, sf_dir):
     from opinaria.operators.curves import roc_curve
     _, train, test = _features(spark, sf_dir, SMALL)
-    model = C.BY_NAME["LinearSVC"].build(train.count(), 100).fit(train)
+    model = C.BY_NAME["LinearSVC"].build(train.count(), 100, **QUICK["LinearSVC"]).fit(train)
     return roc_curve(S.one_vs_rest_scores(model.transform(test), "LinearSVC"))
 
 
@@ -230,7 +231,7 @@ def saved_scoring_model(spark, sf_dir):
         cleaner = ReviewCleaner("text", "clean", STOP_WORDS)
         cleaned = cut_lineage(cleaner.transform(train).drop("text"))
         model, a, _ = S.featurize(cleaned, cleaned, SMALL, text="clean")
-        return PipelineModel([cleaner, *model.stages, C.BY_NAME["LogisticRegression"].build(train.count(), 100).fit(a)])
+        return PipelineModel([cleaner, *model.stages, C.BY_NAME["LogisticRegression"].build(train.count(), 100, **QUICK["LogisticRegression"]).fit(a)])
 
     S.fit_or_load(spark, base, {"model": "LogisticRegression"}, train, fit)
     model = S.fit_or_load(spark, base, {"model": "LogisticRegression"}, train, fit)
