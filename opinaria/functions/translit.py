@@ -35,6 +35,8 @@ def _pairs(keep_case: bool) -> tuple[str, str]:
     """(from, to) strings for ``translate``: every Latin or full-width code point whose
     compatibility decomposition is one ASCII letter or digit plus marks."""
     blocks = [(0xAA, 0x24F), (0x1E00, 0x1EFF), (0xFF01, 0xFF5E)]
+    if not keep_case:
+        blocks.append((0x370, 0x4FF))  # accented Greek and Cyrillic, through their base letter
     source, target = [], []
     for low, high in blocks:
         for code in range(low, high + 1):
@@ -42,9 +44,12 @@ def _pairs(keep_case: bool) -> tuple[str, str]:
             if not keep_case and char != char.lower():
                 continue
             base = [c for c in unicodedata.normalize("NFKD", char) if not unicodedata.combining(c)]
-            if len(base) == 1 and base[0] != char and ord(base[0]) < 128:
+            if len(base) != 1 or base[0] == char:
+                continue
+            letter = base[0] if ord(base[0]) < 128 else None if keep_case else SINGLE.get(base[0])
+            if letter:
                 source.append(char)
-                target.append(base[0])
+                target.append(letter)
     return "".join(source), "".join(target)
 
 
@@ -58,10 +63,14 @@ def to_ascii(col: Column) -> Column:
     source, target = _pairs(False)
     extra = {k: v for k, v in SINGLE.items() if k not in source}
 
-    def fold(c: Column) -> Column:
-        out = F.translate(c, source + "".join(extra), target + "".join(extra.values()))
+    def spell_out(out: Column) -> Column:
         for char, spelling in MULTIPLE.items():
             out = F.replace(out, F.lit(char), F.lit(spelling))
+        return out
+
+    def fold(c: Column) -> Column:
+        out = F.translate(c, source + "".join(extra), target + "".join(extra.values()))
+        out = let(out, lambda o: F.when(o.rlike(f"[{''.join(MULTIPLE)}]"), spell_out(o)).otherwise(o))
         return F.regexp_replace(out, f"[^\\x00-\\x7F{_PUNCTUATION}]", "")
 
     return _if_not_ascii(col, fold)

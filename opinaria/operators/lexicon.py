@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from opinaria.functions.tokens import round_exact
 from opinaria.functions.translit import strip_accents_ascii
-from opinaria.session import computed, fits_broadcast, let, lookup
+from opinaria.session import computed, cut_lineage, fits_broadcast, let, lookup
 
 # The scorer's weights and the punctuation it strips from a word.
 CAPS = 0.733
@@ -32,8 +32,9 @@ CONTRAST = ("mas",)
 ALL_CONTRASTS = ("mas", "entretanto", "todavia", "porem", "porém")
 
 _ITEMS = "|".join(sorted(("".join("\\" + c for c in p) for p in PUNCTUATION), key=lambda p: -len(p)))
-_CORE = r"([^\p{Punct}\s]{2,})"
-STRIP_ONE = f"^(?:(?:{_ITEMS}){_CORE}|{_CORE}(?:{_ITEMS}))$"
+# Possessive core and look-aheads: a plain word is rejected without backtracking.
+_CORE = r"([^\p{Punct}\s]{2,}+)"
+STRIP_ONE = rf"^(?:(?=\p{{Punct}})(?:{_ITEMS}){_CORE}|{_CORE}(?=\p{{Punct}})(?:{_ITEMS}))$"
 
 
 @dataclass(frozen=True)
@@ -93,28 +94,19 @@ def replace_emoji(df: DataFrame, emoji: DataFrame, id_col: str = "doc_id", text:
         lambda t: t["word"]), " ").alias(text))
 
 
-def _neighbourhood(words: Column) -> Column:
-    """One struct per word with its position and the three words before it, all lower-cased, and
-    first of all a mark (position -1) that keeps wordless documents in the result."""
+def _neighbourhood(words: Column, lowered: Column, upper: Column) -> Column:
+    """One struct per word with the three words before it, lower-cased, and whether those are upper
+    case; first of all a mark that keeps wordless documents in the result. The neighbours
+    are the same arrays zipped with a shift, so no word is looked up or folded again."""
+    no_word, no_flag = F.lit(None).cast("string"), F.lit(None).cast("boolean")
 
-    def at(w: Column, i: Column) -> Column:
-        return F.lower(F.when(i >= 0, F.get(w, i)))
+    def shifted(values: Column, none: Column, by: int) -> Column:
+        return F.concat(F.array(*[none] * by), values)
 
-    def build(w: Column) -> Column:
-        structs = F.transform(w, lambda x, i: F.struct(
-            i.alias("pos"), x.alias("word"), F.lower(x).alias("key"),
-            at(w, i - 1).alias("k1"), at(w, i - 2).alias("k2"), at(w, i - 3).alias("k3"),
-            is_upper(F.get(w, F.greatest(i - 1, F.lit(0)))).alias("u1"),
-            is_upper(F.get(w, F.greatest(i - 2, F.lit(0)))).alias("u2"),
-            is_upper(F.get(w, F.greatest(i - 3, F.lit(0)))).alias("u3")))
-        none = F.lit(None)
-        mark = F.struct(F.lit(-1).alias("pos"), none.cast("string").alias("word"), none.cast("string").alias("key"),
-                        none.cast("string").alias("k1"), none.cast("string").alias("k2"),
-                        none.cast("string").alias("k3"), none.cast("boolean").alias("u1"),
-                        none.cast("boolean").alias("u2"), none.cast("boolean").alias("u3"))
-        return F.concat(F.array(mark), structs)
-
-    return let(words, build)
+    zipped = F.arrays_zip(shifted(words, no_word, 1).alias("word"), shifted(lowered, no_word, 1).alias("key"),
+                          *[shifted(lowered, no_word, d + 1).alias(f"k{d}") for d in (1, 2, 3)],
+                          *[shifted(upper, no_flag, d + 1).alias(f"u{d}") for d in (1, 2, 3)])
+    return F.slice(zipped, F.lit(1), F.size(words) + 1)
 
 
 def _steps(valence: Column, row) -> Column:
@@ -158,19 +150,19 @@ def contrast_plain(pos: Column, valence: Column, at: Column) -> Column:
     return F.when(pos < at, valence * 0.5).when(pos > at, valence * 1.5).otherwise(valence)
 
 
-def contrast_by_value(values: Column, at: Column) -> Column:
-    """Fold over the positioned valences: each step scales the first entry equal to the entry it
-    stands on, so equal values are scaled at the first of them."""
+def contrast_by_value(values: Column, positions: Column, at: Column) -> Column:
+    """Fold over the valences in text order: each step scales the first entry equal to the entry it
+    stands on, so equal values are scaled at the first of them. A step copies the array in bulk."""
+    factors = F.transform(positions, lambda p: contrast_plain(p, F.lit(1.0), at))
 
-    def step(state: Column, i: Column) -> Column:
-        def rescale(first: Column) -> Column:
-            return F.transform(state, lambda x, j: F.when(
-                j == first, F.struct(x["pos"].alias("pos"), contrast_plain(x["pos"], x["v"], at).alias("v"))).otherwise(x))
-        first = F.array_position(F.transform(state, lambda x: x["v"]), F.get(state, i)["v"]) - 1
-        return let(first, lambda f: rescale(f.cast("int")))
+    def fold(f: Column) -> Column:
+        def step(state: Column, i: Column) -> Column:
+            first = F.array_position(state, F.get(state, i)).cast("int")
+            return let(first, lambda j: F.concat(F.slice(state, F.lit(1), j - 1), F.array(F.get(state, j - 1) * F.get(f, j - 1)),
+                                                 F.slice(state, j + 1, F.size(state))))
+        return F.aggregate(F.sequence(F.lit(0), F.size(values) - 1), values, step)
 
-    return F.when(F.size(values) == 0, values).otherwise(
-        F.aggregate(F.sequence(F.lit(0), F.size(values) - 1), values, step))
+    return F.when(F.size(values) == 0, values).otherwise(let(factors, fold))
 
 
 def token_valences(df: DataFrame, lexicon: DataFrame, boosters: DataFrame, negations: DataFrame,
@@ -186,16 +178,18 @@ def token_valences(df: DataFrame, lexicon: DataFrame, boosters: DataFrame, negat
         docs = replace_emoji(docs, emoji, id_col, "_text")
 
     docs = computed(docs, _words=tokens(F.col("_text")), emphasis=punctuation_emphasis(F.col("_text"))).drop("_text")
-    docs = computed(docs, _lower=F.transform("_words", lambda w: F.lower(w)))
-    lowered = F.col("_lower")
+    docs = computed(docs, _lower=F.transform("_words", lambda w: F.lower(w)), _upper=F.transform("_words", is_upper))
+    n_upper = F.size(F.filter("_upper", lambda u: u))
     # the first listed contrast word that occurs decides; its first position counts
-    at = F.coalesce(*[F.nullif(F.array_position(lowered, F.lit(c)), F.lit(0)) for c in rules.contrast]) \
+    at = F.coalesce(*[F.nullif(F.array_position("_lower", F.lit(c)), F.lit(0)) for c in rules.contrast]) \
         if rules.contrast else F.lit(None).cast("bigint")
-    docs = computed(docs, n_words=F.size("_words"), mixed_caps=partly_upper(F.col("_words")),
-                    contrast_at=(at - 1).cast("int"), _w=_neighbourhood(F.col("_words")))
-    rows = docs.select(id_col, "emphasis", "n_words", "mixed_caps", "contrast_at", F.inline("_w"))
+    docs = computed(docs, n_words=F.size("_words"), mixed_caps=(n_upper > 0) & (n_upper < F.size("_words")),
+                    contrast_at=(at - 1).cast("int"), _w=_neighbourhood(F.col("_words"), F.col("_lower"), F.col("_upper")))
+    rows = docs.select(id_col, "emphasis", "n_words", "mixed_caps", "contrast_at", F.posexplode("_w").alias("pos", "_n")) \
+        .select(id_col, "emphasis", "n_words", "mixed_caps", "contrast_at", (F.col("pos") - 1).alias("pos"), "_n.*")
 
-    table = word_table(lexicon, boosters, negations)
+    # written once, read by four joins
+    table = cut_lineage(word_table(lexicon, boosters, negations))
     small = fits_broadcast(table)
     hits = lookup(rows, table.select("key", "measure", "boost"), "key", salt=F.col(id_col), bounded=small)
     hits = hits.filter((F.col("pos") < 0) | (F.col("measure").isNotNull() & F.col("boost").isNull())).drop("boost")
@@ -242,8 +236,8 @@ def scores(valences: DataFrame, id_col: str = "doc_id", rules: Rules = Rules())
         plain = [F.sum(F.when(F.col("contrast_at").isNull(), v)).alias("s0"),
                  *[F.sum(F.when(F.col("contrast_at").isNull(), x)).alias(n) for n, x in _parts(v).items()]]
         grouped = valences.groupBy(id_col, *doc).agg(F.array_sort(hits).alias("_h"), *plain)
-        folded = grouped.withColumn("_f", F.transform(
-            contrast_by_value(F.col("_h"), F.col("contrast_at")), lambda x: x["v"]))
+        lists = computed(grouped, _v=F.transform("_h", lambda x: x["v"]), _p=F.transform("_h", lambda x: x["pos"]))
+        folded = computed(lists, _f=contrast_by_value(F.col("_v"), F.col("_p"), F.col("contrast_at")))
 
         def total(part) -> Column:
             return F.aggregate("_f", F.lit(0.0), lambda a, x: a + part(x))

@@ -9,11 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opinaria.functions.tokens import merge_title
+from opinaria.functions.tokens import merge_title, sentiment_label
 from opinaria.operators import lexicon as L
+from opinaria.operators.stats import bigrams_of
 from opinaria.plans.registry import query
 from opinaria.plans.views import REVIEWS, TEN_POINT, hashed, reviews, sql_hashed, sql_sentiment
-from opinaria.functions.tokens import sentiment_label
 from opinaria.session import computed, cut_lineage
 
 CONTRAST = ("and", "und", "et", "que")
@@ -34,9 +34,8 @@ def word_lists(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     lexicon = words.filter((F.col("h") % 3 == 0) & (measure != 0)).select(F.col("k").alias("word"), measure.alias("measure"))
     single = words.filter((F.col("h") % 29).isin(1, 2)).select(
         F.col("k").alias("phrase"), F.when(F.col("h") % 29 == 1, 0.293).otherwise(-0.293).alias("boost"))
-    pairs = computed(toks, _p=F.when(F.size("_w") > 1, F.transform(
-        F.sequence(F.lit(0), F.size("_w") - 2), lambda i: F.concat_ws(" ", F.get("_w", i), F.get("_w", i + 1)))))
-    phrases = pairs.select(F.explode("_p").alias("phrase")).groupBy("phrase").agg(F.count("*").alias("n")).filter("n >= 10")
+    pairs = computed(toks, _p=bigrams_of(F.col("_w"))).select(F.inline("_p"))
+    phrases = pairs.groupBy("w1", "w2").agg(F.count("*").alias("n")).filter("n >= 10").select(F.concat_ws(" ", "w1", "w2").alias("phrase"))
     phrases = phrases.withColumn("h", hashed(F.col("phrase"))).filter("h % 4 < 2").select(
         "phrase", F.when(F.col("h") % 4 == 0, 0.293).otherwise(-0.293).alias("boost"))
     negations = words.filter(F.col("h") % 29 == 3).select(F.col("k").alias("phrase"))
