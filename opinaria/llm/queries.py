@@ -29,3 +29,36 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from opinaria.llm.packing import pack
 
     return pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+@query
+def op6_positional_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from opinaria.llm.decontaminate import benchmark_matches, hit_words
+
+    found = benchmark_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", hit_words().alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"))
+
+
+ORACLES["op6_positional_decontamination"] = r"""
+WITH tokens AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS words FROM documents),
+item_tokens AS (
+  SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS words FROM benchmark),
+windows AS (
+  SELECT DISTINCT item_id, array_to_string(words[s : s + 9], ' ') AS win, least(len(words), 10) AS width
+  FROM (SELECT item_id, words, unnest(range(1, greatest(len(words) - 9, 1) + 1)) AS s FROM item_tokens WHERE len(words) > 0)),
+widths AS (SELECT DISTINCT width FROM windows),
+grams AS (
+  SELECT doc_id, s, width, array_to_string(words[s : s + width - 1], ' ') AS win
+  FROM (SELECT doc_id, words, width, unnest(range(1, len(words) - width + 2)) AS s FROM tokens, widths)),
+hits AS (SELECT doc_id, s, g.width, item_id FROM grams g JOIN windows w ON g.win = w.win AND g.width = w.width),
+places AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + width)) AS p FROM hits) GROUP BY 1),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS list
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY 1)
+SELECT t.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(list, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM tokens t LEFT JOIN places USING (doc_id) LEFT JOIN items USING (doc_id)
+"""

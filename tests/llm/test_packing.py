@@ -63,8 +63,8 @@ def test_packing_is_complete_and_tight(spark, tokenizer, capacity, parts):
 
 def test_tree_merges_underfull_bins(spark, tokenizer):
     docs = spark.range(0, 40, 1, 20).select(F.col("id").alias("doc_id"), F.lit("word " * 9).alias("text"))
-    rows = pack(docs, tokenizer_path(), capacity=100, fan_in=2).collect()
-    assert check(rows, {k: "word " * 9 for k in range(40)}, tokenizer, 100) == 4
+    rows = pack(docs, tokenizer_path(), capacity=80, fan_in=2).collect()
+    assert check(rows, {k: "word " * 9 for k in range(40)}, tokenizer, 80) == 5
 
 
 def test_nulls_repeats_and_empty_table(spark):
