@@ -62,3 +62,11 @@ SELECT t.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0)
   sha256(coalesce(list, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM tokens t LEFT JOIN places USING (doc_id) LEFT JOIN items USING (doc_id)
 """
+
+
+@query
+def op1_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from opinaria.llm.simhash import near_duplicates
+
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
