@@ -25,18 +25,18 @@ def crc_remainder(column: str, modulus: int) -> Column:
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(modulus))
 
 
-def join_hot(stream: DataFrame, dim: DataFrame, on: str, how: str = "left") -> DataFrame:
+def join_hot(stream: DataFrame, dim: DataFrame, on: str, how: str = "left", hot: DataFrame | None = None) -> DataFrame:
     """Join ``dim`` (unique on ``on``) to a stream some of whose keys may hold a large share of the rows.
 
     A small ``dim`` is broadcast after a count. Otherwise the keys that hold over 1/1000 of the stream,
     at most a thousand of them by arithmetic, are looked up in a broadcast table and only the rest is
-    shuffled. No row is dropped. ``stream`` is read up to four times, so it should be a written table.
+    shuffled. No row is dropped. ``stream`` is read up to four times, so it should be a written table; ``hot``
+    passes the hot keys on (one column, a proven bound) when the caller has counted them already.
     """
     if fits_broadcast(dim):
         return stream.join(F.broadcast(dim), on, how)
-    total = stream.count()
-    hot = cut_lineage(stream.where(F.col(on).isNotNull()).groupBy(on).count()
-                      .where(F.col("count") * HOT_SHARE > total).select(on))
+    if hot is None:
+        hot = hot_keys(stream.where(F.col(on).isNotNull()).groupBy(on).count(), on, "count", stream.count())
     hot_dim = F.broadcast(dim.join(F.broadcast(hot), on, "left_semi"))
     flagged = stream.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), on, "left")
     head = flagged.where("_hot").drop("_hot").join(hot_dim, on, how)
@@ -44,6 +44,11 @@ def join_hot(stream: DataFrame, dim: DataFrame, on: str, how: str = "left") -> D
     return head.unionByName(tail)
 
 
+def hot_keys(counts: DataFrame, on: str, count: str, total: int) -> DataFrame:
+    """The keys with over 1/1000 of ``total`` rows, written down; fewer than a thousand."""
+    return cut_lineage(counts.where(F.col(count) * HOT_SHARE > total).select(on))
+
+
 def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     """Connected components of an undirected graph of edges (a, b): one row (node, root) per node.
 

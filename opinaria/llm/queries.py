@@ -70,3 +70,10 @@ def op1_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query
+def op8_gear_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from opinaria.llm.substrings import repeated_passages
+
+    return repeated_passages(table(spark, sf_dir, "documents"))
