@@ -212,6 +212,26 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, width: int = 10, wi
     return _over_blocks(source, parts)
 
 
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_words: int = 1_000_000,
+                         text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without any exact window of the benchmark; one pass over the shards per block, no shuffle."""
+    at, names = docs.columns.index(text_col), docs.columns
+
+    def keep(shared):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            windows = shared.value
+            for batch in batches:
+                texts = [words_of(t.encode() if t is not None else None) for t in batch.column(at).to_pylist()]
+                spans, _, _ = _matches(Shard(texts, windows.terms), windows, None)
+                yield pa.RecordBatch.from_arrays(batch.filter(pa.array([not s for s in spans], pa.bool_())).columns, names=names)
+
+        return run
+
+    for block in _blocks(benchmark, item_col, item_text_col, block_words):
+        docs = docs.mapInArrow(keep(docs.sparkSession.sparkContext.broadcast(Windows(block, width))), docs.schema)
+    return docs
+
+
 def _over_blocks(source: DataFrame, parts: list[DataFrame]) -> DataFrame:
     """Rows of several benchmark blocks; repeated document rows stay apart by an ordinal."""
     every = parts[0]

@@ -77,3 +77,15 @@ def op8_gear_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from opinaria.llm.substrings import repeated_passages
 
     return repeated_passages(table(spark, sf_dir, "documents"))
+
+
+TOXICITY_CHAIN = ["quality", "toxic"]
+
+
+@query
+def op7_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from opinaria.llm.toxicity import score, train
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    chain = train(docs, table(spark, sf_dir, "labels"), TOXICITY_CHAIN)
+    return score(docs, chain).drop("text")
