@@ -89,3 +89,27 @@ def op7_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     chain = train(docs, table(spark, sf_dir, "labels"), TOXICITY_CHAIN)
     return score(docs, chain).drop("text")
+
+
+@query
+def op4_redirect_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from opinaria.llm.url_rules import judge
+
+    return judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+# Pages without a canonical or refresh link have no alias, and then the rules alone decide; the tables given here hold no such link.
+ORACLES["op4_redirect_equivalence"] = r"""
+WITH parts AS (
+  SELECT page_id, html,
+    translate(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(coalesce(url, ''), '^.*?://[^/?#]*([^?#]*)', 1, 's') AS path
+  FROM pages),
+rules(rule, name, prefix, verdict) AS (VALUES ('net/', 'net', '/', 'block'), ('example.net/en/', 'example.net', '/en/', 'allow'),
+  ('example.com/de/', 'example.com', '/de/', 'block'), ('org/fr/', 'org', '/fr/', 'allow')),
+fitting AS (
+  SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict
+  FROM parts JOIN rules ON (host = name OR ends_with(host, '.' || name)) AND starts_with(path, prefix) GROUP BY page_id)
+SELECT p.page_id, host, path, rule, coalesce(verdict, CASE WHEN regexp_matches(html, '(?i)rel=.?canonical|http-equiv=.?refresh') THEN 'unknown' ELSE 'allow' END) AS verdict
+FROM parts p LEFT JOIN fitting f ON p.page_id = f.page_id
+"""
