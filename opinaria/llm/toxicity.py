@@ -135,11 +135,22 @@ class Chain:
         return out
 
 
-def fit_chain(features: list[np.ndarray], labels: np.ndarray, fold: np.ndarray, categories: list[str], folds: int) -> Chain:
+def _numbered(features: list[np.ndarray], min_rows: int) -> tuple[np.ndarray, Rows]:
+    """Features that can occur in ``min_rows`` rows, and the rows by feature number; most features are rare, so those whose
+    22-bit bucket has too few rows are left out before anything is sorted."""
+    buckets = np.zeros(1 << 22, np.int32)
+    for x in features:
+        np.add.at(buckets, (x >> np.uint64(42)).astype(np.int32), 1)
+    frequent = buckets >= min_rows
+    features = [x[frequent[(x >> np.uint64(42)).astype(np.int32)]] for x in features]
+    row = np.repeat(np.arange(len(features), dtype=np.int32), [len(x) for x in features])
+    words, number = np.unique(np.concatenate(features) if features else np.zeros(0, np.uint64), return_inverse=True)
+    return words, Rows(row, number.astype(np.int32), len(features), len(words))
+
+
+def fit_chain(features: list[np.ndarray], labels: np.ndarray, fold: np.ndarray, categories: list[str], folds: int, min_rows: int = 5) -> Chain:
     """``labels`` (row, category) with nan where unknown; ``fold`` assigns rows to folds."""
-    flat = np.concatenate(features) if features else np.zeros(0, np.uint64)
-    words, number = np.unique(flat, return_inverse=True)
-    rows = Rows(np.repeat(np.arange(len(features)), [len(x) for x in features]), number, len(features), len(words))
+    words, rows = _numbered(features, min_rows)
     earlier = np.zeros((len(features), 0))
     models, thresholds = [], []
     for k in range(len(categories)):
@@ -148,17 +159,17 @@ def fit_chain(features: list[np.ndarray], labels: np.ndarray, fold: np.ndarray,
         out_of_fold = np.zeros(len(features))
         for part in range(folds):
             train = known & (fold != part)
-            model = fit_linear(rows.take(train), earlier[train], y[train])
+            model = fit_linear(rows.take(train), earlier[train], y[train], min_rows=min_rows)
             test = fold == part
             out_of_fold[test] = model.predict(rows.take(test), earlier[test])
-        models.append(fit_linear(rows.take(known), earlier[known], y[known]))
+        models.append(fit_linear(rows.take(known), earlier[known], y[known], min_rows=min_rows))
         thresholds.append(best_threshold(y[known], out_of_fold[known]))
         earlier = np.column_stack([earlier, out_of_fold])
     used = np.any([m.weights != 0 for m in models], axis=0) if models else np.zeros(0, bool)
     return Chain(categories, words[used], [Linear(m.weights[used], m.chained, m.bias) for m in models], thresholds)
 
 
-def train(docs: DataFrame, labels: DataFrame, categories: list[str], max_rows: int = 20_000, folds: int = 5,
+def train(docs: DataFrame, labels: DataFrame, categories: list[str], max_rows: int = 10_000, folds: int = 5,
           id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id") -> Chain:
     """Fit the chain on at most ``max_rows`` labelled documents, those with the smallest hashes of their id.
 
