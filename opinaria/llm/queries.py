@@ -139,3 +139,21 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   CAST(sum(24 + length(role) + length(regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g'))) AS BIGINT) AS formatted_chars
 FROM turns GROUP BY conv_id
 """
+
+
+@query
+def op5_multiprobe_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from opinaria.llm.neighbours import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), "vec_id % 100 = 0")
+
+
+@query
+def op3_byte_cnn_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from opinaria.llm.common import crc_remainder
+    from opinaria.llm.language_cnn import predict, train
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = train(docs, crc_remainder("doc_id", 4) != 2)
+    held_out = F.coalesce(crc_remainder("doc_id", 4) == 2, F.lit(False)).alias("held_out")
+    return predict(docs.select("doc_id", held_out, "text"), model).select("doc_id", "held_out", "lang_pred", "score")
