@@ -157,3 +157,13 @@ def op3_byte_cnn_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = train(docs, crc_remainder("doc_id", 4) != 2)
     held_out = F.coalesce(crc_remainder("doc_id", 4) == 2, F.lit(False)).alias("held_out")
     return predict(docs.select("doc_id", held_out, "text"), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query
+def op10_gru_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from opinaria.llm.common import crc_remainder
+    from opinaria.llm.gru_lm import score_documents
+
+    held_out = F.coalesce(crc_remainder("doc_id", 7) == 2, F.lit(False))
+    found = score_documents(table(spark, sf_dir, "documents"), ~held_out)
+    return found.select("doc_id", (~F.col("learnt")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
