@@ -31,28 +31,38 @@ _PUNCTUATION = "\\x{A0}-\\x{BF}\\x{D7}\\x{F7}\\x{2000}-\\x{206F}\\x{20A0}-\\x{20
 
 
 @lru_cache(maxsize=None)
-def _pairs(keep_case: bool) -> tuple[str, str]:
-    """(from, to) strings for ``translate``: every Latin or full-width code point whose
-    compatibility decomposition is one ASCII letter or digit plus marks."""
-    blocks = [(0xAA, 0x24F), (0x1E00, 0x1EFF), (0xFF01, 0xFF5E)]
-    if not keep_case:
-        blocks.append((0x370, 0x4FF))  # accented Greek and Cyrillic, through their base letter
+def _pairs() -> tuple[str, str]:
+    """(from, to) strings for ``translate``: every lower-case Latin, Greek, Cyrillic or full-width code point whose
+    compatibility decomposition is one letter with an ASCII spelling plus marks."""
     source, target = [], []
-    for low, high in blocks:
+    for low, high in [(0xAA, 0x24F), (0x1E00, 0x1EFF), (0xFF01, 0xFF5E), (0x370, 0x4FF)]:
         for code in range(low, high + 1):
             char = chr(code)
-            if not keep_case and char != char.lower():
+            if char != char.lower():
                 continue
             base = [c for c in unicodedata.normalize("NFKD", char) if not unicodedata.combining(c)]
             if len(base) != 1 or base[0] == char:
                 continue
-            letter = base[0] if ord(base[0]) < 128 else None if keep_case else SINGLE.get(base[0])
+            letter = base[0] if ord(base[0]) < 128 else SINGLE.get(base[0])
             if letter:
                 source.append(char)
                 target.append(letter)
     return "".join(source), "".join(target)
 
 
+@lru_cache(maxsize=None)
+def _decompositions() -> tuple[dict[str, str], dict[str, str]]:
+    """The ASCII signs in the compatibility decomposition of every other code point: those with one sign (accents, NBSP and other
+    spaces, mathematical letters) and those with several (ligatures, the ellipsis, the trade mark)."""
+    one, several = {}, {}
+    for code in (*range(0x80, 0xD800), *range(0xE000, 0x20000)):
+        char = chr(code)
+        signs = "".join(c for c in unicodedata.normalize("NFKD", char) if ord(c) < 128)
+        if signs:
+            (one if len(signs) == 1 else several)[char] = signs
+    return one, several
+
+
 def _if_not_ascii(col: Column, body) -> Column:
     """Plain ASCII text, the common case, skips the character-wise work."""
     return let(col, lambda c: F.when(c.rlike("[^\\x00-\\x7F]"), body(c)).otherwise(c))
@@ -60,7 +70,7 @@ def _if_not_ascii(col: Column, body) -> Column:
 
 def to_ascii(col: Column) -> Column:
     """ASCII spelling of lower-case text. Characters without one are dropped."""
-    source, target = _pairs(False)
+    source, target = _pairs()
     extra = {k: v for k, v in SINGLE.items() if k not in source}
 
     def spell_out(out: Column) -> Column:
@@ -77,6 +87,17 @@ def to_ascii(col: Column) -> Column:
 
 
 def strip_accents_ascii(col: Column) -> Column:
-    """Compatibility decomposition with everything non-ASCII dropped (``ß`` and emoji vanish)."""
-    source, target = _pairs(True)
-    return _if_not_ascii(col, lambda c: F.regexp_replace(F.translate(c, source, target), "[^\\x00-\\x7F]", ""))
+    """Compatibility decomposition with everything non-ASCII dropped (``ß`` and emoji vanish; NBSP is a space, ``…`` three dots)."""
+    one, several = _decompositions()
+    # One literal text, parsed once when the plan is made; the signs below cannot occur in it otherwise.
+    spelled = F.str_to_map(F.lit("\x01".join(f"{k}\x02{v}" for k, v in several.items())), F.lit("\x01"), F.lit("\x02"))
+    rare = "[" + "".join(several) + "]"
+
+    def spell_out(text: Column) -> Column:
+        return F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(spelled, c), c)), "")
+
+    def fold(text: Column) -> Column:
+        text = let(text, lambda t: F.when(t.rlike(rare), spell_out(t)).otherwise(t))
+        return F.regexp_replace(F.translate(text, "".join(one), "".join(one.values())), "[^\\x00-\\x7F]", "")
+
+    return _if_not_ascii(col, fold)

@@ -1,7 +1,8 @@
 """The compared classifiers as Spark ML estimators, with the parameter grids of the search.
 
 Penalties are stated per data set there and per row in Spark, hence the divisions by the row
-count. Boosted-tree and network libraries are represented by Spark's own trees and perceptron.
+count. Boosted-tree and network libraries are represented by Spark's own trees and perceptron, each with the
+rounds, step and depth that its library has by default; "no limit" of depth is Spark's own maximum of 30.
 """
 
 from __future__ import annotations
@@ -18,7 +19,16 @@ from pyspark.ml.regression import LinearRegression
 
 from opinaria.models.ensembles import AdaBoost, Bagging
 
-UNLIMITED_DEPTH = 30
+# Spark's trees stop at depth 30. "No limit" means that; a deeper request is an error.
+DEEPEST = 30
+
+
+def _depth(max_depth: int | None) -> int:
+    if max_depth is None or max_depth == -1:
+        return DEEPEST
+    if max_depth > DEEPEST:
+        raise ValueError(f"trees can be {DEEPEST} levels deep, not {max_depth}")
+    return max_depth
 
 
 @dataclass(frozen=True)
@@ -62,12 +72,12 @@ def _ridge(n, d, alpha=1.0):
 
 def _tree(n, d, criterion="gini", min_leaf=1, max_depth=None):
     return DecisionTreeClassifier(impurity=criterion, minInstancesPerNode=min_leaf,
-                                  maxDepth=max_depth or UNLIMITED_DEPTH, maxMemoryInMB=1024, seed=0)
+                                  maxDepth=_depth(max_depth), maxMemoryInMB=1024, seed=0)
 
 
 def _forest(n, d, n_estimators=100, criterion="gini", min_leaf=1, max_depth=None):
     return RandomForestClassifier(numTrees=n_estimators, impurity=criterion, minInstancesPerNode=min_leaf,
-                                  maxDepth=max_depth or UNLIMITED_DEPTH, maxMemoryInMB=1024, seed=0)
+                                  maxDepth=_depth(max_depth), maxMemoryInMB=1024, seed=0)
 
 
 def _forest_xgb(n, d, n_estimators=100, gamma=0.0, max_depth=5):
@@ -76,18 +86,29 @@ def _forest_xgb(n, d, n_estimators=100, gamma=0.0, max_depth=5):
 
 
 def _boosted(n, d, n_estimators=100, learning_rate=0.1, max_depth=3, gamma=0.0, min_leaf=1):
-    depth = UNLIMITED_DEPTH if max_depth == -1 else max_depth
-    return GBTClassifier(maxIter=n_estimators, stepSize=learning_rate, maxDepth=depth, minInfoGain=gamma,
+    return GBTClassifier(maxIter=n_estimators, stepSize=learning_rate, maxDepth=_depth(max_depth), minInfoGain=gamma,
                          minInstancesPerNode=min_leaf, seed=0)
 
 
+# Without smoothing an unseen term makes every class impossible; a smoothing of 0 means this.
+LEAST_SMOOTHING = 1e-10
+
+
+def _boosted_as(n_estimators, learning_rate, max_depth):
+    """Spark's boosted trees with another library's default rounds, step and depth."""
+    def build(n, d, n_estimators=n_estimators, learning_rate=learning_rate, max_depth=max_depth, gamma=0.0, min_leaf=1):
+        return _boosted(n, d, n_estimators, learning_rate, max_depth, gamma, min_leaf)
+
+    return build
+
+
 def _multinomial(n, d, alpha=1.0):
-    return NaiveBayes(modelType="multinomial", smoothing=alpha)
+    return NaiveBayes(modelType="multinomial", smoothing=max(alpha, LEAST_SMOOTHING))
 
 
 def _bernoulli(n, d, alpha=1.0, binarize=0.0):
     return Pipeline(stages=[Binarizer(threshold=binarize, inputCol="features", outputCol="_present"),
-                            NaiveBayes(modelType="bernoulli", smoothing=alpha, featuresCol="_present")])
+                            NaiveBayes(modelType="bernoulli", smoothing=max(alpha, LEAST_SMOOTHING), featuresCol="_present")])
 
 
 def _perceptron(n, d, hidden=100, max_iter=20, solver="l-bfgs", step=0.03):
@@ -101,7 +122,7 @@ def _base(n, d, kind, max_iter=100):
 def _bagging(n, d, n_estimators=10, base="tree", max_iter=100):
     if base == "tree":
         return RandomForestClassifier(numTrees=n_estimators, featureSubsetStrategy="all", subsamplingRate=1.0,
-                                      maxDepth=UNLIMITED_DEPTH, maxMemoryInMB=1024, seed=0)
+                                      maxDepth=DEEPEST, maxMemoryInMB=1024, seed=0)
     return Bagging(_base(n, d, base, max_iter), n_estimators)
 
 
@@ -114,13 +135,13 @@ def _adaboost(n, d, n_estimators=50, learning_rate=1.0, base="stump"):
 CLASSIFIERS = (
     Classifier("aux", "KerasClassifier", lambda n, d, epochs=5: _perceptron(n, d, hidden=32, max_iter=epochs),
                {"epochs": [5, 10, 15]}),
-    Classifier("xgboost", "XGBClassifier", _boosted,
+    Classifier("xgboost", "XGBClassifier", _boosted_as(100, 0.3, 6),
                {"n_estimators": [100, 200], "gamma": [1, 0.1, 0.001, 0.0001], "max_depth": [5, 10]}),
     Classifier("xgboost", "XGBRFClassifier", _forest_xgb,
                {"n_estimators": [100, 200], "gamma": [1, 0.1, 0.001, 0.0001], "max_depth": [5, 10]}),
-    Classifier("lightgbm", "LGBMClassifier", _boosted,
+    Classifier("lightgbm", "LGBMClassifier", _boosted_as(100, 0.1, 5),
                {"n_estimators": [100, 200], "learning_rate": [0.1, 0.5, 1.0], "max_depth": [5, 6, 7, -1]}),
-    Classifier("aux", "CatBoostClassifier", _boosted,
+    Classifier("aux", "CatBoostClassifier", _boosted_as(100, 0.03, 6),
                {"n_estimators": [100, 200], "learning_rate": [0.03, 0.5, 1.0], "max_depth": [5, 6, 7]}),
     Classifier("linear_model", "LogisticRegression", _logistic, {"C": [0.05, 0.5, 1.0], "penalty": ["l1", "l2"]}),
     Classifier("linear_model", "SGDClassifier", _sgd, {"loss": ["hinge", "log"]}),

@@ -13,10 +13,11 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType, StringType, StructField, StructType
 
 from opinaria import schemas
 from opinaria.models.classifiers import Classifier
-from opinaria.models.ensembles import WeightedVote
+from opinaria.models.ensembles import AdaBoost, Bagging, WeightedVote
 from opinaria.models.text_stages import TermExtractor
 from opinaria.operators import voting
 from opinaria.operators.quantiles import running_sums
@@ -29,9 +30,11 @@ FOLDS = 2
 
 def with_rank(df: DataFrame, keys: Sequence[str], id_col: str) -> DataFrame:
     """Adds ``_rank`` (0-based, ascending id within the keys) and ``_size``, through bucketed running
-    sums: no task sorts a whole class. Ids are unique."""
-    keyed = cut_lineage(df.select(*keys, id_col).withColumn("one", F.lit(1).cast("bigint")))
-    ranked = running_sums(keyed, keys, id_col, ["one"]).select(*keys, id_col, "cum_one")
+    sums: no task sorts a whole class. Ids are unique; those that are no numbers are put in the order of their hashes."""
+    number = isinstance(df.schema[id_col].dataType, NumericType)
+    order = F.col(id_col) if number else F.xxhash64(id_col)
+    keyed = cut_lineage(df.select(*keys, id_col, order.alias("_order"), F.lit(1).cast("bigint").alias("one")))
+    ranked = running_sums(keyed, keys, "_order", ["one"]).select(*keys, id_col, "cum_one")
     if keys:
         sizes = keyed.groupBy(*keys).agg(F.count("*").alias("_size"))
         ranked = ranked.join(F.broadcast(sizes), list(keys))
@@ -89,7 +92,7 @@ def featurize(train: DataFrame, test: DataFrame, spec: Vectorizer, text: str = "
 def compare(tables: dict[str, tuple[DataFrame, DataFrame]], classifiers: Sequence[Classifier], n_features: dict[str, int],
             params: dict[str, dict] | None = None, label: str = "label") -> list[dict]:
     """First pass: every classifier with default parameters on every (train, test) pair. A failing fit
-    leaves a row without accuracy."""
+    leaves a row without accuracy and with its error."""
     out = []
     for v_name, (train, test) in tables.items():
         n = train.count()
@@ -103,14 +106,15 @@ def compare(tables: dict[str, tuple[DataFrame, DataFrame]], classifiers: Sequenc
                 row["accuracy"] = accuracy_of(model.transform(test), label)
                 row["predict_time"] = time.time() - t
             except Exception as error:  # a classifier may not suit the features
-                row["error"] = str(error)[:200]
+                row["error"] = f"{type(error).__name__}: {error}"[:500]
             out.append(row)
     return out
 
 
 def results_frame(spark: SparkSession, rows: list[dict]) -> DataFrame:
-    names = schemas.RESULTS.fieldNames()
-    return spark.createDataFrame([tuple(r.get(n) for n in names) for r in rows], schemas.RESULTS)
+    """The rows of ``compare`` with the message of a failed fit in ``error``."""
+    schema = StructType([*schemas.RESULTS.fields, StructField("error", StringType())])
+    return spark.createDataFrame([tuple(r.get(n) for n in schema.fieldNames()) for r in rows], schema)
 
 
 def grid_search(train: DataFrame, c: Classifier, n_features: int, grid: dict[str, list] | None = None,
@@ -135,17 +139,15 @@ def grid_search(train: DataFrame, c: Classifier, n_features: int, grid: dict[str
 def _cross_score(estimator: Estimator, train: DataFrame, fold_col: str, evaluator) -> float:
     if isinstance(estimator, CrossValidator):
         raise TypeError("pass the estimator, not a validator")
-    search = CrossValidator(estimator=estimator, estimatorParamMaps=[{}], evaluator=evaluator, numFolds=FOLDS,
-                            foldCol=fold_col, parallelism=FOLDS)
-    try:
-        return search.fit(train).avgMetrics[0]
-    except (AttributeError, TypeError, NotImplementedError):
-        # Python-only ensembles
+    if isinstance(estimator, (AdaBoost, Bagging)):  # written in Python, which the validator cannot copy
         scores = []
         for i in range(FOLDS):
             model = estimator.fit(train.filter(F.col(fold_col) != i))
             scores.append(evaluator.evaluate(model.transform(train.filter(F.col(fold_col) == i))))
         return sum(scores) / len(scores)
+    search = CrossValidator(estimator=estimator, estimatorParamMaps=[{}], evaluator=evaluator, numFolds=FOLDS,
+                            foldCol=fold_col, parallelism=FOLDS)
+    return search.fit(train).avgMetrics[0]
 
 
 def vote_table(models: Sequence[Model], test: DataFrame, label: str = "label", id_col: str = "doc_id") -> DataFrame:
@@ -214,8 +216,11 @@ def most_informative(coefs: DataFrame, n: int = 10, labels: Sequence[str] = ("ne
 
 def fingerprint(df: DataFrame) -> Column:
     """Order-free digest of all rows."""
-    return df.agg(F.concat_ws("/", F.count("*").cast("string"),
-                              F.bit_xor(F.xxhash64(*df.columns)).cast("string")).alias("f")).first()["f"]
+    # The sum tells apart what the exclusive or cancels: rows that occur an even number of times.
+    cells = [F.to_json(c) if df.schema[c].dataType.typeName() == "map" else F.col(c) for c in df.columns]
+    row = F.xxhash64(*cells)
+    return df.agg(F.concat_ws("/", F.count("*").cast("string"), F.bit_xor(row).cast("string"),
+                              F.sum(row.cast("decimal(20,0)")).cast("string")).alias("f")).first()["f"]
 
 
 def fit_or_load(spark: SparkSession, base: str, params: dict, data: DataFrame, fit: Callable[[], PipelineModel]) -> PipelineModel:

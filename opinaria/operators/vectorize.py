@@ -99,7 +99,7 @@ def term_scales(long: DataFrame, n_docs: Column, value: str = "value") -> DataFr
     """
     present = cut_lineage(long.groupBy("term").agg(F.count("*").alias("_m")).withColumn("total", n_docs.cast("bigint")))
     frequent = present.filter(F.col("_m") > (F.col("total") - 1) * 0.25 - 1).select("term", "total")
-    rows = lookup(long.select("term", value), frequent.select("term"), "term", "left_semi")
+    rows = lookup(long, frequent.select("term"), "term", "left_semi", salt=F.struct(*long.columns)).select("term", value)
     quartiles = exact_quantiles(rows, ["term"], value, (0.25, 0.75), totals=frequent)
     iqr = F.col("q1") - F.col("q0")
     return present.select("term").join(quartiles, "term", "left").select(
@@ -108,7 +108,7 @@ def term_scales(long: DataFrame, n_docs: Column, value: str = "value") -> DataFr
 
 def robust_scale(long: DataFrame, scales: DataFrame, value: str = "value") -> DataFrame:
     """Divide by the term's scale; zeros stay zeros, nothing is centred."""
-    return lookup(long, scales, "term", "inner").withColumn(value, F.col(value) / F.col("scale")).drop("scale")
+    return lookup(long, scales, "term", "inner", salt=F.struct(*long.columns)).withColumn(value, F.col(value) / F.col("scale")).drop("scale")
 
 
 def information_gain(long: DataFrame, docs: DataFrame, labels: Sequence, label: str = "label",

@@ -143,10 +143,12 @@ def vote_patterns(spark, sf_dir):
     return voting.vote_patterns(predictions(spark, sf_dir))
 
 
-@query("vote_subsets", f"SELECT mask FROM (SELECT unnest(range(1 << {N_VOTERS})) AS mask) WHERE bit_count(mask) >= 3 AND (SELECT count(*) FROM embeddings) > 0")
+@query("vote_subsets", f"""WITH {_PREDICTIONS}, n AS (SELECT max(voter)::INT + 1 AS n FROM predictions)
+SELECT mask FROM (SELECT unnest(range(1::BIGINT << n)) AS mask FROM n) WHERE bit_count(mask) >= 3""")
 def vote_subsets(spark, sf_dir):
-    any_row = table(spark, sf_dir, "embeddings").agg(F.count("*").alias("n")).filter("n > 0")
-    return any_row.select(F.explode(voting.subsets(N_VOTERS)).alias("mask"))
+    """The subsets of as many voters as the predictions hold."""
+    n_voters = predictions(spark, sf_dir).agg(F.max("voter")).first()[0] + 1
+    return voting.with_subsets(spark.range(1), n_voters).select("mask")
 
 
 @query("vote_subset_scores", f"WITH {_VOTES} SELECT mask, round(accuracy, 9) AS accuracy FROM scores")
@@ -197,10 +199,11 @@ def majority_baseline(spark, sf_dir):
     return out.withColumn("accuracy", F.round("accuracy", 9))
 
 
-@query("binarized_labels", "SELECT vec_id, (label = 0)::INT AS is_0, (label = 1)::INT AS is_1, (label = 2)::INT AS is_2 FROM embeddings")
+@query("binarized_labels", "SELECT vec_id, " + ", ".join(f"(label = {c})::INT AS is_{c}" for c in range(10)) + " FROM embeddings")
 def binarized_labels(spark, sf_dir):
+    """All ten classes of the table."""
     return table(spark, sf_dir, "embeddings").select(
-        "vec_id", *[(F.col("label") == c).cast("int").alias(f"is_{c}") for c in (0, 1, 2)])
+        "vec_id", *[(F.col("label") == c).cast("int").alias(f"is_{c}") for c in range(10)])
 
 
 @query("encoded_labels", "SELECT doc_id, lang, dense_rank() OVER (ORDER BY lang) - 1 AS code FROM documents")

@@ -123,8 +123,10 @@ _WRITTEN: dict[tuple, tuple] = {}
 
 
 def _features(spark, sf_dir, spec: V.Vectorizer):
-    """Feature tables are written once per session and serve every classifier compared on them."""
-    key = (spark.sparkContext.applicationId, sf_dir, spec)
+    """Feature tables are written once per session and serve every classifier compared on them. The digest of the documents is part of the
+    key, so changed data are never served from an old copy."""
+    digest = S.fingerprint(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
+    key = (spark.sparkContext.applicationId, sf_dir, digest, spec)
     if key not in _WRITTEN:
         train, test = (cut_lineage(part) for part in train_test(spark, sf_dir))
         model, a, b = S.featurize(train, test, spec)
@@ -192,7 +194,7 @@ def vote_search(spark, sf_dir):
 @query("learning_curve")
 def learning_curve(spark, sf_dir):
     _, train, test = _features(spark, sf_dir, SMALL)
-    return S.learning_curve(train, test, C.BY_NAME["MultinomialNB"].build(1, 100), steps=5)
+    return S.learning_curve(train, test, C.BY_NAME["MultinomialNB"].build(1, 100))
 
 
 @query("most_informative_terms")

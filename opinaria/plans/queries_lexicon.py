@@ -6,7 +6,7 @@ hash of each frequent word decides its valence, and whether it strengthens, weak
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opinaria.functions.tokens import merge_title, sentiment_label
@@ -204,3 +204,23 @@ def emoji_to_words(spark, sf_dir):
     toks = computed(docs.select("text"), _w=F.filter(F.split(F.trim("text"), r"\s+"), lambda w: w != "")).select(F.explode("_w").alias("emoji")).distinct()
     emoji = toks.filter(hashed(F.col("emoji")) % 11 == 0).select("emoji", F.concat(F.lit("is "), F.length("emoji").cast("string")).alias("description"))
     return L.replace_emoji(docs, cut_lineage(emoji))
+
+
+# Signs whose decomposition is one or several ASCII signs, put into the texts by id.
+_SIGNS = {"\u00a0": " ", "\u202f": " ", "\u3000": " ", "\u2026": "...", "\u2122": "TM", "\ufb01": "fi", "\uff01": "!", "\u00bd": "12"}
+
+
+def _signed(col: Column, id_col: str) -> Column:
+    out = col
+    for k, sign in enumerate(_SIGNS):
+        out = F.when(F.col(id_col) % len(_SIGNS) == k, F.replace(F.replace(col, F.lit(" th"), F.lit(f"{sign}th")), F.lit(". "), F.lit(f".{sign}"))).otherwise(out)
+    return out
+
+
+@query("scorer_texts_with_signs", "SELECT doc_id, regexp_replace(strip_accents(CASE " + " ".join(
+    f"WHEN doc_id % {len(_SIGNS)} = {k} THEN replace(replace(text, ' th', '{ascii_}th'), '. ', '.{ascii_}')" for k, ascii_ in enumerate(_SIGNS.values()))
+    + " END), '[^\\x00-\\x7F]', '', 'g') AS folded FROM documents")
+def scorer_texts_with_signs(spark, sf_dir):
+    """What the scorer reads: special spaces, dots, ligatures and trade marks become their ASCII signs."""
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", L.scorer_text(_signed(F.col("text"), "doc_id")).alias("folded"))

@@ -37,7 +37,7 @@ def csv_raw_texts(spark, sf_dir):
     quoting = {"header": "true", "quote": '"', "escape": '"', "quoteAll": "true", "emptyValue": "",
                "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
     reviews(spark, sf_dir).select("source", "title", "text", "rating").write.options(**quoting).csv(path)
-    return S.read_reviews_csv(spark, path)
+    return S.read_reviews_csv(spark, path, multi_line=True)
 
 
 @query("materialized_reviews", f"WITH {CLEAN} SELECT doc_id, source, rating, text, sentiment, length FROM labelled")

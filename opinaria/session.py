@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# A dimension is broadcast only when a count proves it has at most this many rows.
+# A dimension is broadcast only when a count proves that it has at most so many rows and bytes.
 MAX_BROADCAST_ROWS = 200_000
+MAX_BROADCAST_BYTES = 64_000_000
 # Replicas of the lookup side when a large lookup has to be shuffled on a skewed key.
 LOOKUP_SALTS = 16
 
@@ -28,17 +30,35 @@ def build_session(app: str = "opinaria", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder below the cluster's shared checkpoint folder.
+@cache
+def _local_base() -> tempfile.TemporaryDirectory:
+    """One temporary folder per driver process, removed when it ends."""
+    return tempfile.TemporaryDirectory(prefix="opinaria-")
 
-    ``spark.checkpoint.dir`` is read from the session; a temporary folder is used only where
-    it is unset, which is the case in local tests.
-    """
+
+def _scratch(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="opinaria-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/opinaria/{uuid.uuid4().hex}"
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = _local_base().name
+    return f"{base.rstrip('/')}/opinaria/{spark.sparkContext.applicationId}"
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """A fresh folder below the cluster's shared checkpoint folder, ``spark.checkpoint.dir`` of the session.
+
+    Only a session on a local master may leave it unset; it then gets a temporary folder. On a cluster that would
+    be a folder of each machine's own, so it is an error. The setting itself is never changed.
+    """
+    return f"{_scratch(spark)}/{uuid.uuid4().hex}"
+
+
+def remove_scratch(spark: SparkSession) -> None:
+    """Remove all that this application wrote to the shared folder; call it when no result is read any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_scratch(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -52,9 +72,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def fits_broadcast(dim: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> bool:
-    """True when ``dim`` has at most ``max_rows`` rows; reads no more than one row beyond that."""
-    return dim.limit(max_rows + 1).count() <= max_rows
+def fits_broadcast(dim: DataFrame, max_rows: int = MAX_BROADCAST_ROWS, max_bytes: int = MAX_BROADCAST_BYTES) -> bool:
+    """True when ``dim`` has at most ``max_rows`` rows and ``max_bytes`` bytes; reads no more than one row beyond that."""
+    def width(field) -> Column:
+        kind, column = field.dataType.typeName(), F.col(f"`{field.name}`")
+        if kind in ("string", "binary"):
+            return F.octet_length(column) + 16
+        if kind in ("array", "map", "struct", "variant"):
+            return F.octet_length(F.to_json(F.struct(column)))
+        return F.lit(8)
+
+    size = sum((F.coalesce(width(f), F.lit(8)) for f in dim.schema.fields), F.lit(0))
+    rows, held = dim.limit(max_rows + 1).agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    return rows <= max_rows and held <= max_bytes
 
 
 def lookup(
@@ -62,19 +92,21 @@ def lookup(
     dim: DataFrame,
     on: str,
     how: str = "left",
-    salt: Column | None = None,
+    *,
+    salt: Column,
     bounded: bool | None = None,
 ) -> DataFrame:
     """Join ``dim`` (unique on ``on``) to a large stream whose keys may be badly skewed.
 
     A dimension with a proven row bound is broadcast, so the stream is not shuffled. A larger
     one is replicated ``LOOKUP_SALTS`` times and equi-joined on (key, salt), which splits every
-    hot key over that many tasks; no row is dropped either way. ``bounded`` passes on the outcome
+    hot key over that many tasks; no row is dropped either way. ``salt`` must differ between the rows of a key and
+    be the same when a task is run again, so an id of the row. ``bounded`` passes on the outcome
     of :func:`fits_broadcast` when the caller has already counted.
     """
     if fits_broadcast(dim) if bounded is None else bounded:
         return stream.join(F.broadcast(dim), on, how)
-    spread = F.pmod(F.xxhash64(salt if salt is not None else F.monotonically_increasing_id()), F.lit(LOOKUP_SALTS))
+    spread = F.pmod(F.xxhash64(salt), F.lit(LOOKUP_SALTS))
     salted = stream.withColumn("_salt", spread.cast("int"))
     replicas = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(LOOKUP_SALTS - 1))))
     return salted.join(replicas, [on, "_salt"], how).drop("_salt")

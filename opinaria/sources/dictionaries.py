@@ -55,8 +55,10 @@ def negations(spark: SparkSession) -> DataFrame:
 
 
 def _numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    # A lexicon file is small; one partition keeps its lines in file order.
-    return spark.read.text(path).coalesce(1).select("value", F.monotonically_increasing_id().alias("line"))
+    """Lines with their place: file name, offset of the block, order within the block. Files of a folder count in the order of their
+    names, however Spark deals them to tasks."""
+    return spark.read.text(path).select("value", F.struct(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n")).alias("line"))
 
 
 def _two_columns(spark: SparkSession, path: str, key: str, value: str) -> DataFrame:

@@ -51,6 +51,8 @@ def test_bounded_tags(spark):
 def test_transliteration(spark):
     assert column(spark, ["œuvre привет ελλάδα 😀 naïve", "plain"], to_ascii) == ["oeuvre privet ellada  naive", "plain"]
     assert column(spark, ["É ß 😀 ação"], strip_accents_ascii) == ["E   acao"]
+    assert column(spark, ["bom\u00a0produto muito…bom", "a\u2002b\u202fc\u3000d", "ﬁm ™ № ① ½ ㎏ 𝐀", "x" * 50 + "…"], strip_accents_ascii) == [
+        "bom produto muito...bom", "a b c d", "fim TM No 1 12 kg A", "x" * 50 + "..."]
 
 
 def test_collapse_lines(spark):
