@@ -52,19 +52,22 @@ class Windows:
             self.matrix[k, : len(w)] = w
 
 
+def numbered(text: bytes | None, terms: dict[bytes, int]) -> np.ndarray:
+    """The text's words as term numbers, -1 for words that the benchmark does not know."""
+    words = words_of(text)
+    return np.fromiter(map(terms.get, words, repeat(-1)), np.int32, len(words))
+
+
 class Shard:
     """Postings of a block of documents: for each term, its sorted positions in the joined word sequence."""
 
-    def __init__(self, documents: list[list[bytes]], terms: dict[bytes, int]):
-        counts = np.array([len(d) for d in documents], np.int64)
-        self.starts = np.concatenate([[0], np.cumsum(counts)])
-        ids = np.empty(self.starts[-1], np.int32)
-        for at, words in zip(self.starts, documents):
-            ids[at : at + len(words)] = np.fromiter(map(terms.get, words, repeat(-1)), np.int32, len(words))
+    def __init__(self, documents: list[np.ndarray], terms: int):
+        self.starts = np.concatenate([[0], np.cumsum([len(d) for d in documents], dtype=np.int64)])
+        ids = np.concatenate(documents) if documents else np.zeros(0, np.int32)
         known = np.flatnonzero(ids >= 0)
         order = np.argsort(ids[known], kind="stable")
         self.positions = known[order]
-        self.counts = np.bincount(ids[known], minlength=len(terms))
+        self.counts = np.bincount(ids[known], minlength=terms)
         self.first = np.concatenate([[0], np.cumsum(self.counts)])
 
     def postings(self, term: int) -> np.ndarray:
@@ -153,7 +156,7 @@ def _search(windows_of_block, within: int | None):
         ids, texts, held = [], [], 0
 
         def rows() -> pa.RecordBatch:
-            spans, exact, close = _matches(Shard(texts, windows.terms), windows, within)
+            spans, exact, close = _matches(Shard(texts, len(windows.terms)), windows, within)
             kinds = [pa.int64(), pa.int64(), pa.list_(pa.struct([("first", pa.int32()), ("past", pa.int32())])), pa.list_(pa.string()), pa.list_(pa.string())]
             cells = [ids, [len(t) for t in texts], spans, [sorted(x) for x in exact], [sorted(x) for x in close]]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cells, kinds)],
@@ -161,7 +164,7 @@ def _search(windows_of_block, within: int | None):
 
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                words = words_of(text.as_py())
+                words = numbered(text.as_py(), windows.terms)
                 ids.append(doc)
                 texts.append(words)
                 held += len(words)
@@ -221,8 +224,8 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10,
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             windows = shared.value
             for batch in batches:
-                texts = [words_of(t.encode() if t is not None else None) for t in batch.column(at).to_pylist()]
-                spans, _, _ = _matches(Shard(texts, windows.terms), windows, None)
+                texts = [numbered(t.as_py().encode() if t.is_valid else None, windows.terms) for t in batch.column(at)]
+                spans, _, _ = _matches(Shard(texts, len(windows.terms)), windows, None)
                 yield pa.RecordBatch.from_arrays(batch.filter(pa.array([not s for s in spans], pa.bool_())).columns, names=names)
 
         return run

@@ -22,6 +22,7 @@ from opinaria.llm.common import as_bytes
 from opinaria.llm.decontaminate import words_of
 
 
+SCORED = 256  # documents whose features are held together
 STEMS = (4, 6)  # bytes of a word's beginnings
 
 
@@ -209,7 +210,9 @@ def score(docs: DataFrame, chain: Chain, text_col: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            p = model.scores([features_of(t.encode() if t is not None else None) for t in batch.column(at).to_pylist()])
+            parts = [batch.column(at).slice(k, SCORED).to_pylist() for k in range(0, batch.num_rows, SCORED)]
+            p = np.concatenate([model.scores([features_of(t.encode() if t is not None else None) for t in part]) for part in parts] or
+                               [np.zeros((0, len(model.models)))])
             flags = [pa.array(p[:, k] >= t) for k, t in enumerate(model.thresholds)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(c) for c in p.T], *flags], names=[*kept, *new])
 

@@ -32,7 +32,7 @@ def _byte_of_sign() -> dict[str, int]:
 class WordIds(dict):
     """word (bytes) -> its ids as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, path: str, max_words: int = 1_000_000):
+    def __init__(self, path: str, max_words: int = 300_000):
         import tiktoken
         from tokenizers import Tokenizer
 
