@@ -8,21 +8,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opinaria.functions.tokens import words
-from opinaria.session import computed
+from opinaria.session import computed, cut_lineage, fits_broadcast, lookup
 
 SENTIMENTS = ("positive", "negative")
 
 
 def drop_duplicate_rows(df: DataFrame, subset: Sequence[str] | None = None, id_col: str | None = None) -> DataFrame:
-    """One row per distinct content. With ``id_col`` the row with the smallest id is kept, so the
-    outcome does not depend on the order of rows; copies are merged before the shuffle."""
+    """One row per distinct content. With ``id_col``, which is unique, the row with the smallest id is kept, so the
+    outcome does not depend on the order of rows.
+
+    Then only ids and 128-bit digests of the content are shuffled, merged before the shuffle; the ids that lose are found
+    among the groups of more than one row and taken out of ``df``, whose texts stay where they are while those ids fit a broadcast.
+    """
     keys = list(subset) if subset else [c for c in df.columns if c != id_col]
     if id_col is None:
         return df.dropDuplicates(keys)
-    others = [c for c in df.columns if c not in keys and c != id_col]
-    if not others:
-        return df.groupBy(*keys).agg(F.min(id_col).alias(id_col)).select(df.columns)
-    return df.groupBy(*keys).agg(F.min(F.struct(id_col, *others)).alias("_k")).select(*keys, "_k.*").select(df.columns)
+    cells = [part for c in keys for part in (F.isnull(c), F.col(c))]  # the hash itself passes over nulls
+    digest = F.struct(F.xxhash64(*cells).alias("a"), F.xxhash64(F.lit(1), *reversed(cells)).alias("b"))
+    rows = cut_lineage(df.select(id_col, digest.alias("_digest")))
+    groups = rows.groupBy("_digest").agg(F.min(id_col).alias("_first"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
+    losers = lookup(rows, groups, "_digest", "inner", salt=F.col(id_col)).filter(F.col(id_col) != F.col("_first")).select(id_col)
+    losers = cut_lineage(losers)
+    return df.join(F.broadcast(losers) if fits_broadcast(losers) else losers, id_col, "left_anti").select(df.columns)
 
 
 def count_share(df: DataFrame, by: str) -> DataFrame:

@@ -54,17 +54,25 @@ VECTORIZERS = (
 def term_statistics(docs: DataFrame, terms: str = "terms") -> DataFrame:
     """Documents (``df``) and occurrences (``tf``) per term. Both counts come from one exploded
     stream and are combined map-side, so a term in every document shuffles one row per task."""
+    return _counted(docs, terms, with_rows=False)
+
+
+def _counted(docs: DataFrame, terms: str, with_rows: bool) -> DataFrame:
+    """``with_rows`` adds a row without a term, whose ``df`` is the number of documents: counting them by themselves would
+    work out the terms of every text once more."""
     once = F.transform(F.array_distinct(terms), lambda t: F.struct(t.alias("term"), F.lit(1).alias("d"), F.lit(0).alias("t")))
     every = F.transform(terms, lambda t: F.struct(t.alias("term"), F.lit(0).alias("d"), F.lit(1).alias("t")))
-    return (computed(docs.select(terms), _t=F.concat(once, every)).select(F.inline("_t"))
+    row = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(1).alias("d"), F.lit(0).alias("t")))
+    return (computed(docs.select(terms), _t=F.concat(once, every, row) if with_rows else F.concat(once, every)).select(F.inline("_t"))
             .groupBy("term").agg(F.sum("d").alias("df"), F.sum("t").alias("tf")))
 
 
 def fit_vocabulary(docs: DataFrame, spec: Vectorizer, terms: str = "terms") -> DataFrame:
     """The most frequent terms within the document-frequency bounds, indexed alphabetically:
     (term, idx, df, tf), at most ``max_features`` rows."""
-    n_docs = docs.agg(F.count("*")).scalar()
-    kept = term_statistics(docs, terms).filter((F.col("df") >= spec.min_df) & (F.col("df") <= n_docs * spec.max_df))
+    counted = cut_lineage(_counted(docs, terms, with_rows=True).filter((F.col("df") >= spec.min_df) | F.col("term").isNull()))
+    n_docs = counted.filter("term is null").agg(F.max("df")).first()[0] or 0
+    kept = counted.filter(F.col("term").isNotNull() & (F.col("df") <= n_docs * spec.max_df))
     top = kept.orderBy(F.desc("tf"), "term").limit(spec.max_features)
     return top.withColumn("idx", F.row_number().over(W.orderBy("term")) - 1).select("term", "idx", "df", "tf")
 

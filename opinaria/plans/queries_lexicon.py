@@ -13,7 +13,7 @@ from opinaria.functions.tokens import merge_title, sentiment_label
 from opinaria.operators import lexicon as L
 from opinaria.operators.stats import bigrams_of
 from opinaria.plans.registry import query
-from opinaria.plans.views import REVIEWS, TEN_POINT, hashed, reviews, sql_hashed, sql_sentiment
+from opinaria.plans.views import REVIEWS, TEN_POINT, hashed, reviews, sql_hashed, sql_sentiment, table
 from opinaria.session import computed, cut_lineage
 
 CONTRAST = ("and", "und", "et", "que")

@@ -76,17 +76,34 @@ def _list(names: tuple[str, str, str]):
     return make
 
 
+def _b2w(r):
+    return F.struct(_list(("Title", "ReviewText", "Rating"))(r).alias("Results"), F.lit(2).alias("TotalResults"))
+
+
+def _extra(r):
+    return F.struct(F.struct(F.lit(2).alias("quantidadeAvaliacoes"), _list(("titulo", "descricao", "nota"))(r).alias("avaliacoes")).alias("avaliacao"))
+
+
+def _magalu(r):
+    return F.struct(F.struct(F.lit(1).alias("pages"), _list(("title", "review_text", "rating"))(r).alias("objects")).alias("data"))
+
+
+def _reclame_aqui(r):
+    return F.struct(F.struct(F.struct(_list(("evaluation", "description", "score"))(r).alias("data")).alias("complains")).alias("complainResult"))
+
+
+# Sites whose payload lists reviews: name in the rows and payload of a review.
+LISTED = {"b2w": ("B2W", _b2w), "extra": ("Extra", _extra), "magalu": ("Magalu", _magalu), "reclame_aqui": ("ReclameAqui", _reclame_aqui)}
+
+
 @query("b2w_payloads", _sql_payload())
 def b2w_payloads(spark, sf_dir):
-    items = _list(("Title", "ReviewText", "Rating"))
-    return J.parse_site(_payload(spark, sf_dir, lambda r: F.struct(items(r).alias("Results"), F.lit(2).alias("TotalResults"))), "b2w").drop("source")
+    return J.parse_site(_payload(spark, sf_dir, _b2w), "b2w").drop("source")
 
 
 @query("extra_payloads", _sql_payload())
 def extra_payloads(spark, sf_dir):
-    items = _list(("titulo", "descricao", "nota"))
-    return J.parse_site(_payload(spark, sf_dir, lambda r: F.struct(F.struct(
-        F.lit(2).alias("quantidadeAvaliacoes"), items(r).alias("avaliacoes")).alias("avaliacao"))), "extra").drop("source")
+    return J.parse_site(_payload(spark, sf_dir, _extra), "extra").drop("source")
 
 
 @query("extra_payloads_without_count", f"WITH {REVIEWS} SELECT doc_id, title, text, rating FROM reviews WHERE doc_id % 2 = 0")
@@ -101,15 +118,12 @@ def extra_payloads_without_count(spark, sf_dir):
 
 @query("magalu_payloads", _sql_payload())
 def magalu_payloads(spark, sf_dir):
-    items = _list(("title", "review_text", "rating"))
-    return J.parse_site(_payload(spark, sf_dir, lambda r: F.struct(F.struct(F.lit(1).alias("pages"), items(r).alias("objects")).alias("data"))), "magalu").drop("source")
+    return J.parse_site(_payload(spark, sf_dir, _magalu), "magalu").drop("source")
 
 
 @query("reclame_aqui_payloads", _sql_payload())
 def reclame_aqui_payloads(spark, sf_dir):
-    items = _list(("evaluation", "description", "score"))
-    return J.parse_site(_payload(spark, sf_dir, lambda r: F.struct(F.struct(F.struct(
-        items(r).alias("data")).alias("complains")).alias("complainResult"))), "reclame_aqui").drop("source")
+    return J.parse_site(_payload(spark, sf_dir, _reclame_aqui), "reclame_aqui").drop("source")
 
 
 def _zomato(spark, sf_dir) -> DataFrame:
@@ -128,19 +142,23 @@ def zomato_payloads(spark, sf_dir):
     return J.parse_site(_zomato(spark, sf_dir), "zomato").drop("source")
 
 
+_ALL_SITES = " UNION ALL ".join(
+    f"SELECT doc_id, '{name}' AS source, {title} AS title, text, rating FROM good" for name, _ in LISTED.values() for title in ("title", "'again'")) + """
+UNION ALL SELECT doc_id, 'Zomato', '', text, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE rating END FROM good"""
+
+
 @query("all_payloads", f"""WITH {REVIEWS}, good AS (SELECT * FROM reviews WHERE doc_id % 7 <> 0 AND doc_id % 11 <> 0)
-SELECT doc_id, 'B2W' AS source, title, text, rating FROM good UNION ALL SELECT doc_id, 'B2W', 'again', text, rating FROM good
-UNION ALL SELECT doc_id, 'Zomato', '', text, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE rating END FROM good""")
+{_ALL_SITES}""")
 def all_payloads(spark, sf_dir):
     return J.parse_payloads(site_payloads(spark, sf_dir))
 
 
 def site_payloads(spark, sf_dir) -> DataFrame:
-    items = _list(("Title", "ReviewText", "Rating"))
-    b2w = _payload(spark, sf_dir, lambda r: F.struct(items(r).alias("Results")))
-    return b2w.select("doc_id", F.lit("b2w").alias("site"), "payload").unionByName(
-        _zomato(spark, sf_dir).select("doc_id", F.lit("zomato").alias("site"), "payload")) \
-        .select("site", "payload", "doc_id")
+    """Payloads of all five sites."""
+    rows = _zomato(spark, sf_dir).select("doc_id", F.lit("zomato").alias("site"), "payload")
+    for site, (_, build) in LISTED.items():
+        rows = rows.unionByName(_payload(spark, sf_dir, build).select("doc_id", F.lit(site).alias("site"), "payload"))
+    return rows.select("site", "payload", "doc_id")
 
 
 @query("search_product_ids", """SELECT page_id, 'p' || page_id AS product_id FROM pages UNION ALL SELECT page_id, 'q' || length(url) FROM pages""")
@@ -271,8 +289,7 @@ def words_not_in_stop_list(spark, sf_dir):
 
 
 @query("streamed_payloads", f"""WITH {REVIEWS}, good AS (SELECT * FROM reviews WHERE doc_id % 7 <> 0 AND doc_id % 11 <> 0),
-rows AS (SELECT 'B2W' AS source, title, text, rating FROM good UNION ALL SELECT 'B2W', 'again', text, rating FROM good
-UNION ALL SELECT 'Zomato', '', text, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE rating END FROM good)
+rows AS ({_ALL_SITES})
 SELECT source, {_TRIMMED.format('title')} AS title, {_TRIMMED.format('text')} AS text, rating FROM rows""")
 def streamed_payloads(spark, sf_dir):
     """Payload files through the streaming sink, then the table it wrote."""
