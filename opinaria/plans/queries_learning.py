@@ -135,21 +135,19 @@ def _features(spark, sf_dir, spec: V.Vectorizer):
     return _WRITTEN[key]
 
 
-QUICK = {"RandomForestClassifier": {"n_estimators": 10, "max_depth": 5}, "GradientBoostingClassifier": {"n_estimators": 5},
-         "XGBClassifier": {"n_estimators": 5}, "LGBMClassifier": {"n_estimators": 5, "max_depth": 5},
-         "CatBoostClassifier": {"n_estimators": 5, "max_depth": 5}, "XGBRFClassifier": {"n_estimators": 10},
-         "DecisionTreeClassifier": {"max_depth": 5}, "AdaBoostClassifier": {"n_estimators": 3}, "BaggingClassifier": {"base": "logistic", "n_estimators": 3, "max_iter": 20},
-         "LogisticRegression": {"max_iter": 30}, "SGDClassifier": {"max_iter": 20}, "LinearSVC": {"max_iter": 20},
-         "MLPClassifier": {"hidden": 8, "max_iter": 10}, "KerasClassifier": {"epochs": 5}}
-SMALL = V.Vectorizer("Unigram", max_features=100)
+# Every boosting round is a chain of Spark jobs of its own; the registered queries stop after so many (README, "Registered
+# parameters"). All other parameters are the classifiers' defaults.
+ROUNDS = {name: {"n_estimators": 10} for name in (
+    "GradientBoostingClassifier", "XGBClassifier", "LGBMClassifier", "CatBoostClassifier", "AdaBoostClassifier")}
+UNIGRAMS = V.Vectorizer("Unigram")
 
 
 def _fitted(name: str):
     @query(f"classifier_{name.lower()}")
     def fit(spark, sf_dir):
-        _, train, test = _features(spark, sf_dir, SMALL)
+        _, train, test = _features(spark, sf_dir, UNIGRAMS)
         size = len(train.select("features").first()["features"])
-        model = C.BY_NAME[name].build(train.count(), size, **QUICK.get(name, {})).fit(train)
+        model = C.BY_NAME[name].build(train.count(), size, **ROUNDS.get(name, {})).fit(train)
         return model.transform(test).select("doc_id", F.col("label").cast("int").alias("label"), F.col("prediction").cast("int").alias("pred"))
 
     return fit
@@ -165,27 +163,28 @@ SWEEP = ("LogisticRegression", "RidgeClassifier", "MultinomialNB", "BernoulliNB"
 def comparison_sweep(spark, sf_dir):
     """Two vectorisers by four classifiers."""
     tables, sizes = {}, {}
-    for spec in (SMALL, V.Vectorizer("TF-IDF Unigram", tfidf=True, max_features=100)):
+    for spec in (UNIGRAMS, V.Vectorizer("TF-IDF Unigram", tfidf=True)):
         _, train, test = _features(spark, sf_dir, spec)
         tables[spec.name], sizes[spec.name] = (train, test), len(train.select("features").first()["features"])
-    rows = S.results_frame(spark, S.compare(tables, [C.BY_NAME[n] for n in SWEEP], sizes, QUICK))
+    rows = S.results_frame(spark, S.compare(tables, [C.BY_NAME[n] for n in SWEEP], sizes, ROUNDS))
     return rows.select("v_name", "c_name", "accuracy", "flag")
 
 
 @query("grid_search")
 def grid_search(spark, sf_dir):
-    _, train, test = _features(spark, sf_dir, SMALL)
+    _, train, test = _features(spark, sf_dir, UNIGRAMS)
     folded = cut_lineage(S.stratified_folds(train))
-    model, chosen = S.grid_search(folded, C.BY_NAME["MultinomialNB"], 100, {"alpha": [0.25, 1.0]})
+    size = len(train.select("features").first()["features"])
+    model, chosen = S.grid_search(folded, C.BY_NAME["MultinomialNB"], size)
     return model.transform(test).select("doc_id", F.lit(chosen["alpha"]).alias("alpha"), F.col("prediction").cast("int").alias("pred"))
 
 
 @query("vote_search")
 def vote_search(spark, sf_dir):
-    _, train, test = _features(spark, sf_dir, SMALL)
-    n, voters = train.count(), []
+    _, train, test = _features(spark, sf_dir, UNIGRAMS)
+    n, size, voters = train.count(), len(train.select("features").first()["features"]), []
     for name in SWEEP:
-        estimator = C.BY_NAME[name].build(n, 100, **QUICK.get(name, {}))
+        estimator = C.BY_NAME[name].build(n, size, **ROUNDS.get(name, {}))
         voters.append((name, lambda e=estimator: e, estimator.fit(train)))
     best = S.best_vote(voters, train, test)
     return best["model"].transform(test).select("doc_id", F.lit(",".join(best["members"])).alias("members"), F.col("prediction").cast("int").alias("pred"))
@@ -193,7 +192,7 @@ def vote_search(spark, sf_dir):
 
 @query("learning_curve")
 def learning_curve(spark, sf_dir):
-    _, train, test = _features(spark, sf_dir, SMALL)
+    _, train, test = _features(spark, sf_dir, UNIGRAMS)
     return S.learning_curve(train, test, C.BY_NAME["MultinomialNB"].build(1, 100))
 
 
@@ -201,8 +200,8 @@ def learning_curve(spark, sf_dir):
 def most_informative_terms(spark, sf_dir):
     train, test = train_test(spark, sf_dir)
     train = cut_lineage(train)
-    model, a, _ = S.featurize(train, test, SMALL)
-    fitted = C.BY_NAME["LogisticRegression"].build(train.count(), 100, **QUICK["LogisticRegression"]).fit(a)
+    model, a, _ = S.featurize(train, test, UNIGRAMS)
+    fitted = C.BY_NAME["LogisticRegression"].build(train.count(), 100).fit(a)
     vocab = spark.createDataFrame(list(enumerate(model.stages[1].vocabulary)), "idx int, term string")
     return S.most_informative(S.coefficients(fitted, vocab), labels=("other", "english"))
 
@@ -210,8 +209,8 @@ def most_informative_terms(spark, sf_dir):
 @query("one_vs_rest_curve")
 def one_vs_rest_curve(spark, sf_dir):
     from opinaria.operators.curves import roc_curve
-    _, train, test = _features(spark, sf_dir, SMALL)
-    model = C.BY_NAME["LinearSVC"].build(train.count(), 100, **QUICK["LinearSVC"]).fit(train)
+    _, train, test = _features(spark, sf_dir, UNIGRAMS)
+    model = C.BY_NAME["LinearSVC"].build(train.count(), 100).fit(train)
     return roc_curve(S.one_vs_rest_scores(model.transform(test), "LinearSVC"))
 
 
@@ -232,8 +231,8 @@ def saved_scoring_model(spark, sf_dir):
     def fit():
         cleaner = ReviewCleaner("text", "clean", STOP_WORDS)
         cleaned = cut_lineage(cleaner.transform(train).drop("text"))
-        model, a, _ = S.featurize(cleaned, cleaned, SMALL, text="clean")
-        return PipelineModel([cleaner, *model.stages, C.BY_NAME["LogisticRegression"].build(train.count(), 100, **QUICK["LogisticRegression"]).fit(a)])
+        model, a, _ = S.featurize(cleaned, cleaned, UNIGRAMS, text="clean")
+        return PipelineModel([cleaner, *model.stages, C.BY_NAME["LogisticRegression"].build(train.count(), 100).fit(a)])
 
     S.fit_or_load(spark, base, {"model": "LogisticRegression"}, train, fit)
     model = S.fit_or_load(spark, base, {"model": "LogisticRegression"}, train, fit)

@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from opinaria.functions.tokens import merge_title, sentiment_label
 from opinaria.operators import lexicon as L
 from opinaria.operators.stats import bigrams_of
+from opinaria.plans import reviews as flow
 from opinaria.plans.registry import query
-from opinaria.plans.views import REVIEWS, TEN_POINT, hashed, reviews, sql_hashed, sql_sentiment, table
+from opinaria.plans.views import CLEAN, REVIEWS, STOP_WORDS, TEN_POINT, hashed, reviews, sql_hashed, sql_sentiment, table
 from opinaria.session import computed, cut_lineage
 
 CONTRAST = ("and", "und", "et", "que")
@@ -191,6 +192,16 @@ def lexicon_accuracy(spark, sf_dir):
     return both.agg(F.count("*").alias("n"), F.round(F.avg((F.col("leia") == F.col("sentiment")).cast("int")), 6).alias("accuracy"))
 
 
+@query("review_flow", f"""WITH RECURSIVE {_BY_VALUE}{CLEAN.removeprefix(REVIEWS)}
+SELECT l.doc_id, l.source, l.rating, l.text, l.sentiment, l.length, CASE WHEN round(raw_compound, 4) >= 0 THEN 'positive' ELSE 'negative' END AS leia
+FROM labelled l JOIN scores USING (doc_id)""")
+def review_flow(spark, sf_dir):
+    """The whole flow over all documents: copies dropped, scored raw, cleaned, filtered, labelled."""
+    settings = flow.Settings(stop_words=STOP_WORDS, ten_point_sources=TEN_POINT, stem=False, rules=BY_VALUE)
+    rows = flow.review_table(reviews(spark, sf_dir), *word_lists(texts(spark, sf_dir)), settings=settings)
+    return rows.select("doc_id", "source", "rating", "text", "sentiment", F.col("length").cast("bigint").alias("length"), "leia")
+
+
 _EMOJI = f"""{REVIEWS},
 tok AS (SELECT doc_id, unnest(ws) AS w, unnest(range(len(ws))) AS pos FROM
   (SELECT doc_id, list_filter(regexp_split_to_array(trim(title || ' ' || text), '\\s+'), lambda w: w <> '') AS ws FROM reviews)),
