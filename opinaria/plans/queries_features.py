@@ -164,9 +164,12 @@ def information_gain_top20(spark, sf_dir):
 
 
 _SCALES = f"""{_COUNTS},
-dense AS (SELECT term, doc_id, coalesce(counts.tf, 0)::DOUBLE AS v FROM vocab CROSS JOIN train LEFT JOIN counts USING (term, doc_id)),
-present AS (SELECT DISTINCT term FROM counts SEMI JOIN train USING (doc_id)),
-iqr AS (SELECT term, quantile_cont(v, 0.75) - quantile_cont(v, 0.25) AS iqr FROM dense SEMI JOIN present USING (term) GROUP BY term),
+size AS (SELECT count(*) AS n FROM train),
+present AS (SELECT term, list(tf::DOUBLE ORDER BY tf) AS vs, n, n - count(*) AS zeros FROM counts SEMI JOIN train USING (doc_id) CROSS JOIN size GROUP BY term, n),
+ranks AS (SELECT term, vs, zeros, unnest([0.25, 0.75]) AS q, (n - 1) * q AS place FROM present),
+ends AS (SELECT term, q, place - floor(place) AS frac, CASE WHEN floor(place) < zeros THEN 0 ELSE vs[floor(place)::BIGINT - zeros + 1] END AS lo,
+  CASE WHEN ceil(place) < zeros THEN 0 ELSE vs[ceil(place)::BIGINT - zeros + 1] END AS hi FROM ranks),
+iqr AS (SELECT term, sum(CASE WHEN q > 0.5 THEN lo + (hi - lo) * frac ELSE -(lo + (hi - lo) * frac) END) AS iqr FROM ends GROUP BY term),
 scales AS (SELECT term, CASE WHEN iqr = 0 THEN 1 ELSE iqr END AS scale FROM iqr)"""
 
 

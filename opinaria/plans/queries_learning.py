@@ -23,7 +23,7 @@ dict AS (SELECT term, count(*) AS n FROM dw GROUP BY term HAVING count(*) >= 4),
 cw AS (SELECT DISTINCT unnest({sql_words(sql_normalized('text'))}) AS token FROM benchmark),
 unknown AS (SELECT token FROM cw WHERE token NOT IN (SELECT term FROM dict)),
 cand AS (SELECT token, term, n, damerau_levenshtein(token, term) AS distance FROM unknown JOIN dict ON abs(length(token) - length(term)) <= 2
-  AND damerau_levenshtein(token, term) <= 2),
+  AND CASE WHEN levenshtein(token, term) <= 4 THEN damerau_levenshtein(token, term) <= 2 ELSE false END),
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY token ORDER BY distance, n DESC, term) AS r FROM cand) WHERE r = 1)"""
 
 

@@ -29,3 +29,14 @@ def test_oracles_belong_to_queries():
 def test_query_equals_oracle(spark, connection, name):
     message, _, good = compare(spark, connection, name, SF)
     assert good, message
+
+
+def test_entry_works_without_the_optional_folder():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = ("import sys; sys.modules['opinaria.llm'] = None\n"
+            "import __spark_entry__ as e\n"
+            "assert not any(n.startswith('op') and n[2].isdigit() or n == 'pipeline' for n in e.queries()) and len(e.queries()) > 100")
+    subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parents[1], check=True, timeout=120)
