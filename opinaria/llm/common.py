@@ -25,6 +25,14 @@ def crc_remainder(column: str, modulus: int) -> Column:
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(modulus))
 
 
+def hash_sample(df: DataFrame, id_col: str, max_rows: int, n: int) -> DataFrame:
+    """The ``max_rows`` of ``n`` rows whose ids have the smallest hashes, fewer only if there are fewer. Rows that have no chance are filtered
+    out first, so that not every task sends its own ``max_rows`` to the sort."""
+    drawn = F.pmod(F.xxhash64(id_col), F.lit(1 << 40))
+    likely = df if n <= max_rows else df.where(drawn < int((1 << 40) * min(1.0, (1.2 * max_rows + 1000) / n)))
+    return likely.orderBy(drawn, id_col).limit(max_rows)
+
+
 def join_hot(stream: DataFrame, dim: DataFrame, on: str, how: str = "left", hot: DataFrame | None = None) -> DataFrame:
     """Join ``dim`` (unique on ``on``) to a stream some of whose keys may hold a large share of the rows.
 

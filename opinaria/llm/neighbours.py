@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from opinaria.llm.common import hash_sample
 from opinaria.session import cut_lineage
 
 ROW = "part int, kind int, id long, vec binary, cell long, cells binary"
@@ -191,7 +192,7 @@ def _search(dim: int, k: int):
 
 def expected_radius(distinct: DataFrame, n: int, k: int, max_rows: int = 20_000, queries: int = 256) -> float:
     """Distance within which a typical query has its k-th neighbour, from at most ``max_rows`` rows with the smallest hashes."""
-    rows = distinct.orderBy(F.xxhash64("vid"), "vid").limit(max_rows).select("vec").toArrow()
+    rows = hash_sample(distinct, "vid", max_rows, n).select("vec").toArrow()
     vectors = np.array(rows["vec"].to_pylist(), float)
     if len(vectors) < 2:
         return 1.0

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from opinaria.llm.common import as_bytes
+from opinaria.llm.common import as_bytes, hash_sample
 from opinaria.llm.decontaminate import words_of
 
 
@@ -179,7 +179,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], max_rows: i
     """
     marks = labels.where(F.col(label_id_col).isNotNull()).groupBy(F.col(label_id_col).cast("long").alias("_id")).agg(
         *[F.max(F.col(c).cast("double")).alias(f"_y{k}") for k, c in enumerate(categories)])
-    sample = marks.orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
+    sample = hash_sample(marks, "_id", max_rows, marks.count())
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
