@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -192,15 +192,17 @@ def _with_text(source: DataFrame, dim: DataFrame, column: str, how: str = "inner
     """Join per-document data to the texts: broadcast when counted small, else one shuffle by document."""
     key = F.xxhash64("doc_id", "copy")
     left, right = source.withColumn("_row", key), dim.select(key.alias("_row"), F.col("doc_id").alias("_doc"), F.col("copy").alias("_copy"), column)
-    joined = left.join(F.broadcast(right) if _small(dim, column) else right, "_row", how)
+    # A place is three numbers; a run is five and the text around it.
+    entry = F.size(column) * 40 if column == "places" else F.aggregate(
+        column, F.lit(0), lambda n, r: n + 80 + F.coalesce(F.octet_length(r["before"]), F.lit(0)) + F.coalesce(F.octet_length(r["after"]), F.lit(0)))
+    joined = left.join(F.broadcast(right) if _small(dim, entry) else right, "_row", how)
     keep = (F.col("_doc").isNull()) | ((F.col("_doc") == F.col("doc_id")) & (F.col("_copy") == F.col("copy")))
     return joined.where(keep).drop("_row", "_doc", "_copy")
 
 
-def _small(dim: DataFrame, column: str, max_bytes: int = 16_000_000) -> bool:
-    """Whether per-document lists of at most 2 * EDGE + 100 bytes an entry fit a broadcast; counted on a written table."""
-    entries = dim.agg(F.sum(F.size(column))).first()[0] or 0
-    return entries * (2 * EDGE + 100) <= max_bytes
+def _small(dim: DataFrame, entry: Column, max_bytes: int = 16_000_000) -> bool:
+    """Whether per-document lists fit a broadcast, by the bytes of their entries in a written table."""
+    return (dim.agg(F.sum(entry)).first()[0] or 0) <= max_bytes
 
 
 def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
