@@ -1,10 +1,10 @@
-"""From raw documents to packed training sequences: five stages, each working on all that its predecessor kept."""
+"""From raw documents to packed training sequences: six stages, each working on all that its predecessor kept."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from opinaria.llm import decontaminate, packing, simhash, substrings, toxicity
+from opinaria.llm import decontaminate, near_copies, packing, simhash, substrings, toxicity
 from opinaria.llm.common import table
 from opinaria.llm.queries import TOXICITY_CHAIN, tokenizer_path
 from opinaria.session import cut_lineage
@@ -19,6 +19,11 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return toxicity.score(docs, chain).where(f"not is_{TOXICITY_CHAIN[-1]}").select(docs.columns)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts whose sets of five-word shingles are similar at 0.8 or more, the one with the smallest id. Exact copies are left to the next stage."""
+    return near_copies.without_near_copies(docs)
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash group, the one with the smallest id."""
     return simhash.one_per_group(docs)
@@ -40,7 +45,8 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return packing.pack(docs, tokenizer_path())
 
 
-STAGES = [("toxicity", reject_toxic), ("near_duplicates", drop_near_duplicates), ("substring_dedup", cut_repeated_passages),
+STAGES = [("toxicity", reject_toxic), ("near_copies", drop_near_copies), ("near_duplicates", drop_near_duplicates),
+          ("substring_dedup", cut_repeated_passages),
           ("decontamination", drop_contaminated), ("packing", pack_sequences)]
 
 

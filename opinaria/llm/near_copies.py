@@ -1,0 +1,155 @@
+"""Near copies by the Jaccard similarity of word shingles: min-hash bands give candidates, the shingle sets decide.
+
+Texts are compared once per sequence of lower-cased words. A text has ``BANDS`` keys of ``ROWS`` min-hashes; texts that share a key are candidates.
+A pair at similarity s shares none with probability (1 - s**5)**32: 3 in a million at 0.8, less above. Candidates form components, whose shingle
+sets meet in one task, or in one task per pair of blocks where a component is large; there every pair that can still join two groups is verified exactly.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from opinaria.llm.common import as_bytes, components, join_hot
+from opinaria.session import cut_lineage, fits_broadcast
+
+SEED = 42
+BANDS, ROWS = 32, 5
+
+
+def text_key(text: bytes | None) -> int | None:
+    """Signed 64-bit hash of the lower-cased words; null without words."""
+    words = text.lower().split() if text else []
+    return _signed(xxhash.xxh64_intdigest(b" ".join(words), SEED)) if words else None
+
+
+def shingle_set(text: bytes, shingle: int = 5) -> np.ndarray:
+    """Sorted distinct hashes of the shingles; a text of fewer words is one shingle."""
+    words = text.lower().split()
+    width = min(shingle, len(words))
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(b" ".join(words[k : k + width]), SEED) for k in range(len(words) - width + 1)], np.uint64))
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def band_keys(hashes: np.ndarray, block: int = 4096) -> np.ndarray:
+    """One signed long per band: the hash of its min-hashes."""
+    draw = np.random.default_rng(5)
+    factor = draw.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    offset = draw.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
+    for a in range(0, len(hashes), block):
+        x = hashes[a : a + block, None] * factor + offset
+        least = np.minimum(least, (x ^ (x >> np.uint64(32))).min(axis=0))
+    bands = least.reshape(BANDS, ROWS)
+    return np.array([xxhash.xxh64_intdigest(b.tobytes(), k) for k, b in enumerate(bands)], np.uint64).view(np.int64)
+
+
+def _keyed(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t.as_py() for t in batch.column(1)]
+            keys = [text_key(t) for t in texts]
+            bands = [None if k is None else band_keys(shingle_set(t, shingle)) for k, t in zip(keys, texts)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "t", "bands"])
+
+    return run
+
+
+def _sets(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t.as_py(), shingle).tobytes() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sets, pa.binary())], names=["t", "root", "hashes"])
+
+    return run
+
+
+def set_links(keys: list[int], sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs at ``similarity`` or more. The search goes breadth first; only texts that no link has reached are compared."""
+    sizes = np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    distinct, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    ends = np.cumsum(sizes)
+    open_, queue, found = np.ones(len(sets), bool), [], []
+    at = 0
+    while True:
+        if not queue:
+            while at < len(sets) and not open_[at]:
+                at += 1
+            if at == len(sets):
+                return found
+            queue.append(at)
+            open_[at] = False
+        one = queue.pop()
+        mark = np.zeros(len(distinct), bool)
+        mark[codes[ends[one] - sizes[one] : ends[one]]] = True
+        common = np.bincount(owner[mark[codes]], minlength=len(sets))
+        near = np.flatnonzero(open_ & (common >= similarity * (sizes + sizes[one] - common) - 1e-9))
+        open_[near] = False
+        queue += near.tolist()
+        found += [(keys[one], keys[k]) for k in near.tolist()]
+
+
+def _verified(similarity: float):
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.drop_duplicates("t").sort_values("t")
+        pairs = set_links(frame["t"].tolist(), [np.frombuffer(h, np.uint64) for h in frame["hashes"]], similarity)
+        return pd.DataFrame(pairs, columns=["a", "b"], dtype=np.int64)
+
+    return run
+
+
+def _text_key_column(text_col: str):
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([text_key(t) for t in texts], dtype="Int64")
+
+    return F.pandas_udf(run, "long")(as_bytes(text_col))
+
+
+def without_near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, block: int = 1000, block_bytes: int = 16 << 20,
+                        id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without the texts that are near copies of another: of the texts that links at ``similarity`` or more connect, the one with the smallest id stays.
+
+    Rows with the same words are one text here, so all of them stay or go. A text without words is near none. A null id keeps its row and counts as the
+    smallest only where no text of the group has an id.
+    """
+    own = F.col(id_col).cast("long")
+    source = docs.select(own.alias("doc_id"), as_bytes(text_col).alias("text"))
+    rows = cut_lineage(source.mapInArrow(_keyed(shingle), "doc_id long, t long, bands array<long>").where("t is not null"))
+    exploded = cut_lineage(rows.select("t", F.explode("bands").alias("key")))
+    shared = exploded.groupBy("key").agg(F.min("t").alias("low"), F.max("t").alias("high")).where("low < high").select("key", "low")
+    met = join_hot(exploded, cut_lineage(shared), "key", "inner").where("t <> low").select(F.col("low").alias("a"), F.col("t").alias("b")).distinct()
+    candidates = components(cut_lineage(met)).withColumnRenamed("node", "t")
+    firsts = rows.groupBy("t").agg(F.min("doc_id").alias("doc_id"))
+    chosen = cut_lineage(candidates.join(firsts, "t"))
+
+    small = fits_broadcast(chosen)
+    side = (F.broadcast(chosen) if small else chosen).select(F.col("t").alias("_t"), F.col("doc_id").alias("_id"), "root")
+    keyed = source.withColumn("t", _text_key_column("text"))
+    texts = keyed.join(side, (F.col("t") == F.col("_t")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("t", "text", "root")
+    sets = cut_lineage(texts.mapInArrow(_sets(shingle), "t long, root long, hashes binary"))
+    sizes = sets.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum(F.length("hashes")) / block_bytes)).cast("int").alias("blocks"))
+    placed = join_hot(sets, cut_lineage(sizes), "root", "inner").withColumn("i", F.pmod(F.xxhash64("t"), F.col("blocks")).cast("int"))
+    other = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.array_remove(F.sequence(F.lit(0), F.col("blocks") - 1), F.col("i")))
+    pairs = placed.withColumn("k", F.explode(other)).select("root", F.least("i", "k").alias("i"), F.greatest("i", "k").alias("k"), "t", "hashes")
+    links = cut_lineage(pairs.groupBy("root", "i", "k").applyInPandas(_verified(similarity), "a long, b long"))
+
+    groups = cut_lineage(components(links).withColumnRenamed("node", "t").join(chosen.select("t", "doc_id"), "t"))
+    order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "t")
+    winners = cut_lineage(groups.groupBy("root").agg(F.min(order)["t"].alias("winner")))
+    losers = cut_lineage(join_hot(groups, winners, "root").where("t <> winner").select("t"))
+    marked = docs.withColumn("_t", _text_key_column(text_col))
+    if fits_broadcast(losers):
+        return marked.join(F.broadcast(losers), F.col("_t") == F.col("t"), "left_anti").select(docs.columns)
+    gone = cut_lineage(rows.join(losers, "t", "left_semi").select("t", F.col("doc_id").alias("_lost")).distinct())
+    return marked.join(gone, (F.col("_t") == F.col("t")) & own.eqNullSafe(F.col("_lost")), "left_anti").select(docs.columns)

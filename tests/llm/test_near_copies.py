@@ -1,0 +1,65 @@
+import re
+
+import numpy as np
+import pytest
+
+import corpus_pipeline
+from opinaria.llm.near_copies import without_near_copies
+from test_simhash import slow_components
+
+
+def shingles(text):
+    words = re.findall("[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+
+
+def similarity(a, b):
+    return len(a & b) / len(a | b) if a and b else 0.0
+
+
+def kept_by_brute_force(rows, least=0.8):
+    sets, ids = {d: shingles(t) for d, t in rows}, sorted(d for d, _ in rows)
+    near = [(a, b) for k, a in enumerate(ids) for b in ids[:k] if similarity(sets[a], sets[b]) >= least]
+    words = {d: (t or "").lower().split() for d, t in rows}
+    roots = slow_components(ids, near)
+    return {d for d in ids if words[d] == words[roots[d]]}
+
+
+def planted(seed=3):
+    """Texts of 200 words and near copies of them with one to nine words replaced: at 0.8 to 0.95 with up to four, below with more."""
+    draw, rows = np.random.default_rng(seed), []
+    for k in range(40):
+        base = [f"w{x}" for x in draw.integers(0, 5000, 200)]
+        rows.append((10 * k, " ".join(base)))
+        for copy in range(1, 4):
+            other = list(base)
+            for at in draw.choice(200, draw.integers(1, 10), replace=False):
+                other[at] = f"new{at}"
+            rows.append((10 * k + copy, " ".join(other)))
+    return rows
+
+
+@pytest.mark.parametrize("block", [1000, 2])
+def test_kept_texts_equal_brute_force(spark, block):
+    rows = planted() + [(1000, None), (1001, ""), (1002, "A b"), (1003, "a  B"), (1004, "a b c")]
+    got = {r.doc_id for r in without_near_copies(spark.createDataFrame(rows, "doc_id long, text string"), block=block).collect()}
+    assert got == kept_by_brute_force(rows) and len(got) < len(rows) - 40
+
+
+def test_repeated_rows_and_missing_ids(spark):
+    a, b = (" ".join(f"w{k}" for k in range(n)) for n in (100, 105))
+    rows = [(None, a, 1), (None, a, 2), (7, b, 3), (7, b, 4), (7, "other", 5), (8, a + " x", 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n int")
+    assert sorted(r.n for r in without_near_copies(docs).collect()) == [3, 4, 5]
+    assert without_near_copies(docs.limit(0)).count() == 0
+
+
+def test_no_near_copy_passes_the_pipeline_stages(spark):
+    rows = planted(5)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    stages = dict(corpus_pipeline.STAGES)
+    for name in ("near_copies", "near_duplicates"):
+        docs = stages[name](spark, docs, None)
+    kept = {r.doc_id: shingles(r.text) for r in docs.collect()}
+    assert kept.keys() <= {d for d, _ in rows} and {d for d in kept if d % 10 == 0} == {10 * k for k in range(40)}
+    assert all(similarity(kept[a], kept[b]) < 0.8 for a in kept for b in kept if a < b)
