@@ -167,3 +167,48 @@ def op10_gru_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.coalesce(crc_remainder("doc_id", 7) == 2, F.lit(False))
     found = score_documents(table(spark, sf_dir, "documents"), ~held_out)
     return found.select("doc_id", (~F.col("learnt")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from opinaria.llm.periodic_runs import run_digests
+
+    return run_digests(table(spark, sf_dir, "documents"), plant=True)
+
+
+# Equal words at every distance up to a third of the text, as islands; of stretches with one extent the smallest period counts.
+# DuckDB has no crc32, so it is computed from its table of remainders (polynomial 0xEDB88320) over the digits of the id.
+ORACLES["op13_periodic_runs"] = r"""
+WITH RECURSIVE halving(byte, k, r) AS (
+  SELECT byte, 0, CAST(byte AS BIGINT) FROM range(256) AS t(byte)
+  UNION ALL SELECT byte, k + 1, CASE WHEN r % 2 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END FROM halving WHERE k < 8),
+remainders AS (SELECT list(r ORDER BY byte) AS rs FROM halving WHERE k = 8),
+marked AS (
+  SELECT row_number() OVER () AS d, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws,
+    xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+      lambda a, c: xor(a >> 8, rs[CAST(xor(a, c) & 255 AS BIGINT) + 1])), 4294967295) AS h
+  FROM documents, remainders),
+shaped AS (SELECT d, doc_id, ws, len(ws) AS n, h, CASE WHEN h % 10 = 0 AND len(ws) > 0 THEN (h // 10) % len(ws) END AS a FROM marked),
+planted AS (
+  SELECT d, doc_id, n, CASE WHEN a IS NULL THEN ws ELSE list_transform(range(n), lambda i:
+    ws[CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + (h // 10) % 8)) END + 1]) END AS ws FROM shaped),
+words AS (SELECT d, n, unnest(ws) AS w, unnest(range(n)) AS i FROM planted),
+numbered AS (SELECT d, n, i, dense_rank() OVER (ORDER BY w) AS w FROM words),
+often AS (SELECT d, w FROM numbered GROUP BY d, w HAVING count(*) > 2),
+kept AS (SELECT x.* FROM numbered x SEMI JOIN often o ON x.d = o.d AND x.w = o.w),
+pieces AS (SELECT d, w, i, i - row_number() OVER (PARTITION BY d ORDER BY i) AS piece FROM kept),
+sizes AS (SELECT d, piece, count(*) AS size FROM pieces GROUP BY d, piece HAVING count(*) > 23),
+parts AS (SELECT p.d, p.piece, size, w, i FROM pieces p JOIN sizes s ON p.d = s.d AND p.piece = s.piece),
+agreeing AS (
+  SELECT x.d, y.i - x.i AS q, x.i, x.i - row_number() OVER (PARTITION BY x.d, y.i - x.i ORDER BY x.i) AS island
+  FROM parts x JOIN parts y ON x.d = y.d AND x.piece = y.piece AND x.w = y.w AND y.i > x.i AND (y.i - x.i) * 3 <= x.size),
+stretches AS (SELECT d, q, min(i) AS start, count(*) + q AS length FROM agreeing GROUP BY d, q, island HAVING count(*) + q >= greatest(24, 3 * q)),
+runs AS (SELECT d, start, length, min(q) AS period FROM stretches GROUP BY d, start, length),
+best AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY d ORDER BY CAST(length AS DOUBLE) / period DESC, start, period) = 1),
+listed AS (SELECT d, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS listed FROM runs GROUP BY d),
+dropped AS (SELECT DISTINCT d, unnest(range(start + period, start + length)) AS i FROM runs),
+rest AS (SELECT x.d, string_agg(w, ' ' ORDER BY x.i) AS rest FROM words x ANTI JOIN dropped y ON x.d = y.d AND x.i = y.i GROUP BY x.d)
+SELECT p.doc_id, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, CAST(start AS BIGINT) AS start, CAST(length AS BIGINT) AS length, CAST(period AS BIGINT) AS period,
+  CAST(1000 * length // period AS BIGINT) AS exponent_milli, sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(rest, '')) AS collapsed_sha256
+FROM planted p LEFT JOIN listed l ON p.d = l.d LEFT JOIN best b ON p.d = b.d LEFT JOIN rest r ON p.d = r.d
+"""
