@@ -212,3 +212,86 @@ SELECT p.doc_id, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, CAST(start AS BI
   CAST(1000 * length // period AS BIGINT) AS exponent_milli, sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(rest, '')) AS collapsed_sha256
 FROM planted p LEFT JOIN listed l ON p.d = l.d LEFT JOIN best b ON p.d = b.d LEFT JOIN rest r ON p.d = r.d
 """
+
+
+@query
+def op12_seekable_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from opinaria.llm.warc import bundle_folder, read_bundles, write_bundles
+
+    pages = table(spark, sf_dir, "pages")
+    index = write_bundles(pages, bundle_folder(pages))
+    return read_bundles(index, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLES["op12_seekable_warc"] = r"""
+WITH sized AS (
+  SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, coalesce(html, '') AS html, CAST(CAST(unhex(sha1(coalesce(html, ''))) AS BIT) AS VARCHAR) AS bits FROM pages),
+ranked AS (
+  SELECT page_id, payload_bytes, bits, row_number() OVER (PARTITION BY html ORDER BY page_id NULLS LAST) AS place,
+    first_value(page_id) OVER (PARTITION BY html ORDER BY page_id NULLS LAST) AS first_id FROM sized)
+SELECT page_id, payload_bytes, array_to_string(list_transform(range(32), lambda k:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(list_sum(list_transform(range(5), lambda b: CAST(substr(bits, CAST(5 * k + b + 1 AS INT), 1) AS INT) << (4 - b))) AS INT), 1)), '') AS payload_digest,
+  CASE WHEN place = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN place > 1 THEN first_id END AS refers_to
+FROM ranked
+"""
+
+
+@query
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from opinaria.llm.repair import damage, repair
+
+    rows = table(spark, sf_dir, "conversations")
+    return repair(damage(rows), ids=rows)
+
+
+# The cheapest edits row by row: per state the smallest key (cost, letters), with the text that belongs to it.
+ORACLES["op11_conversation_repair"] = r"""
+WITH RECURSIVE halving(byte, k, r) AS (
+  SELECT byte, 0, CAST(byte AS BIGINT) FROM range(256) AS t(byte)
+  UNION ALL SELECT byte, k + 1, CASE WHEN r % 2 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END FROM halving WHERE k < 8),
+remainders AS (SELECT list(r ORDER BY byte) AS rs FROM halving WHERE k = 8),
+original AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    xor(list_reduce(list_prepend(4294967295, list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''),
+      lambda c: CAST(ascii(c) AS BIGINT))), lambda a, c: xor(a >> 8, rs[CAST(xor(a, c) & 255 AS BIGINT) + 1])), 4294967295) % 20 AS mark
+  FROM conversations, remainders),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN mark = 4 THEN 'user' ELSE role END AS role,
+    CASE mark WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE mark WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS twin
+  FROM original),
+ordered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, regexp_replace(text, '[\x20\x09-\x0D]+$', '') AS solid FROM damaged),
+judged AS (
+  SELECT *, CASE WHEN solid = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+    WHEN right(solid, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE 'fine' END AS fault,
+    lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before, left(role, 1) AS initial FROM ordered),
+totals AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+    count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM judged GROUP BY conv_id),
+inserts(q, to_q, letters, price, said) AS (VALUES ('0', '0', '', 0, ''), ('s', 's', '', 0, ''), ('u', 'u', '', 0, ''), ('a', 'a', '', 0, ''),
+  ('0', 'u', 'I', 3, chr(10) || 'user:'), ('s', 'u', 'I', 3, chr(10) || 'user:'), ('a', 'u', 'I', 3, chr(10) || 'user:'), ('u', 'a', 'I', 3, chr(10) || 'assistant:'),
+  ('0', 'a', 'II', 6, chr(10) || 'user:' || chr(10) || 'assistant:'), ('s', 'a', 'II', 6, chr(10) || 'user:' || chr(10) || 'assistant:')),
+edits(q, to_q, letter, price, initial, role) AS (VALUES ('0', '0', 'D', 4, '', ''), ('s', 's', 'D', 4, '', ''), ('u', 'u', 'D', 4, '', ''), ('a', 'a', 'D', 4, '', ''),
+  ('0', 's', 'K', 0, 's', ''), ('0', 'u', 'K', 0, 'u', ''), ('s', 'u', 'K', 0, 'u', ''), ('a', 'u', 'K', 0, 'u', ''), ('u', 'a', 'K', 0, 'a', ''),
+  ('0', 'u', 'R', 3, '', 'user'), ('s', 'u', 'R', 3, '', 'user'), ('a', 'u', 'R', 3, '', 'user'), ('u', 'a', 'R', 3, '', 'assistant')),
+paths(conv_id, i, q, sorting, said) AS (
+  SELECT conv_id, CAST(0 AS BIGINT), '0', '000000000000', '' FROM totals
+  UNION ALL
+  SELECT conv_id, i, q, min(sorting), arg_min(said, sorting) FROM (
+    SELECT p.conv_id, j.i, e.to_q AS q,
+      lpad(CAST(CAST(left(p.sorting, 12) AS BIGINT) + x.price + e.price + CASE WHEN fault = 'truncated' AND letter <> 'D' THEN 3 ELSE 0 END AS VARCHAR), 12, '0')
+        || substr(p.sorting, 13) || x.letters || letter AS sorting,
+      p.said || x.said || CASE letter WHEN 'D' THEN '' WHEN 'K' THEN chr(10) || j.role || ':' || text ELSE chr(10) || e.role || ':' || text END AS said
+    FROM paths p JOIN judged j ON p.conv_id IS NOT DISTINCT FROM j.conv_id AND j.i = p.i + 1 JOIN inserts x ON x.q = p.q JOIN edits e ON e.q = x.to_q
+    WHERE letter = 'D' OR (fault NOT IN ('blank', 'duplicate') AND (letter = 'R' OR e.initial = j.initial)))
+  GROUP BY conv_id, i, q),
+ended AS (
+  SELECT conv_id, min(sorting) AS sorting, arg_min(said, sorting) AS said FROM (
+    SELECT p.conv_id, lpad(CAST(CAST(left(p.sorting, 12) AS BIGINT) + x.price AS VARCHAR), 12, '0') || substr(p.sorting, 13) || x.letters AS sorting, p.said || x.said AS said
+    FROM paths p JOIN totals t ON p.conv_id IS NOT DISTINCT FROM t.conv_id AND p.i = t.n JOIN inserts x ON x.q = p.q WHERE x.to_q IN ('0', 'a')) GROUP BY conv_id)
+SELECT c.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate,
+  CAST(coalesce(truncated, 0) AS BIGINT) AS truncated, CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(left(sorting, 12), '0') AS BIGINT) AS cost,
+  coalesce(substr(sorting, 13), '') AS audit, sha256(coalesce(substr(said, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN totals t ON c.conv_id IS NOT DISTINCT FROM t.conv_id LEFT JOIN ended e ON c.conv_id IS NOT DISTINCT FROM e.conv_id
+"""

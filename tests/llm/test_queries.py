@@ -15,6 +15,9 @@ CONTRACTS = {
     "op8": ({"doc_id", "start", "end", "first_doc"}, None),
     "op9": ({"conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"}, None),
     "op10": ({"doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"}, "documents"),
+    "op11": ({"conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256"}, None),
+    "op12": ({"page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"}, "pages"),
+    "op13": ({"doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"}, "documents"),
 }
 
 
