@@ -45,10 +45,15 @@ def join_hot(stream: DataFrame, dim: DataFrame, on: str, how: str = "left", hot:
         return stream.join(F.broadcast(dim), on, how)
     if hot is None:
         hot = hot_keys(stream.where(F.col(on).isNotNull()).groupBy(on).count(), on, "count", stream.count())
+    return join_shuffled(stream, dim, on, how, hot)
+
+
+def join_shuffled(stream: DataFrame, dim: DataFrame, on: str, how: str, hot: DataFrame) -> DataFrame:
+    """``join_hot`` for a ``dim`` that grows with the stream: one shuffle of all but the rows of hot keys, at every size."""
     hot_dim = F.broadcast(dim.join(F.broadcast(hot), on, "left_semi"))
     flagged = stream.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), on, "left")
     head = flagged.where("_hot").drop("_hot").join(hot_dim, on, how)
-    tail = flagged.where("_hot is null").drop("_hot").join(dim, on, how)
+    tail = flagged.where("_hot is null").drop("_hot").join(dim.hint("shuffle_merge"), on, how)
     return head.unionByName(tail)
 
 

@@ -29,6 +29,7 @@ SCHEMA = ("doc_id long, n_words long, spans array<struct<first:int,past:int>>, "
           "items array<string>, near_items array<string>")
 # Documents whose postings are held together: at most so many words, or one document.
 SHARD_WORDS = 4_000_000
+KEPT_ROWS = 2048  # rows that are judged together where whole rows are passed on
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -153,24 +154,29 @@ def _matches(shard: Shard, windows: Windows, within: int | None):
 def _search(windows_of_block, within: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = windows_of_block.value
-        ids, texts, held = [], [], 0
+        ids, texts, marks, held = [], [], [], 0
 
         def rows() -> pa.RecordBatch:
             spans, exact, close = _matches(Shard(texts, len(windows.terms)), windows, within)
             kinds = [pa.int64(), pa.int64(), pa.list_(pa.struct([("first", pa.int32()), ("past", pa.int32())])), pa.list_(pa.string()), pa.list_(pa.string())]
             cells = [ids, [len(t) for t in texts], spans, [sorted(x) for x in exact], [sorted(x) for x in close]]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cells, kinds)],
-                                              names=["doc_id", "n_words", "spans", "items", "near_items"])
+            names = ["doc_id", "n_words", "spans", "items", "near_items"]
+            if marks:
+                kinds, cells, names = [*kinds, pa.string()], [*cells, marks], [*names, "mark"]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cells, kinds)], names=names)
 
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            every_mark = batch.column(2).to_pylist() if batch.num_columns > 2 else repeat(None)
+            for doc, text, mark in zip(batch.column(0).to_pylist(), batch.column(1), every_mark):
                 words = numbered(text.as_py(), windows.terms)
                 ids.append(doc)
                 texts.append(words)
+                if batch.num_columns > 2:
+                    marks.append(mark)
                 held += len(words)
                 if held >= SHARD_WORDS:
                     yield rows()
-                    ids, texts, held = [], [], 0
+                    ids, texts, marks, held = [], [], [], 0
         if ids:
             yield rows()
 
@@ -204,15 +210,15 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, width: int = 10, wi
     """
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), as_bytes(text_col).alias("text"))
+    marked = source.select("doc_id", "text", F.sha2("text", 256).alias("mark"))
     parts = []
     for block in _blocks(benchmark, item_col, item_text_col, block_words):
         windows = spark.sparkContext.broadcast(Windows(block, width))
-        parts.append(source.mapInArrow(_search(windows, within), SCHEMA))
-    if not parts:
-        parts.append(source.mapInArrow(_search(spark.sparkContext.broadcast(Windows([], width)), None), SCHEMA))
-    if len(parts) == 1:
-        return parts[0]
-    return _over_blocks(source, parts)
+        parts.append(windows)
+    if len(parts) > 1:
+        return _over_blocks([marked.mapInArrow(_search(p, within), SCHEMA + ", mark string") for p in parts])
+    windows = parts[0] if parts else spark.sparkContext.broadcast(Windows([], width))
+    return source.mapInArrow(_search(windows, within if parts else None), SCHEMA)
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_words: int = 1_000_000,
@@ -223,10 +229,12 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10,
     def keep(shared):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             windows = shared.value
-            for batch in batches:
-                texts = [numbered(t.as_py().encode() if t.is_valid else None, windows.terms) for t in batch.column(at)]
-                spans, _, _ = _matches(Shard(texts, len(windows.terms)), windows, None)
-                yield pa.RecordBatch.from_arrays(batch.filter(pa.array([not s for s in spans], pa.bool_())).columns, names=names)
+            for whole in batches:
+                for first in range(0, whole.num_rows, KEPT_ROWS):
+                    batch = whole.slice(first, KEPT_ROWS)
+                    texts = [numbered(t.as_py().encode() if t.is_valid else None, windows.terms) for t in batch.column(at)]
+                    spans, _, _ = _matches(Shard(texts, len(windows.terms)), windows, None)
+                    yield pa.RecordBatch.from_arrays(batch.filter(pa.array([not s for s in spans], pa.bool_())).columns, names=names)
 
         return run
 
@@ -235,12 +243,12 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10,
     return docs
 
 
-def _over_blocks(source: DataFrame, parts: list[DataFrame]) -> DataFrame:
-    """Rows of several benchmark blocks; repeated document rows stay apart by an ordinal."""
+def _over_blocks(parts: list[DataFrame]) -> DataFrame:
+    """Rows of several benchmark blocks, brought together by id and digest of the text; rows that repeat both are alike and stay as many as they were."""
     every = parts[0]
     for part in parts[1:]:
         every = every.unionByName(part)
-    merged = every.groupBy("doc_id").agg(
+    merged = every.groupBy("doc_id", "mark").agg(
         F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_set("spans"))).alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("near_items")))).alias("near_items"),

@@ -16,9 +16,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from opinaria.llm.common import as_bytes
+from opinaria.llm.common import HOT_SHARE, as_bytes
+from opinaria.session import cut_lineage
 
 UNKNOWN = "und"
+DRAWS = 1 << 40
 LETTER = re.compile(r"[^\W\d_]").search
 WIDTHS = (2, 3, 4, 5)
 
@@ -114,8 +116,14 @@ def train(docs: DataFrame, learn: Column, per_language: int = 600, max_windows:
     the smallest hashes of their id, and of their windows at most ``max_windows``, the same share of each text. None without any."""
     rows = docs.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), as_bytes(text_col).alias("text"))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    ids = rows.select("id", "lang").withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language).select("id").distinct()
+    drawn = F.pmod(F.xxhash64("id"), F.lit(DRAWS))
+    # Of a language with over 1/1000 of the rows (fewer than a thousand are) hashes above a bound have no chance, so it does not send its rows to one task.
+    counts = cut_lineage(rows.groupBy("lang").count())
+    total = counts.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
+    bounds = counts.where(F.col("count") * HOT_SHARE > total).select("lang", ((1.2 * per_language + 200) / F.col("count") * DRAWS).alias("bound"))
+    likely = rows.select("id", "lang").join(F.broadcast(bounds), "lang", "left").where(F.col("bound").isNull() | (drawn < F.col("bound")))
+    order = Window.partitionBy("lang").orderBy(drawn, "id")
+    ids = likely.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language).select("id").distinct()
     sample = rows.join(F.broadcast(ids), "id", "left_semi").toArrow().sort_by([("lang", "ascending"), ("id", "ascending")])
     sample = [(lang, text) for lang, text in zip(sample["lang"].to_pylist(), sample["text"].to_pylist()) if LETTER(text.decode())]
     languages = sorted({lang for lang, _ in sample})

@@ -192,28 +192,37 @@ def one_per_group(docs: DataFrame, max_bits: int = 3, shingle: int = 3, id_col:
     """``docs`` with one document of each near-duplicate group: the one with the smallest id, once.
 
     The texts are not shuffled while the ids that go are few enough to broadcast (counted first). Rows without an id stay only where no
-    row of their group has one, once per fingerprint.
+    row of their group has one, once per fingerprint. All columns stay as they are, whatever their names.
     """
     found = cut_lineage(near_duplicates(docs, max_bits, shingle, id_col=id_col, text_col=text_col))
+    own, rep, fp = (unused(docs, name) for name in ("own_id", "rep", "fp"))
     losers = cut_lineage(found.where("doc_id <> component_id").select("doc_id").distinct())
     small = losers.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS
-    kept = docs.withColumn("_id", F.col(id_col).cast("long"))
-    kept = kept.join((F.broadcast(losers) if small else losers).withColumnRenamed("doc_id", "_id"), "_id", "left_anti")
+    kept = docs.withColumn(own, F.col(id_col).cast("long"))
+    kept = kept.join((F.broadcast(losers) if small else losers).withColumnRenamed("doc_id", own), own, "left_anti")
     repeated = found.join(losers, "doc_id", "left_anti").groupBy("doc_id").count().where("count > 1 or doc_id is null")
-    repeated = cut_lineage(repeated.select(F.col("doc_id").alias("_rep")))
+    repeated = cut_lineage(repeated.select(F.col("doc_id").alias(rep)))
     if repeated.isEmpty():
         return kept.select(docs.columns)
-    alone = kept.join(repeated, F.col("_id") == F.col("_rep"), "left_anti").where("_id is not null")
-    again = kept.join(repeated, F.col("_id") == F.col("_rep"), "left_semi").dropDuplicates(["_id"])
-    anonymous = kept.where("_id is null")
+    alone = kept.join(repeated, F.col(own) == F.col(rep), "left_anti").where(F.col(own).isNotNull())
+    again = kept.join(repeated, F.col(own) == F.col(rep), "left_semi").dropDuplicates([own])
+    anonymous = kept.where(F.col(own).isNull())
     bare = cut_lineage(fingerprints(anonymous, shingle, id_col, text_col).select("fp").distinct()
-                       .join(found.where("component_id is null").select("fp").distinct(), "fp", "left_semi"))
-    unnamed = _with_fingerprint(anonymous, shingle, text_col).join(bare, "fp", "left_semi").dropDuplicates(["fp"])
+                       .join(found.where("component_id is null").select("fp").distinct(), "fp", "left_semi")).select(F.col("fp").alias(fp))
+    unnamed = _with_fingerprint(anonymous, shingle, text_col, fp).join(bare, fp, "left_semi").dropDuplicates([fp])
     return alone.select(docs.columns).unionByName(again.select(docs.columns)).unionByName(unnamed.select(docs.columns))
 
 
-def _with_fingerprint(docs: DataFrame, shingle: int, text_col: str) -> DataFrame:
+def unused(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` does not have."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
+def _with_fingerprint(docs: DataFrame, shingle: int, text_col: str, name: str) -> DataFrame:
     def run(texts: pd.Series) -> pd.Series:
         return pd.Series(np.array([fingerprint(t.encode() if t is not None else None, shingle) for t in texts], np.uint64).view(np.int64))
 
-    return docs.withColumn("fp", F.pandas_udf(run, "long")(F.col(text_col)))
+    return docs.withColumn(name, F.pandas_udf(run, "long")(F.col(text_col)))

@@ -5,7 +5,8 @@ on the bytes around them alone and an insertion shifts no later chunk. Chunks ar
 a document with a smaller id holds the same one. Repeats that follow each other form a run, the run is extended byte by byte at both
 ends as far as the first document agrees, and a run of at least ``min_words`` whole words is a repeated passage.
 
-Only digests and positions are shuffled. Very common chunks are looked up in a broadcast table of hot digests (see ``join_hot``).
+Digests and positions are shuffled, very common chunks are looked up in a broadcast table of hot digests (see ``join_hot``), and the texts are shuffled twice:
+to the places whose surroundings are read and to their own repeats. The plan is the same at every size.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from opinaria.llm.common import as_bytes, hot_keys, join_hot
+from opinaria.llm.common import as_bytes, hot_keys, join_hot, join_shuffled
 from opinaria.session import cut_lineage
 
 GEAR = np.random.default_rng(2024).integers(0, 1 << 32, 256, dtype=np.uint32)
@@ -27,6 +28,7 @@ REACH = 20  # a boundary is the smallest hash among so many positions on either
 LONGEST = 1023  # longer chunks (repetitive bytes) are cut at multiples of this
 EDGE = 256  # bytes by which a run may grow at either end; boundaries differ only within some forty bytes of a passage's ends
 NO_ID = (1 << 63) - 1  # rows without an id come last
+LATER = f"doc_id > first_doc or doc_id = {NO_ID} and first_doc = {NO_ID} and copy > first_copy"
 BLANKS = np.zeros(256, bool)
 BLANKS[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
@@ -157,19 +159,22 @@ def passages_of(text: bytes, runs: list[dict], min_words: int) -> list[tuple[int
 def _runs(source: DataFrame, min_words: int) -> DataFrame:
     """Candidate runs per document: (doc_id, copy, runs). A passage's whole chunks hold a quarter of its words at least."""
     pieces = cut_lineage(chunks(source))
-    repeated = cut_lineage(pieces.groupBy("digest").agg(F.count(F.lit(1)).alias("many"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
-                           .where("many > 1 and first_doc <> last_doc"))
+    holder = F.struct("doc_id", "copy")
+    repeated = cut_lineage(pieces.groupBy("digest").agg(F.count(F.lit(1)).alias("many"), F.min(holder).alias("first"), F.max(holder).alias("last"))
+                           .where(f"many > 1 and (first.doc_id <> last.doc_id or first.doc_id = {NO_ID} and first.copy <> last.copy)")
+                           .select("digest", "many", F.col("first.doc_id").alias("first_doc"), F.col("first.copy").alias("first_copy")))
     hot = hot_keys(repeated, "digest", "many", pieces.count())
-    hits = cut_lineage(join_hot(pieces, repeated.select("digest", "first_doc"), "digest", "inner", hot))
+    hits = cut_lineage(join_shuffled(pieces, repeated.drop("many"), "digest", "inner", hot))
     inside = Window.partitionBy("doc_id", "copy")
-    island = hits.where("doc_id > first_doc").withColumn("island", F.col("n") - F.row_number().over(inside.orderBy("n")))
+    # Equal rows (id and text) hold the same chunks, so places are numbered densely: every one of them is in the island of the others.
+    island = hits.where(LATER).withColumn("island", F.col("n") - F.dense_rank().over(inside.orderBy("n")))
     first, last = (lambda c: F.min_by(c, "n")), (lambda c: F.max_by(c, "n"))
     runs = island.groupBy("doc_id", "copy", "island").agg(
         F.min("start").alias("start"), F.max(F.col("start") + F.col("len")).alias("end"), F.sum("words").alias("words"),
         first("digest").alias("head"), last("digest").alias("tail"), first("first_doc").alias("first_doc"))
     runs = cut_lineage(runs.where(F.col("words") >= min_words // 4).drop("island", "words"))
     ends = runs.select(F.col("head").alias("digest")).union(runs.select("tail")).distinct()
-    places = (hits.where("doc_id = first_doc").join(ends, "digest", "left_semi").groupBy("digest")
+    places = (hits.where("doc_id = first_doc and copy = first_copy").join(ends, "digest", "left_semi").groupBy("digest")
               .agg(F.min(F.struct("doc_id", "copy", "start", "len")).alias("at")).select("digest", "at.*"))
     wanted = cut_lineage(places.groupBy("doc_id", "copy").agg(F.collect_list(F.struct("digest", "start", "len")).alias("places")))
 
@@ -180,7 +185,7 @@ def _runs(source: DataFrame, min_words: int) -> DataFrame:
             columns = list(zip(*rows)) or [[], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.binary(), pa.binary()))], names=["digest", "before", "after"])
 
-    around = cut_lineage(_with_text(source, wanted, "places").select("text", "places").mapInArrow(contexts, "digest long, before binary, after binary"))
+    around = cut_lineage(_with_text(source, wanted).select("text", "places").mapInArrow(contexts, "digest long, before binary, after binary"))
     before = around.select(F.col("digest").alias("head"), "before")
     after = around.select(F.col("digest").alias("tail"), "after")
     extended = join_hot(cut_lineage(join_hot(runs, before, "head")), after, "tail")
@@ -188,26 +193,19 @@ def _runs(source: DataFrame, min_words: int) -> DataFrame:
         F.collect_list(F.struct("start", "end", "before", "after", "first_doc")).alias("runs")))
 
 
-def _with_text(source: DataFrame, dim: DataFrame, column: str, how: str = "inner") -> DataFrame:
-    """Join per-document data to the texts: broadcast when counted small, else one shuffle by document."""
-    key = F.xxhash64("doc_id", "copy")
-    left, right = source.withColumn("_row", key), dim.select(key.alias("_row"), F.col("doc_id").alias("_doc"), F.col("copy").alias("_copy"), column)
-    # A place is three numbers; a run is five and the text around it.
-    entry = F.size(column) * 40 if column == "places" else F.aggregate(
-        column, F.lit(0), lambda n, r: n + 80 + F.coalesce(F.octet_length(r["before"]), F.lit(0)) + F.coalesce(F.octet_length(r["after"]), F.lit(0)))
-    joined = left.join(F.broadcast(right) if _small(dim, entry) else right, "_row", how)
-    keep = (F.col("_doc").isNull()) | ((F.col("_doc") == F.col("doc_id")) & (F.col("_copy") == F.col("copy")))
-    return joined.where(keep).drop("_row", "_doc", "_copy")
+def _with_text(source: DataFrame, dim: DataFrame, how: str = "inner") -> DataFrame:
+    """Join per-document lists to the texts by one shuffle of the texts. The lists grow with the documents, so at no size they are broadcast; a task
+    holds the lists of its share of the documents and streams the texts past them."""
+    return source.join(dim.hint("shuffle_hash"), ["doc_id", "copy"], how)
 
 
-def _small(dim: DataFrame, entry: Column, max_bytes: int = 16_000_000) -> bool:
-    """Whether per-document lists fit a broadcast, by the bytes of their entries in a written table."""
-    return (dim.agg(F.sum(entry)).first()[0] or 0) <= max_bytes
+def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(*identity(id_col, text_col), as_bytes(text_col).alias("text")).where("text is not null")
 
 
-def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    text = as_bytes(text_col)
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.crc32(text).alias("copy"), text.alias("text")).where("text is not null")
+def identity(id_col: str, text_col: str) -> list[Column]:
+    """A row's (doc_id, copy): its id, the largest number where it has none, and a digest of its text."""
+    return [F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64(as_bytes(text_col)).alias("copy")]
 
 
 def repeated_passages(docs: DataFrame, min_words: int = 48, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -215,19 +213,21 @@ def repeated_passages(docs: DataFrame, min_words: int = 48, id_col: str = "doc_i
 
     A passage is a run of whole words that repeats chunks of documents with smaller ids. ``first_doc`` is the first holder of the passage's
     first whole chunk. Repeats within one document do not count. Null and empty texts have none; rows without an id come after all
-    others (their doc_id is null again in the result); rows that repeat both id and text each give their passages; other columns are
-    ignored; an empty table gives no rows.
+    others, in the order of a digest of their texts, so that a passage which only such rows share is a repeat in all but one of them (their doc_id is null
+    again in the result, and so is a ``first_doc`` without an id). Rows that repeat both id and text are one document and each give its passages;
+    other columns are ignored; an empty table gives no rows. A stretch whose words repeat with a period below ``REACH`` bytes has no boundary and
+    is cut at multiples of ``LONGEST``; there an insertion shifts the chunks up to the next boundary.
     """
     source = _source(docs, id_col, text_col)
     runs = _runs(source, min_words)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(doc if doc != NO_ID else None, *p) for doc, text, found in zip(*(c.to_pylist() for c in batch.columns)) for p in passages_of(text, found, min_words)]
+            rows = [(doc if doc != NO_ID else None, *p[:3], p[3] if p[3] != NO_ID else None) for doc, text, found in zip(*(c.to_pylist() for c in batch.columns)) for p in passages_of(text, found, min_words)]
             columns = list(zip(*rows)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "start", "end", "words", "first_doc"])
 
-    found = _with_text(source, runs, "runs").select("doc_id", "text", "runs")
+    found = _with_text(source, runs).select("doc_id", "text", "runs")
     return found.mapInArrow(find, "doc_id long, start long, end long, words long, first_doc long")
 
 
@@ -255,5 +255,5 @@ def without_repeats(docs: DataFrame, min_words: int = 48, id_col: str = "doc_id"
 
     docs_columns = docs.columns
     at_text, at_runs = docs_columns.index(text_col), len(docs_columns)
-    keyed = docs.select(F.struct("*").alias("_all"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.crc32(as_bytes(text_col)).alias("copy"))
-    return _with_text(keyed, runs, "runs", "left").select("_all.*", F.col("runs").alias("_runs")).mapInArrow(cut, docs.schema)
+    keyed = docs.select(F.struct("*").alias("_all"), *identity(id_col, text_col))
+    return _with_text(keyed, runs, "left").select("_all.*", F.col("runs").alias("_runs")).mapInArrow(cut, docs.schema)

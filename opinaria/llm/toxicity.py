@@ -170,7 +170,7 @@ def fit_chain(features: list[np.ndarray], labels: np.ndarray, fold: np.ndarray,
     return Chain(categories, words[used], [Linear(m.weights[used], m.chained, m.bias) for m in models], thresholds)
 
 
-def train(docs: DataFrame, labels: DataFrame, categories: list[str], max_rows: int = 10_000, folds: int = 5,
+def train(docs: DataFrame, labels: DataFrame, categories: list[str], max_rows: int = 20_000, folds: int = 5,
           id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id") -> Chain:
     """Fit the chain on at most ``max_rows`` labelled documents, those with the smallest hashes of their id.
 
@@ -210,11 +210,11 @@ def score(docs: DataFrame, chain: Chain, text_col: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            parts = [batch.column(at).slice(k, SCORED).to_pylist() for k in range(0, batch.num_rows, SCORED)]
-            p = np.concatenate([model.scores([features_of(t.encode() if t is not None else None) for t in part]) for part in parts] or
-                               [np.zeros((0, len(model.models)))])
-            flags = [pa.array(p[:, k] >= t) for k, t in enumerate(model.thresholds)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(c) for c in p.T], *flags], names=[*kept, *new])
+            for first in range(0, batch.num_rows, SCORED):
+                part = batch.slice(first, SCORED)
+                p = model.scores([features_of(t.as_py().encode() if t.is_valid else None) for t in part.column(at)])
+                flags = [pa.array(p[:, k] >= t) for k, t in enumerate(model.thresholds)]
+                yield pa.RecordBatch.from_arrays([*part.columns, *[pa.array(c) for c in p.T], *flags], names=[*kept, *new])
 
     fields = StructType(list(source.schema.fields))
     for name in new:

@@ -15,6 +15,7 @@ from functools import lru_cache
 
 WORD_END = b"\xff"  # stands for the vocabulary's end-of-word mark; no UTF-8 text holds this byte
 SUFFIX = "</w>"
+ENTRY_BYTES = 170  # of a dictionary entry, beside the contents of the two byte strings
 PLAIN_WORD = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]?)").fullmatch
 ASCII_WORD = re.compile(r"[!-~]+").fullmatch
 # The pre-tokenizer's pattern on lower-case ASCII.
@@ -32,12 +33,12 @@ def _byte_of_sign() -> dict[str, int]:
 class WordIds(dict):
     """word (bytes) -> its ids as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, path: str, max_words: int = 300_000):
+    def __init__(self, path: str, max_bytes: int = 24_000_000):
         import tiktoken
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.max_words = max_words
+        self.max_bytes, self.held = max_bytes, 0
         self.full = Tokenizer.from_file(path)
         model = json.loads(self.full.to_str())["model"]
         signs = _byte_of_sign()
@@ -49,8 +50,9 @@ class WordIds(dict):
         self.merge = tiktoken.Encoding("words", pat_str=".+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
 
     def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= self.max_words:
+        if self.held >= self.max_bytes:
             self.clear()
+            self.held = 0
         text = word.decode()
         if plain := PLAIN_WORD(text):
             ids = self.merge(plain[1].lower().encode() + WORD_END)
@@ -61,6 +63,7 @@ class WordIds(dict):
         else:
             ids = self.full.encode(text, add_special_tokens=False).ids
         self[word] = packed = array("I", ids).tobytes()
+        self.held += len(word) + len(packed) + ENTRY_BYTES
         return packed
 
     def encode(self, text: bytes) -> bytes:

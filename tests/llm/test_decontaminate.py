@@ -48,6 +48,13 @@ def test_blocks_of_the_benchmark_give_the_same_rows(spark):
     assert found(benchmark_matches(docs, items, width=4, within=6, block_words=5)) == whole
 
 
+def test_unequal_rows_under_one_id_stay_apart_over_blocks(spark):
+    rows = [(1, "a b c d"), (1, "x y z w q"), (None, "a b c"), (None, "clean text"), (1, "a b c d")]
+    items = [(10, "a b c"), (11, "x y z")]
+    docs, benchmark = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert found(benchmark_matches(docs, benchmark, width=3, within=4, block_words=3)) == brute(rows, items, 3, 4)
+
+
 def test_empty_tables(spark):
     docs, items = frames(spark)
     assert found(benchmark_matches(docs.limit(0), items)) == []

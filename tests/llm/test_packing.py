@@ -22,7 +22,7 @@ def test_cached_ids_equal_the_tokenizer(spark, tokenizer):
     texts = [r.text for r in spark.read.parquet(DOCUMENTS).select("text").collect()]
     texts += ["", "  \n\t", "Don't they'LL stop??? 12.5% <|endoftext|>x <|startoftext|> \x1c a\x85b\xa0c", "Ünïcode façade ß İstanbul ΣΑΣ ς",
               "éclair café, 日本語 текст 😀👍🏽", "a" * 5000 + "!", "snake_case x--y ''s 's", "½ ² Ⅷ ٣"]
-    table = WordIds(tokenizer_path(), max_words=500)
+    table = WordIds(tokenizer_path(), max_bytes=100_000)
     for text in texts:
         expected = tokenizer.encode(text, add_special_tokens=False).ids
         assert list(array("I", table.encode(text.encode()))) == expected, text[:60]

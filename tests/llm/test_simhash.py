@@ -5,7 +5,7 @@ import pytest
 import xxhash
 
 from opinaria.llm.common import components
-from opinaria.llm.simhash import PivotTable, bucket_links, fingerprint, links, near_duplicates
+from opinaria.llm.simhash import PivotTable, bucket_links, fingerprint, links, near_duplicates, one_per_group
 
 
 def slow_fingerprint(text):
@@ -75,3 +75,11 @@ def test_documents_equal_brute_force(spark):
         if r.doc_id is not None:
             assert (r.fp % (1 << 64), r.component_id) == (prints[r.doc_id], want[r.doc_id])
     assert near_duplicates(frame.limit(0)).collect() == []
+
+
+def test_one_per_group_keeps_columns_of_any_name(spark):
+    rows = [(1, "a b c", 7, 1, 2, 3), (1, "a b c", 7, 1, 2, 3), (2, "a b c", 7, 1, 2, 3), (3, "q r s t", 7, 1, 2, 3), (None, "lone words", 7, 1, 2, 3), (None, "lone words", 7, 1, 2, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, own_id int, rep int, fp int, _id int")
+    got = one_per_group(docs)
+    assert got.columns == docs.columns
+    assert sorted((tuple(r) for r in got.collect()), key=str) == sorted([rows[0], rows[3], rows[4]], key=str)

@@ -62,12 +62,30 @@ def test_longest_common_runs_equal_brute_force(spark):
             want.add(doc)
         for g in grams:
             seen.setdefault(g, doc)
-    found = {r.doc_id for r in repeated_passages(frame(spark, rows)).collect()}
+    rows_found = repeated_passages(frame(spark, rows)).collect()
+    found = {r.doc_id for r in rows_found}
     assert want and want <= found
+    # And the other way: the words of every span stand in a text with a smaller id, but for joints of runs from several texts.
+    texts, held = dict(rows), {}
+    for doc, t in sorted(rows):
+        words = t.split()
+        for k in range(len(words) - 11):
+            held.setdefault(" ".join(words[k : k + 12]), doc)
+    for r in rows_found:
+        words = texts[r.doc_id].encode()[r.start : r.end].decode().split()
+        assert len(words) == r.words >= 48
+        known = [held[" ".join(words[k : k + 12])] < r.doc_id for k in range(len(words) - 11)]
+        assert sum(known) >= 0.7 * len(known)
 
 
 def test_repeated_rows_and_empty_table(spark):
     t = text(100, 3)
     docs = frame(spark, [(1, t), (1, t), (2, t), (2, t), (2, "z " + t)])
     assert sorted(r.doc_id for r in repeated_passages(docs).collect()) == [2, 2, 2]
+    twice = frame(spark, [(5, text(400, 30)), (6, f"a {text(400, 30)} b"), (6, f"a {text(400, 30)} b")])
+    assert [(r.doc_id, r.words, r.first_doc) for r in repeated_passages(twice).collect()] == [(6, 400, 5)] * 2
+    bare = [(None, f"{text(90, 40 + k)} {text(400, 31)}") for k in range(3)]
+    found = repeated_passages(frame(spark, bare)).collect()
+    assert [(r.doc_id, r.words, r.first_doc) for r in found] == [(None, 400, None)] * 2
+    assert sum(len(r.text.split()) == 90 for r in without_repeats(frame(spark, bare)).collect()) == 2
     assert repeated_passages(docs.limit(0)).collect() == [] and without_repeats(docs.limit(0)).collect() == []
