@@ -20,6 +20,7 @@ from pyspark.sql.types import StructType
 
 from opinaria.llm.common import as_bytes, hash_sample
 from opinaria.llm.decontaminate import words_of
+from opinaria.session import cut_lineage
 
 
 SCORED = 256  # documents whose features are held together
@@ -43,7 +44,7 @@ class Rows:
     width: int
 
     def take(self, keep: np.ndarray) -> Rows:
-        number = np.cumsum(keep) - 1
+        number = (np.cumsum(keep) - 1).astype(np.int32)
         inside = keep[self.row]
         return Rows(number[self.row[inside]], self.feature[inside], int(keep.sum()), self.width)
 
@@ -136,28 +137,14 @@ class Chain:
         return out
 
 
-def _numbered(features: list[np.ndarray], min_rows: int) -> tuple[np.ndarray, Rows]:
-    """Features that can occur in ``min_rows`` rows, and the rows by feature number; most features are rare, so those whose
-    22-bit bucket has too few rows are left out before anything is sorted."""
-    buckets = np.zeros(1 << 22, np.int32)
-    for x in features:
-        np.add.at(buckets, (x >> np.uint64(42)).astype(np.int32), 1)
-    frequent = buckets >= min_rows
-    features = [x[frequent[(x >> np.uint64(42)).astype(np.int32)]] for x in features]
-    row = np.repeat(np.arange(len(features), dtype=np.int32), [len(x) for x in features])
-    words, number = np.unique(np.concatenate(features) if features else np.zeros(0, np.uint64), return_inverse=True)
-    return words, Rows(row, number.astype(np.int32), len(features), len(words))
-
-
-def fit_chain(features: list[np.ndarray], labels: np.ndarray, fold: np.ndarray, categories: list[str], folds: int, min_rows: int = 5) -> Chain:
-    """``labels`` (row, category) with nan where unknown; ``fold`` assigns rows to folds."""
-    words, rows = _numbered(features, min_rows)
-    earlier = np.zeros((len(features), 0))
+def fit_chain(words: np.ndarray, rows: Rows, labels: np.ndarray, fold: np.ndarray, categories: list[str], folds: int, min_rows: int = 5) -> Chain:
+    """``words`` are the sorted hashes of the features of ``rows``; ``labels`` (row, category) with nan where unknown; ``fold`` assigns rows to folds."""
+    earlier = np.zeros((rows.n, 0))
     models, thresholds = [], []
     for k in range(len(categories)):
         y = labels[:, k]
         known = ~np.isnan(y)
-        out_of_fold = np.zeros(len(features))
+        out_of_fold = np.zeros(rows.n)
         for part in range(folds):
             train = known & (fold != part)
             model = fit_linear(rows.take(train), earlier[train], y[train], min_rows=min_rows)
@@ -171,10 +158,11 @@ def fit_chain(features: list[np.ndarray], labels: np.ndarray, fold: np.ndarray,
 
 
 def train(docs: DataFrame, labels: DataFrame, categories: list[str], max_rows: int = 20_000, folds: int = 5,
-          id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id") -> Chain:
+          min_rows: int = 5, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id") -> Chain:
     """Fit the chain on at most ``max_rows`` labelled documents, those with the smallest hashes of their id.
 
-    Only hashed words of these documents reach the driver. Repeated label rows of one document count once (the largest
+    Features that fewer than ``min_rows`` of them hold are in no model, so they are counted out first; only the numbers of the others in these
+    documents reach the driver. Repeated label rows of one document count once (the largest
     labels); unlabelled categories of a row are left out of that category's model.
     """
     marks = labels.where(F.col(label_id_col).isNotNull()).groupBy(F.col(label_id_col).cast("long").alias("_id")).agg(
@@ -183,16 +171,38 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], max_rows: i
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cells = [features_of(t.as_py()).tobytes() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cells, pa.binary()), *batch.columns[2:]], names=["id", "words", *batch.schema.names[2:]])
+            cells = [features_of(t.as_py()).view(np.int64) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cells, pa.list_(pa.int64())), *batch.columns[2:]], names=["id", "words", *batch.schema.names[2:]])
 
     ys = [f"_y{k}" for k in range(len(categories))]
+    labelled = ", ".join(f"{y} double" for y in ys)
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), as_bytes(text_col).alias("_text"))
-    found = texts.join(F.broadcast(sample), "_id").select("_id", "_text", *ys).mapInArrow(
-        hashed, "id long, words binary, " + ", ".join(f"{y} double" for y in ys)).toArrow().sort_by("id")
-    y = np.column_stack([found[c].to_numpy() for c in ys]) if len(found) else np.zeros((0, len(categories)))
-    fold = np.array([xxhash.xxh3_64_intdigest(str(i)) % folds for i in found["id"].to_pylist()], np.int64)
-    return fit_chain([np.frombuffer(w, np.uint64) for w in found["words"].to_pylist()], y.astype(float), fold, categories, folds)
+    found = cut_lineage(texts.join(F.broadcast(sample), "_id").select("_id", "_text", *ys).mapInArrow(hashed, f"id long, words array<long>, {labelled}"))
+    frequent = found.select(F.explode("words").alias("word")).groupBy("word").count().where(F.col("count") >= min_rows).select("word").toArrow()
+    words = np.sort(frequent["word"].to_numpy().view(np.uint64))
+    del frequent
+    shared = docs.sparkSession.sparkContext.broadcast(words)
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        for batch in batches:
+            cells = []
+            for row in batch.column(1):
+                x = row.values.to_numpy().view(np.uint64)
+                at = np.searchsorted(known, x)
+                inside = at < len(known)
+                inside[inside] = known[at[inside]] == x[inside]
+                cells.append(at[inside].astype(np.int32).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cells, pa.binary()), *batch.columns[2:]], names=batch.schema.names)
+
+    got = found.mapInArrow(numbered, f"id long, words binary, {labelled}").toArrow().sort_by("id")
+    y = np.column_stack([got[c].to_numpy() for c in ys]) if len(got) else np.zeros((0, len(categories)))
+    fold = np.array([xxhash.xxh3_64_intdigest(str(i)) % folds for i in got["id"].to_pylist()], np.int64)
+    features = [np.frombuffer(w.as_buffer(), np.int32) for w in got["words"]]
+    row = np.repeat(np.arange(len(features), dtype=np.int32), [len(x) for x in features])
+    rows = Rows(row, np.concatenate(features) if features else np.zeros(0, np.int32), len(features), len(words))
+    del got, features
+    return fit_chain(words, rows, y.astype(float), fold, categories, folds, min_rows)
 
 
 def score(docs: DataFrame, chain: Chain, text_col: str = "text") -> DataFrame:
