@@ -91,13 +91,14 @@ def strip_accents_ascii(col: Column) -> Column:
     one, several = _decompositions()
     # One literal text, parsed once when the plan is made; the signs below cannot occur in it otherwise.
     spelled = F.str_to_map(F.lit("\x01".join(f"{k}\x02{v}" for k, v in several.items())), F.lit("\x01"), F.lit("\x02"))
-    rare = "[" + "".join(several) + "]"
+    rare, mark = "".join(several), "\ue000"
 
     def spell_out(text: Column) -> Column:
         return F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(spelled, c), c)), "")
 
     def fold(text: Column) -> Column:
-        text = let(text, lambda t: F.when(t.rlike(rare), spell_out(t)).otherwise(t))
+        # One pass marks the signs that need a spelling; a class of hundreds of signs in a pattern would be tried sign by sign.
+        text = let(text, lambda t: F.when(F.contains(F.translate(t, rare, mark * len(rare)), F.lit(mark)), spell_out(t)).otherwise(t))
         return F.regexp_replace(F.translate(text, "".join(one), "".join(one.values())), "[^\\x00-\\x7F]", "")
 
     return _if_not_ascii(col, fold)

@@ -1,18 +1,22 @@
 """Lexicon sentiment scores (the VADER rules of Hutto & Gilbert 2014, as adapted to Portuguese).
 
-Plan: tokens are cut inside the row, exploded with their three left neighbours, and reduced at
-once to the tokens a broadcast lexicon knows. Only those hits - a small share of the text - are
-shuffled, once, by document; the text itself never is.
+Plan: tokens are cut inside the row and zipped with their three left neighbours; a table of hash buckets, bounded
+in size, drops nearly all that the lexicon cannot know before anything is exploded, and the lexicon itself
+decides about the rest. Only those hits - a small share of the text - are shuffled, once, by document; the text itself never is.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from heapq import heappop, heappush
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from opinaria.functions.tokens import round_exact
 from opinaria.functions.translit import strip_accents_ascii
@@ -94,16 +98,32 @@ def replace_emoji(df: DataFrame, emoji: DataFrame, id_col: str = "doc_id", text:
         lambda t: t["word"]), " ").alias(text))
 
 
+# Hash buckets of the words a scorer knows, one byte each; a larger lexicon fills the table and lets more words through to the join.
+KNOWN_BUCKETS = 1 << 18
+
+
+def bucket_test(words: DataFrame, column: str) -> Callable[[Column], Column]:
+    """A test that holds for every word of a table, and for few others while the table is small beside ``KNOWN_BUCKETS``."""
+    def bucket_of(word: Column) -> Column:
+        return F.pmod(F.xxhash64(word), F.lit(KNOWN_BUCKETS)).cast("int")
+
+    flags = bytearray(KNOWN_BUCKETS)
+    for row in words.select(bucket_of(F.col(column)).alias("b")).distinct().collect():
+        flags[row["b"]] = 1
+    known, yes = F.lit(flags), F.lit(bytearray([1]))
+    return lambda word: F.substring(known, bucket_of(word) + 1, F.lit(1)) == yes
+
+
 def _neighbourhood(words: Column, lowered: Column, upper: Column) -> Column:
-    """One struct per word with the three words before it, lower-cased, and whether those are upper
-    case; first of all a mark that keeps wordless documents in the result. The neighbours
+    """One struct per word with its position, the three words before it, lower-cased, and whether those are upper
+    case; first of all a mark (position -1) that keeps wordless documents in the result. The neighbours
     are the same arrays zipped with a shift, so no word is looked up or folded again."""
     no_word, no_flag = F.lit(None).cast("string"), F.lit(None).cast("boolean")
 
     def shifted(values: Column, none: Column, by: int) -> Column:
         return F.concat(F.array(*[none] * by), values)
 
-    zipped = F.arrays_zip(shifted(words, no_word, 1).alias("word"), shifted(lowered, no_word, 1).alias("key"),
+    zipped = F.arrays_zip(F.sequence(F.lit(-1), F.size(words) - 1).alias("pos"), shifted(words, no_word, 1).alias("word"), shifted(lowered, no_word, 1).alias("key"),
                           *[shifted(lowered, no_word, d + 1).alias(f"k{d}") for d in (1, 2, 3)],
                           *[shifted(upper, no_flag, d + 1).alias(f"u{d}") for d in (1, 2, 3)])
     return F.slice(zipped, F.lit(1), F.size(words) + 1)
@@ -150,19 +170,42 @@ def contrast_plain(pos: Column, valence: Column, at: Column) -> Column:
     return F.when(pos < at, valence * 0.5).when(pos > at, valence * 1.5).otherwise(valence)
 
 
-def contrast_by_value(values: Column, positions: Column, at: Column) -> Column:
-    """Fold over the valences in text order: each step scales the first entry equal to the entry it
-    stands on, so equal values are scaled at the first of them. A step copies the array in bulk."""
-    factors = F.transform(positions, lambda p: contrast_plain(p, F.lit(1.0), at))
+def scaled_by_value(values: Sequence[float], factors: Sequence[float]) -> list[float]:
+    """One pass over the values: each step scales, by its own factor, the first entry equal to the entry the step stands on, so equal
+    values are scaled at the first of them. Every distinct value has a queue of the places that hold it, so a step costs the logarithm of a
+    queue; places whose value has changed since leave a queue when they come to its front."""
+    state = list(values)
+    places: dict[float, list[int]] = {}
+    for k, x in enumerate(state):
+        places.setdefault(x, []).append(k)
+    for k in range(len(state)):
+        x = state[k]
+        queue = places[x]
+        while state[queue[0]] != x:
+            heappop(queue)
+        first = queue[0]
+        moved = x * factors[first]
+        if moved != x:
+            heappop(queue)
+            state[first] = moved
+            heappush(places.setdefault(moved, []), first)
+    return state
+
+
+@F.pandas_udf(ArrayType(DoubleType()))
+def _scaled_rows(values: pd.Series, positions: pd.Series, at: pd.Series) -> pd.Series:
+    out = []
+    for v, p, a in zip(values, positions, at):
+        if len(v) == 0:
+            out.append(v)
+        else:
+            out.append(scaled_by_value(v.tolist(), np.select([p < a, p > a], [0.5, 1.5], 1.0).tolist()))
+    return pd.Series(out)
 
-    def fold(f: Column) -> Column:
-        def step(state: Column, i: Column) -> Column:
-            first = F.array_position(state, F.get(state, i)).cast("int")
-            return let(first, lambda j: F.concat(F.slice(state, F.lit(1), j - 1), F.array(F.get(state, j - 1) * F.get(f, j - 1)),
-                                                 F.slice(state, j + 1, F.size(state))))
-        return F.aggregate(F.sequence(F.lit(0), F.size(values) - 1), values, step)
 
-    return F.when(F.size(values) == 0, values).otherwise(let(factors, fold))
+def contrast_by_value(values: Column, positions: Column, at: Column) -> Column:
+    """``scaled_by_value`` of each row's valences in text order: halved before the contrast word, raised by half after it."""
+    return _scaled_rows(values, positions, F.coalesce(at, F.lit(-1)))
 
 
 def token_valences(df: DataFrame, lexicon: DataFrame, boosters: DataFrame, negations: DataFrame,
@@ -183,14 +226,15 @@ def token_valences(df: DataFrame, lexicon: DataFrame, boosters: DataFrame, negat
     # the first listed contrast word that occurs decides; its first position counts
     at = F.coalesce(*[F.nullif(F.array_position("_lower", F.lit(c)), F.lit(0)) for c in rules.contrast]) \
         if rules.contrast else F.lit(None).cast("bigint")
-    docs = computed(docs, n_words=F.size("_words"), mixed_caps=(n_upper > 0) & (n_upper < F.size("_words")),
-                    contrast_at=(at - 1).cast("int"), _w=_neighbourhood(F.col("_words"), F.col("_lower"), F.col("_upper")))
-    rows = docs.select(id_col, "emphasis", "n_words", "mixed_caps", "contrast_at", F.posexplode("_w").alias("pos", "_n")) \
-        .select(id_col, "emphasis", "n_words", "mixed_caps", "contrast_at", (F.col("pos") - 1).alias("pos"), "_n.*")
-
     # written once, read by four joins
     table = cut_lineage(word_table(lexicon, boosters, negations))
     small = fits_broadcast(table)
+    may_be_known = bucket_test(table.filter(F.col("measure").isNotNull() & F.col("boost").isNull()), "key")
+    near_hits = F.filter(_neighbourhood(F.col("_words"), F.col("_lower"), F.col("_upper")), lambda x: (x["pos"] < 0) | may_be_known(x["key"]))
+    docs = computed(docs, n_words=F.size("_words"), mixed_caps=(n_upper > 0) & (n_upper < F.size("_words")),
+                    contrast_at=(at - 1).cast("int"), _w=near_hits)
+    rows = docs.select(id_col, "emphasis", "n_words", "mixed_caps", "contrast_at", F.inline("_w"))
+
     hits = lookup(rows, table.select("key", "measure", "boost"), "key", salt=F.col(id_col), bounded=small)
     hits = hits.filter((F.col("pos") < 0) | (F.col("measure").isNotNull() & F.col("boost").isNull())).drop("boost")
 
@@ -237,7 +281,7 @@ def scores(valences: DataFrame, id_col: str = "doc_id", rules: Rules = Rules())
                  *[F.sum(F.when(F.col("contrast_at").isNull(), x)).alias(n) for n, x in _parts(v).items()]]
         grouped = valences.groupBy(id_col, *doc).agg(F.array_sort(hits).alias("_h"), *plain)
         lists = computed(grouped, _v=F.transform("_h", lambda x: x["v"]), _p=F.transform("_h", lambda x: x["pos"]))
-        folded = computed(lists, _f=contrast_by_value(F.col("_v"), F.col("_p"), F.col("contrast_at")))
+        folded = lists.withColumn("_f", contrast_by_value(F.col("_v"), F.col("_p"), F.col("contrast_at")))
 
         def total(part) -> Column:
             return F.aggregate("_f", F.lit(0.0), lambda a, x: a + part(x))

@@ -95,3 +95,37 @@ def test_emoji(spark):
 def test_label(spark):
     rows = spark.createDataFrame([(0.0,), (-0.1,), (0.2,)], "c double")
     assert [r[0] for r in rows.select(L.lexicon_label(rows["c"])).collect()] == ["positive", "negative", "positive"]
+
+
+def test_scaling_by_value_equals_a_scan_from_the_left():
+    import random
+
+    from opinaria.operators.lexicon import scaled_by_value
+
+    def slow(values, factors):
+        state = list(values)
+        for k in range(len(state)):
+            first = state.index(state[k])
+            state[first] *= factors[first]
+        return state
+
+    draw = random.Random(3)
+    for _ in range(500):
+        n = draw.randint(0, 40)
+        at = draw.randint(0, n + 1)
+        values = [draw.choice([2.0, 1.0, 0.5, 3.0, 1.5, -2.0, -1.0, 0.0]) for _ in range(n)]
+        factors = [0.5 if k < at else 1.5 if k > at else 1.0 for k in range(n)]
+        assert scaled_by_value(values, factors) == slow(values, factors)
+    long = [draw.choice([1.0, 2.0, 0.5]) for _ in range(200_000)]
+    assert len(scaled_by_value(long, [0.5] * 100_000 + [1.5] * 100_000)) == 200_000
+
+
+def test_bucket_test_lets_every_known_word_through(spark):
+    from pyspark.sql import functions as F
+
+    from opinaria.operators.lexicon import bucket_test
+
+    words = spark.range(3000).selectExpr("concat('word', id) as w")
+    test = bucket_test(words, "w")
+    assert words.filter(test(F.col("w"))).count() == 3000
+    assert spark.range(5000).selectExpr("concat('other', id) as w").filter(test(F.col("w"))).count() < 200
