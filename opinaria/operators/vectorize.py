@@ -86,6 +86,13 @@ def count_terms(docs: DataFrame, vocab: DataFrame, id_col: str = "doc_id", terms
     return hits.repartition(id_col).groupBy(id_col, *carry, "term").agg(F.count("*").alias("tf"))
 
 
+def sparse_rows(ids: DataFrame, cells: DataFrame, value: str, id_col: str = "doc_id") -> DataFrame:
+    """(id, idx, val): the cells (id, idx, value) of every row of ``ids`` as two arrays, empty for rows without a cell."""
+    pair = F.sort_array(F.collect_list(F.when(F.col("idx").isNotNull(), F.struct(F.col("idx").cast("int").alias("i"), F.col(value).cast("double").alias("v")))))
+    held = ids.select(id_col).join(cells.select(id_col, "idx", value), id_col, "left").groupBy(id_col).agg(pair.alias("_c"))
+    return held.select(F.col(id_col).alias("id"), F.col("_c.i").alias("idx"), F.col("_c.v").alias("val"))
+
+
 def tfidf(counts: DataFrame, vocab: DataFrame, n_docs: Column, id_col: str = "doc_id") -> DataFrame:
     """Adds ``value``: tf times smoothed idf, each document scaled to length one."""
     idf = F.log((n_docs + 1) / (F.col("df") + 1)) + 1

@@ -216,6 +216,26 @@ def local_outlier_factor(spark, sf_dir):
     return neighbors.outlier_mask(points(spark, sf_dir), K).select("id", F.round("lof", 6).alias("lof"), "is_outlier")
 
 
+# Raw counts of the training half, as the model search sees them before scaling; dense lists in the other engine.
+_FEATURE_LOF = f"""{_COUNTS}, cells AS (SELECT d.doc_id AS id, vocab.idx, coalesce(c.tf, 0)::DOUBLE AS v FROM train d CROSS JOIN vocab LEFT JOIN counts c ON c.doc_id = d.doc_id AND c.term = vocab.term),
+pts AS (SELECT id, list(v ORDER BY idx) AS v FROM cells GROUP BY id), d AS (SELECT a.id, b.id AS nid, list_distance(a.v, b.v) AS dist FROM pts a JOIN pts b ON a.id <> b.id),
+knn AS {_LOF.split("knn AS ", 1)[1]}"""
+
+
+def training_features(spark, sf_dir) -> DataFrame:
+    """Sparse rows (id, idx, val) of all training documents, those without any term too."""
+    vocab, counts = unigram_counts(spark, sf_dir)
+    cells = V.split_train(counts).filter("is_train").join(F.broadcast(vocab.select("term", "idx")), "term")
+    ids = V.split_train(table(spark, sf_dir, "documents").select("doc_id")).filter("is_train").select("doc_id")
+    return V.sparse_rows(ids, cells, "tf")
+
+
+@query("feature_outliers", f"WITH {_FEATURE_LOF} SELECT id, round(lof, 6) AS lof, -lof < q AS is_outlier FROM lof, cut")
+def feature_outliers(spark, sf_dir):
+    mask = neighbors.sparse_outlier_mask(training_features(spark, sf_dir), K)
+    return mask.select("id", F.round("lof", 6).alias("lof"), "is_outlier")
+
+
 @query("inliers", f"WITH {_LOF} SELECT vec_id AS id, label FROM embeddings JOIN lof ON id = vec_id, cut WHERE NOT (-lof < q)")
 def inliers(spark, sf_dir):
     pts = points(spark, sf_dir)

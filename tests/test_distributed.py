@@ -129,3 +129,35 @@ def test_lookup_keeps_every_row_of_a_hot_key(spark):
     for bounded in (True, False):
         out = lookup(stream, dim, "k", salt=F.col("id"), bounded=bounded)
         assert (out.count(), out.filter("v = 1").count(), out.filter("v = 2").count()) == (3000, 1000, 1)
+
+
+@pytest.mark.parametrize("chunk", [7, 40, 2048])
+def test_sparse_neighbours_equal_all_pairs(spark, chunk):
+    rng = random.Random(12)
+    rows = []
+    for i in range(90):
+        cells = {rng.randrange(30): float(rng.randint(1, 3)) for _ in range(rng.choice([0, 1, 4, 9]))}
+        rows.append((i, list(cells), list(cells.values())))
+    df = spark.createDataFrame(rows, "id bigint, idx array<int>, val array<double>")
+
+    def distance(a, b):
+        x, y = dict(zip(a[1], a[2])), dict(zip(b[1], b[2]))
+        return sum((x.get(t, 0) - y.get(t, 0)) ** 2 for t in x.keys() | y.keys()) ** 0.5
+
+    got = {}
+    for r in neighbors.sparse_k_nearest(df, 4, chunk=chunk).collect():
+        got.setdefault(r["id"], {})[r["rank"]] = (r["nid"], round(r["dist"], 9))
+    for a in rows:
+        want = sorted((distance(a, b), b[0]) for b in rows if b[0] != a[0])[:4]
+        assert got[a[0]] == {k + 1: (b, round(d, 9)) for k, (d, b) in enumerate(want)}
+    assert neighbors.sparse_k_nearest(df.limit(0), 4).collect() == []
+
+
+def test_second_round_skips_cells_out_of_reach(spark):
+    rng = random.Random(13)
+    rows = [(i, [c + rng.random(), c - rng.random()]) for i in range(400) for c in [1000.0 * (i % 4)]]
+    df = spark.createDataFrame(rows, "id bigint, vec array<double>")
+    got = {(r["id"], r["rank"]): r["nid"] for r in neighbors.k_nearest(df, 3, n_pivots=12, chunk=30).collect()}
+    for i, v in rows:
+        near = sorted(((v[0] - w[0]) ** 2 + (v[1] - w[1]) ** 2, j) for j, w in rows if j != i)[:3]
+        assert [got[i, k] for k in (1, 2, 3)] == [j for _, j in near]
