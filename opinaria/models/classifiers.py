@@ -18,6 +18,7 @@ from pyspark.ml.feature import Binarizer, SQLTransformer
 from pyspark.ml.regression import LinearRegression
 
 from opinaria.models.ensembles import AdaBoost, Bagging
+from opinaria.models.stumps import StumpBoost
 
 # Spark's trees stop at depth 30. "No limit" means that; a deeper request is an error.
 DEEPEST = 30
@@ -127,8 +128,9 @@ def _bagging(n, d, n_estimators=10, base="tree", max_iter=100):
 
 
 def _adaboost(n, d, n_estimators=50, learning_rate=1.0, base="stump"):
-    weak = DecisionTreeClassifier(maxDepth=1, seed=0) if base == "stump" else _base(n, d, base)
-    return AdaBoost(weak, n_estimators, learning_rate)
+    if base == "stump":
+        return StumpBoost(n_estimators, learning_rate)
+    return AdaBoost(_base(n, d, base), n_estimators, learning_rate)
 
 
 # Names and search grids, as far as Spark has the parameter.

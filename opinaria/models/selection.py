@@ -18,12 +18,13 @@ from pyspark.sql.types import NumericType, StringType, StructField, StructType
 from opinaria import schemas
 from opinaria.models.classifiers import Classifier
 from opinaria.models.ensembles import AdaBoost, Bagging, WeightedVote
+from opinaria.models.stumps import StumpBoost
 from opinaria.models.text_stages import TermExtractor
 from opinaria.operators import voting
 from opinaria.operators.quantiles import running_sums
 from opinaria.operators.results import weighted_accuracy
-from opinaria.operators.vectorize import Vectorizer, count_terms, fit_vocabulary, ml_stages, term_scales, tfidf
-from opinaria.session import cut_lineage
+from opinaria.operators.vectorize import Vectorizer, count_terms, fit_vocabulary, ml_stages, robust_scale, term_scales, tfidf
+from opinaria.session import computed, cut_lineage, fits_broadcast
 
 FOLDS = 2
 
@@ -89,6 +90,24 @@ def featurize(train: DataFrame, test: DataFrame, spec: Vectorizer, text: str = "
     return model, model.transform(train), model.transform(test)
 
 
+def long_features(train: DataFrame, test: DataFrame, spec: Vectorizer, text: str = "text", id_col: str = "doc_id") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(vocabulary, training cells, test cells) in long form: id, term, value, scaled as :func:`featurize` scales, for models that are counts."""
+    def docs(df: DataFrame) -> DataFrame:
+        return computed(df.select(id_col, text), terms=spec.terms(F.col(text))).select(id_col, "terms")
+
+    vocab = cut_lineage(fit_vocabulary(docs(train), spec))
+    n_docs = F.lit(train.count())
+    small = fits_broadcast(vocab)
+
+    def cells(df: DataFrame) -> DataFrame:
+        counts = count_terms(docs(df), vocab, id_col, bounded=small)
+        return tfidf(counts, vocab, n_docs, id_col) if spec.tfidf else counts.withColumn("value", F.col("tf").cast("double"))
+
+    seen = cut_lineage(cells(train).select(id_col, "term", "value"))
+    scales = cut_lineage(term_scales(seen, n_docs))
+    return vocab, cut_lineage(robust_scale(seen, scales)), cut_lineage(robust_scale(cells(test).select(id_col, "term", "value"), scales))
+
+
 def compare(tables: dict[str, tuple[DataFrame, DataFrame]], classifiers: Sequence[Classifier], n_features: dict[str, int],
             params: dict[str, dict] | None = None, label: str = "label") -> list[dict]:
     """First pass: every classifier with default parameters on every (train, test) pair. A failing fit
@@ -139,7 +158,7 @@ def grid_search(train: DataFrame, c: Classifier, n_features: int, grid: dict[str
 def _cross_score(estimator: Estimator, train: DataFrame, fold_col: str, evaluator) -> float:
     if isinstance(estimator, CrossValidator):
         raise TypeError("pass the estimator, not a validator")
-    if isinstance(estimator, (AdaBoost, Bagging)):  # written in Python, which the validator cannot copy
+    if isinstance(estimator, (AdaBoost, Bagging, StumpBoost)):  # written in Python, which the validator cannot copy
         scores = []
         for i in range(FOLDS):
             model = estimator.fit(train.filter(F.col(fold_col) != i))
@@ -185,7 +204,8 @@ def best_vote(models: Sequence[tuple[str, Callable[[], Estimator], Model]], trai
 
 def learning_curve(train: DataFrame, test: DataFrame, estimator: Estimator, steps: int = 10, label: str = "label",
                    id_col: str = "doc_id") -> DataFrame:
-    """Test error after fitting on the first 1/steps, 2/steps, ... of the training rows."""
+    """Test error after fitting on the first 1/steps, 2/steps, ... of the training rows, for any estimator; naive Bayes needs no
+    refits (``bayes.learning_curve``)."""
     ranked = cut_lineage(with_rank(train, [], id_col))
     rows = []
     for i in range(1, steps + 1):

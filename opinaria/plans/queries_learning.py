@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opinaria.functions.normalize import normalize_text
-from opinaria.models import classifiers as C, language as LM, selection as S
+from opinaria.models import bayes as B, classifiers as C, language as LM, selection as S, stumps as ST
 from opinaria.models.text_stages import ReviewCleaner
 from opinaria.operators import spelling, stats, vectorize as V
-from opinaria.plans.queries_features import _UNIGRAM, _sql_vocabulary, documents, unigram_counts
+from opinaria.plans.queries_features import _SCALES, _UNIGRAM, _sql_vocabulary, documents, unigram_counts
 from opinaria.plans.registry import query
 from opinaria.plans.views import STOP_WORDS, sql_hashed, sql_normalized, sql_words, table
 from opinaria.session import computed, cut_lineage, shared_dir
@@ -138,7 +138,7 @@ def _features(spark, sf_dir, spec: V.Vectorizer):
 # Every boosting round is a chain of Spark jobs of its own; the registered queries stop after so many (README, "Registered
 # parameters"). All other parameters are the classifiers' defaults.
 ROUNDS = {name: {"n_estimators": 10} for name in (
-    "GradientBoostingClassifier", "XGBClassifier", "LGBMClassifier", "CatBoostClassifier", "AdaBoostClassifier")}
+    "GradientBoostingClassifier", "XGBClassifier", "LGBMClassifier", "CatBoostClassifier")}
 UNIGRAMS = V.Vectorizer("Unigram")
 
 
@@ -170,13 +170,45 @@ def comparison_sweep(spark, sf_dir):
     return rows.select("v_name", "c_name", "accuracy", "flag")
 
 
-@query("grid_search")
+# The same counts in the other engine: scaled counts of both halves, ranks and folds of the training half, and naive Bayes from them.
+_ALPHAS = C.BY_NAME["MultinomialNB"].grid["alpha"]
+_BAYES = f"""{_SCALES}, y AS (SELECT doc_id, CASE WHEN lang = 'en' THEN 1 ELSE 0 END AS label, doc_id IN (SELECT doc_id FROM train) AS is_train FROM documents),
+val AS (SELECT doc_id, term, tf / scale AS v FROM counts JOIN scales USING (term)), terms AS (SELECT term FROM vocab), width AS (SELECT count(*) AS n_terms FROM vocab),
+ranked AS (SELECT doc_id, label, row_number() OVER (PARTITION BY label ORDER BY doc_id) - 1 AS r, row_number() OVER (ORDER BY doc_id) - 1 AS place, count(*) OVER () AS size FROM y WHERE is_train)"""
+_WEIGHTS = """n AS (SELECT model, label, term, sum(v) AS n FROM val JOIN learnt USING (doc_id) GROUP BY ALL),
+rows AS (SELECT model, label, count(*) AS rows FROM learnt GROUP BY ALL), every AS (SELECT model, l.label FROM (SELECT DISTINCT model FROM learnt) CROSS JOIN (SELECT unnest([0, 1]) AS label) l),
+weight AS (SELECT e.model, e.label, a.place, a.alpha, term, ln(coalesce(n, 0) + a.alpha) - ln(sum(coalesce(n, 0)) OVER (PARTITION BY e.model, e.label, a.place) + a.alpha * n_terms) AS w
+  FROM every e CROSS JOIN alphas a CROSS JOIN terms CROSS JOIN width LEFT JOIN n USING (model, label, term)),
+prior AS (SELECT e.model, e.label, a.place, ln(coalesce(rows, 0) + a.alpha) - ln(sum(coalesce(rows, 0)) OVER (PARTITION BY e.model, a.place) + 2 * a.alpha) AS p
+  FROM every e CROSS JOIN alphas a LEFT JOIN rows USING (model, label)),
+score AS (SELECT g.doc_id, g.label AS truth, p.model, p.label, p.place, any_value(p) + coalesce(sum(v * w), 0) AS s FROM judged g JOIN prior p ON p.model = g.model
+  LEFT JOIN val ON val.doc_id = g.doc_id LEFT JOIN weight x ON x.model = p.model AND x.label = p.label AND x.place = p.place AND x.term = val.term GROUP BY ALL),
+pred AS (SELECT doc_id, model, place, any_value(truth) AS truth, CASE WHEN max(s) FILTER (label = 1) > max(s) FILTER (label = 0) THEN 1 ELSE 0 END AS pred FROM score GROUP BY doc_id, model, place)"""
+
+
+def _long(spark, sf_dir):
+    train, test = (cut_lineage(part.withColumn("label", F.col("label").cast("int"))) for part in train_test(spark, sf_dir))
+    return train, test, *S.long_features(train, test, UNIGRAMS)
+
+
+@query("grid_search", f"""WITH {_BAYES}, alphas AS (SELECT unnest(range({len(_ALPHAS)})) AS place, unnest([{', '.join(str(float(max(a, C.LEAST_SMOOTHING))) for a in _ALPHAS)}]::DOUBLE[]) AS alpha),
+counted AS (SELECT label, count(*) AS n FROM ranked GROUP BY label), starts AS (SELECT label, n, coalesce(sum(n) OVER (ORDER BY label ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM counted),
+folded AS (SELECT doc_id, label, CASE WHEN r < (start + n + 1) // 2 - (start + 1) // 2 THEN 0 ELSE 1 END AS fold FROM ranked JOIN starts USING (label)),
+learnt AS (SELECT doc_id, label, 1 - fold AS model FROM folded UNION ALL SELECT doc_id, label, 2 FROM folded),
+judged AS (SELECT doc_id, label, fold AS model FROM folded UNION ALL SELECT doc_id, label, 2 FROM y WHERE NOT is_train), {_WEIGHTS},
+accuracy AS (SELECT place, avg(a) AS a FROM (SELECT place, model, avg(CASE WHEN pred = truth THEN 1 ELSE 0 END) AS a FROM pred WHERE model < 2 GROUP BY place, model) GROUP BY place),
+chosen AS (SELECT place FROM accuracy ORDER BY round(a, 9) DESC, place LIMIT 1)
+SELECT doc_id, ([{', '.join(str(float(a)) for a in _ALPHAS)}]::DOUBLE[])[place + 1] AS alpha, pred FROM pred SEMI JOIN chosen USING (place) WHERE model = 2""")
 def grid_search(spark, sf_dir):
-    _, train, test = _features(spark, sf_dir, UNIGRAMS)
-    folded = cut_lineage(S.stratified_folds(train))
-    size = len(train.select("features").first()["features"])
-    model, chosen = S.grid_search(folded, C.BY_NAME["MultinomialNB"], size)
-    return model.transform(test).select("doc_id", F.lit(chosen["alpha"]).alias("alpha"), F.col("prediction").cast("int").alias("pred"))
+    """Every smoothing of the grid from one table of counts; the best one, trained on all folds, predicts the other half."""
+    train, test, vocab, seen, new = _long(spark, sf_dir)
+    folded = cut_lineage(S.stratified_folds(train.select("doc_id", "label")))
+    accuracies = [round(a, 9) for a in B.grid_scores(seen, folded, vocab, _ALPHAS)]
+    alpha = float(_ALPHAS[accuracies.index(max(accuracies))])
+    stats = B.statistics(seen, folded.withColumnRenamed("fold", "part"), vocab, S.FOLDS)
+    weights, priors = B.log_weights(stats, [B.Trial(tuple(range(S.FOLDS)), alpha)])
+    found = B.predictions(new, test.select("doc_id", "label"), weights, priors)
+    return found.select("doc_id", F.lit(alpha).alias("alpha"), F.col("preds")[0].alias("pred"))
 
 
 @query("vote_search")
@@ -190,10 +222,41 @@ def vote_search(spark, sf_dir):
     return best["model"].transform(test).select("doc_id", F.lit(",".join(best["members"])).alias("members"), F.col("prediction").cast("int").alias("pred"))
 
 
-@query("learning_curve")
+@query("learning_curve", f"""WITH {_BAYES}, alphas AS (SELECT 0 AS place, 1.0::DOUBLE AS alpha), steps AS (SELECT unnest(range(1, 11)) AS model),
+learnt AS (SELECT doc_id, label, model FROM ranked JOIN steps ON place < size * model // 10), judged AS (SELECT doc_id, label, model FROM y CROSS JOIN steps WHERE NOT is_train), {_WEIGHTS}
+SELECT CAST(10 * model AS INT) AS percent, avg(CASE WHEN pred <> truth THEN 1 ELSE 0 END) AS error FROM pred GROUP BY model""")
 def learning_curve(spark, sf_dir):
-    _, train, test = _features(spark, sf_dir, UNIGRAMS)
-    return S.learning_curve(train, test, C.BY_NAME["MultinomialNB"].build(1, 100))
+    """Ten prefixes of the training rows, from running sums of one table of counts."""
+    train, test, vocab, seen, new = _long(spark, sf_dir)
+    ranked = cut_lineage(S.with_rank(train.select("doc_id", "label"), [], "doc_id"))
+    return B.learning_curve(seen, ranked, new, test, vocab)
+
+
+def _sql_round(k: int) -> str:
+    """One round of boosting: w<k> to the best stump m<k> and w<k + 1>."""
+    gini = lambda x, y: f"CASE WHEN {x} + {y} > 0 THEN {x} * {y} / ({x} + {y}) ELSE 0 END"
+    return f"""t{k} AS (SELECT sum(CASE WHEN label = 1 THEN w ELSE 0 END) AS ones, sum(CASE WHEN label = 0 THEN w ELSE 0 END) AS zeros, count(*) AS n FROM w{k}),
+s{k} AS (SELECT i, v, sum(CASE WHEN label = 1 THEN w ELSE 0 END) AS w1, sum(CASE WHEN label = 0 THEN w ELSE 0 END) AS w0, count(*) AS c FROM cell JOIN w{k} USING (doc_id) GROUP BY i, v),
+u{k} AS (SELECT i, v, w1, w0 FROM s{k} UNION ALL SELECT i, 0, any_value(ones) - sum(w1), any_value(zeros) - sum(w0) FROM s{k}, t{k} GROUP BY i HAVING any_value(n) > sum(c)),
+r{k} AS (SELECT i, v, sum(w1) OVER run AS b1, sum(w0) OVER run AS b0, lead(v) OVER run AS nxt FROM u{k} WINDOW run AS (PARTITION BY i ORDER BY v)),
+b{k} AS (SELECT *, {gini('b1', 'b0')} + {gini('a1', 'a0')} AS g FROM (SELECT i, (v + nxt) / 2 AS cut, b1, b0, greatest(ones - b1, 0) AS a1, greatest(zeros - b0, 0) AS a0 FROM r{k}, t{k} WHERE nxt IS NOT NULL)
+  ORDER BY round(g, 10), i, cut LIMIT 1),
+m{k} AS (SELECT i, cut, CASE WHEN b1 > b0 THEN 1 ELSE 0 END AS below, CASE WHEN a1 > a0 THEN 1 ELSE 0 END AS above, ln((1 - e) / e) AS say FROM (SELECT *, least(b1, b0) + least(a1, a0) AS e FROM b{k})),
+w{k + 1} AS (SELECT doc_id, label, w / sum(w) OVER () AS w FROM (
+  SELECT w{k}.doc_id, w{k}.label, w{k}.w * CASE WHEN CASE WHEN coalesce(v, 0) <= cut THEN below ELSE above END <> w{k}.label THEN exp(say) ELSE 1 END AS w
+  FROM w{k} CROSS JOIN m{k} LEFT JOIN cell ON cell.doc_id = w{k}.doc_id AND cell.i = m{k}.i))"""
+
+
+@query("boosted_stump_weights", f"""WITH {_NB}, cell AS (SELECT tf.doc_id, idx AS i, tf.tf::DOUBLE AS v FROM tf JOIN vocab USING (term)),
+w1 AS (SELECT doc_id, label, 1.0::DOUBLE / count(*) OVER () AS w FROM y SEMI JOIN documents USING (doc_id)),
+{', '.join(_sql_round(k) for k in (1, 2, 3))}
+SELECT doc_id, round(w, 9) AS weight FROM w4""")
+def boosted_stump_weights(spark, sf_dir):
+    """The weights of all labelled documents after three rounds of boosting."""
+    vectors, _ = _labelled_vectors(spark, sf_dir)
+    rows = cut_lineage(vectors.select("doc_id", F.col("label").cast("int").alias("label"), ST.cells_of().alias("cells")))
+    _, weighted = ST.boost(rows, 3)
+    return weighted.select("doc_id", F.round("w", 9).alias("weight"))
 
 
 @query("most_informative_terms")

@@ -138,3 +138,104 @@ def test_review_table(spark):
                        detect=lambda d: d.withColumn("language", F.lit("pt"))).orderBy("doc_id").collect()
     assert [(r["doc_id"], r["sentiment"], r["leia"], r["language"]) for r in out] == [(1, "positive", "positive", "pt"), (3, "negative", "negative", "pt")]
     assert out[0]["length"] == len(out[0]["text"]) and "muit" not in out[0]["text"]
+
+
+def test_bayes_from_counts_equals_the_estimator(spark):
+    import random
+
+    from pyspark.ml.classification import NaiveBayes
+
+    from opinaria.models import bayes as B
+    draw = random.Random(4)
+    words = [f"w{k}" for k in range(12)]
+    rows = [(i, " ".join(draw.choices(words[: 9 + 3 * (i % 2)], k=draw.randint(1, 8))), i % 2) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, label int")
+    train, test = df.filter("doc_id < 80"), df.filter("doc_id >= 80")
+    spec = V.Vectorizer("Unigram", min_df=1, max_df=1.0)
+    vocab, seen, new = S.long_features(train, test, spec)
+    model, a, b = S.featurize(train, test, spec)
+    parts = cut_lineage(train.select("doc_id", "label", (F.floor(F.col("doc_id") / 2) % 2).cast("int").alias("part")))
+    for bernoulli in (False, True):
+        above = 0.0 if bernoulli else None
+        stats = B.statistics(seen, parts, vocab, 2, present_above=above)
+        trials = [B.Trial((0, 1), 1.0), B.Trial((0,), 0.25), B.Trial((1,), 0.0)]
+        found = B.predictions(new, test.select("doc_id", "label"), *B.log_weights(stats, trials, bernoulli), present_above=above)
+        got = {r["doc_id"]: (r["scores"], r["preds"]) for r in found.collect()}
+        for k, t in enumerate(trials):
+            rows_of = a.filter((F.floor(F.col("doc_id") / 2) % 2).isin(*t.parts)).withColumn("label", F.col("label").cast("double"))
+            name = "BernoulliNB" if bernoulli else "MultinomialNB"
+            scored = C.BY_NAME[name].build(1, 1, alpha=t.alpha).fit(rows_of).transform(b)
+            for r in scored.collect():
+                scores, preds = got[r["doc_id"]]
+                assert preds[k] == r["prediction"] or abs(scores[2 * k] - scores[2 * k + 1]) < 1e-9
+                assert scores[2 * k : 2 * k + 2] == pytest.approx(list(r["rawPrediction"]), abs=1e-6)
+
+
+def test_grid_and_curve_from_counts_equal_refits(spark):
+    import random
+
+    from opinaria.models import bayes as B
+    draw = random.Random(9)
+    rows = [(i, " ".join(draw.choices([f"w{k}" for k in range(8 + 4 * (i % 2))], k=6)), i % 2) for i in range(160)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, label int")
+    train, test = cut_lineage(df.filter("doc_id < 100")), cut_lineage(df.filter("doc_id >= 100"))
+    spec = V.Vectorizer("Unigram", min_df=1, max_df=1.0)
+    vocab, seen, new = S.long_features(train, test, spec)
+    folded = cut_lineage(S.stratified_folds(train))
+    _, a, b = S.featurize(train, test, spec)
+    a = cut_lineage(a.withColumn("label", F.col("label").cast("double")).join(folded.select("doc_id", "fold"), "doc_id").select("doc_id", "label", "fold", "features"))
+    b = cut_lineage(b.withColumn("label", F.col("label").cast("double")).select("doc_id", "label", "features"))
+    alphas = [0.01, 1.0]
+    got = B.grid_scores(seen, folded.select("doc_id", "label", "fold"), vocab, alphas)
+    for alpha, accuracy in zip(alphas, got):
+        refits = [S.accuracy_of(C.BY_NAME["MultinomialNB"].build(1, 1, alpha=alpha).fit(a.filter(F.col("fold") != f)).transform(a.filter(F.col("fold") == f))) for f in (0, 1)]
+        assert accuracy == pytest.approx(sum(refits) / 2)
+    ranked = cut_lineage(S.with_rank(train.select("doc_id", "label"), [], "doc_id"))
+    curve = {r["percent"]: r["error"] for r in B.learning_curve(seen, ranked, new, test, vocab, steps=4).collect()}
+    want = {r["percent"]: r["error"] for r in S.learning_curve(a, b, C.BY_NAME["MultinomialNB"].build(1, 1), steps=4).collect()}
+    assert curve == pytest.approx(want)
+
+
+def test_stumps_equal_a_scan_of_all_splits(spark):
+    import random
+    from math import exp, log
+
+    from opinaria.models import stumps as ST
+    draw = random.Random(11)
+    data = [([float(draw.choice([0, 0, 0, 1, 2, -1])) for _ in range(5)], draw.randint(0, 1)) for _ in range(60)]
+    data = [(x, int(x[2] > 0) if draw.random() < 0.8 else y) for x, y in data]
+    df = spark.createDataFrame([(k, Vectors.dense(x), float(y)) for k, (x, y) in enumerate(data)], ["doc_id", "features", "label"])
+    w, want = [1 / len(data)] * len(data), []
+    for _ in range(13):
+        best = None
+        for i in range(5):
+            values = sorted({x[i] for x, _ in data})
+            for lo, hi in zip(values, values[1:]):
+                sides = [[sum(v for v, (x, y) in zip(w, data) if (x[i] <= lo) == below and y == label) for label in (0, 1)] for below in (True, False)]
+                gini = sum(a * b / (a + b) if a + b > 0 else 0 for a, b in sides)
+                found = (round(gini, 10), i, (lo + hi) / 2, [int(b > a) for a, b in sides], sum(min(s) for s in sides))
+                best = min(best or found, found)
+        _, i, cut, (below, above), error = best
+        say = log((1 - error) / error)
+        want.append((i, cut, below, above, pytest.approx(say)))
+        w = [v * exp(say) if (below if x[i] <= cut else above) != y else v for v, (x, y) in zip(w, data)]
+        w = [v / sum(w) for v in w]
+    rows = df.select("doc_id", F.col("label").cast("int").alias("label"), ST.cells_of().alias("cells"))
+    stumps, weighted = ST.boost(rows, 13)
+    assert [(s.feature, s.threshold, s.below, s.above, s.say) for s in stumps] == want
+    assert [r["w"] for r in weighted.orderBy("doc_id").collect()] == pytest.approx(w)
+    model = ST.StumpBoost(13).fit(df)
+    path = shared_dir(spark)
+    model.save(path)
+    again = ST.StumpVote.load(path)
+    for x, r in zip([x for x, _ in data], again.transform(df).orderBy("doc_id").collect()):
+        votes = sum((1 if (b if x[i] <= t else a) else -1) * s.say for (i, t, b, a, _), s in zip(want, stumps))
+        assert r["prediction"] == float(votes > 1e-12)
+
+
+def test_stumps_of_pure_and_constant_rows(spark):
+    from opinaria.models import stumps as ST
+    pure = spark.createDataFrame([(Vectors.dense([1.0]), 1.0)] * 4, ["features", "label"])
+    assert [(s.feature, s.below, s.error) for s in ST.boost(pure.select(F.col("label").cast("int").alias("label"), ST.cells_of().alias("cells")), 5)[0]] == [(-1, 1, 0.0)]
+    even = spark.createDataFrame([(Vectors.dense([0.0]), float(k % 2)) for k in range(6)], ["features", "label"])
+    assert {r["prediction"] for r in ST.StumpBoost(5).fit(even).transform(even).collect()} == {0.0}
