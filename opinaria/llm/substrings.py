@@ -95,21 +95,27 @@ def chunks(source: DataFrame) -> DataFrame:
     """Chunks of (doc_id, copy, text): doc_id, copy, n, start, len, words, digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int16(), pa.int16(), pa.int64()]
         for batch in batches:
             parts: list[list[np.ndarray]] = [[] for _ in NAMES]
+            held = 0
             for doc, copy, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 start, length, words, digest = chunk_text(text.as_py() or b"")
                 if not len(start):
                     continue
                 for part, value in zip(parts, [np.full(len(start), doc), np.full(len(start), copy), np.arange(len(start)), start, length, words, digest]):
                     part.append(value)
-            if parts[0]:
-                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int16(), pa.int16(), pa.int64()]
+                held += len(start)
+                if held >= HELD_CHUNKS:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(p), k) for p, k in zip(parts, kinds)], names=NAMES)
+                    parts, held = [[] for _ in NAMES], 0
+            if held:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(p), k) for p, k in zip(parts, kinds)], names=NAMES)
 
     return source.mapInArrow(run, ", ".join(f"{n} {k}" for n, k in zip(NAMES, ["long", "long", "int", "long", "short", "short", "long"])))
 
 
+HELD_CHUNKS = 100_000  # chunks that a task passes on together, or those of one text
 NAMES = ["doc_id", "copy", "n", "start", "len", "words", "digest"]
 
 
