@@ -2,21 +2,53 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Sequence
 from math import log
 
 from pyspark.ml import Estimator, Model, PipelineModel
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasLabelCol, HasPredictionCol, HasSeed
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.ml.util import DefaultParamsReader, DefaultParamsWriter, MLReadable, MLReader, MLWritable, MLWriter
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opinaria.session import cut_lineage
 
 
-class WeightedVote(Model, HasPredictionCol):
-    """Binary vote of fitted models; a tie goes to label 0. All votes are columns of one row."""
+class _VoteWriter(MLWriter):
+    """Metadata with the weights, and every member as a pipeline of its own."""
+
+    def __init__(self, vote: WeightedVote):
+        super().__init__()
+        self.vote = vote
+
+    def saveImpl(self, path: str) -> None:
+        DefaultParamsWriter.saveMetadata(self.vote, path, self.sparkSession, extraMetadata={"weights": self.vote.weights})
+        for i, model in enumerate(self.vote.models):
+            wrapped = model if isinstance(model, PipelineModel) else PipelineModel([model])
+            wrapped.write().overwrite().save(f"{path}/model{i:04d}")
+
+
+class _VoteReader(MLReader):
+    def load(self, path: str) -> WeightedVote:
+        metadata = DefaultParamsReader.loadMetadata(path, self.sparkSession)
+        weights = metadata["weights"]
+        vote = WeightedVote([PipelineModel.load(f"{path}/model{i:04d}") for i in range(len(weights))], weights)
+        vote._resetUid(metadata["uid"])
+        DefaultParamsReader.getAndSetParams(vote, metadata)
+        return vote
+
+
+class WeightedVote(Model, HasPredictionCol, MLWritable, MLReadable):
+    """Binary vote of fitted models; a tie goes to label 0. All votes are columns of one row. It is written and read like any stage, so
+    that a pipeline may end in it."""
+
+    def write(self) -> MLWriter:
+        return _VoteWriter(self)
+
+    @classmethod
+    def read(cls) -> MLReader:
+        return _VoteReader()
 
     def __init__(self, models: Sequence[Model] = (), weights: Sequence[float] | None = None):
         super().__init__()
@@ -45,18 +77,6 @@ class WeightedVote(Model, HasPredictionCol):
     def copy(self, extra=None):
         return self
 
-    def save_to(self, spark: SparkSession, path: str) -> None:
-        for i, model in enumerate(self.models):
-            wrapped = model if isinstance(model, PipelineModel) else PipelineModel([model])
-            wrapped.write().overwrite().save(f"{path}/model{i:04d}")
-        spark.createDataFrame([(json.dumps(self.weights),)], "weights string").coalesce(1) \
-            .write.mode("overwrite").text(f"{path}/weights")
-
-    @classmethod
-    def load_from(cls, spark: SparkSession, path: str) -> "WeightedVote":
-        weights = json.loads(spark.read.text(f"{path}/weights").first()["value"])
-        return cls([PipelineModel.load(f"{path}/model{i:04d}") for i in range(len(weights))], weights)
-
 
 class _OverBase(Estimator, HasLabelCol, HasPredictionCol, HasSeed):
     """Shared by the estimators that refit a weighted base classifier."""

@@ -1,28 +1,29 @@
 """Boosted decision stumps: AdaBoost (SAMME, Zhu et al. 2009) where a round is one aggregation.
 
 The weights of a round are summed by (feature, value, class) over the non-zero cells; a feature's zero cell is what is left of the class
-totals. Running sums over a feature's values give the Gini impurity of every split, and one row, the best split,
-comes back. Its leaves tell the error, the new weights' total and the next class totals, so no row is scored to learn them. A row's weight is
-worked out from its cells and the rounds since the rows were last written.
+totals. A feature has at most ``BINS`` values (more are cut at quantiles once), so the sums are few whatever the number of rows; running sums over a
+feature's values give the Gini impurity of every split. The best split's leaves tell the error, the new weights' total and the next class
+totals, so no row is scored to learn them. A row's weight is worked out from its cells and the rounds since the rows were last written.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Collection, Sequence
 from dataclasses import dataclass
 from math import exp, log
 
+import numpy as np
 from pyspark.ml import Estimator, Model
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol, HasPredictionCol
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from opinaria.session import computed, cut_lineage
 
+BINS = 256  # distinct values of a feature; beyond, its values are rounded up to so many quantiles
 WRITTEN_EVERY = 10  # rounds after which the rows are written with their weights
 DIGITS = 10  # impurities equal to so many digits tie: sums differ in their last bits from run to run
 
@@ -58,24 +59,56 @@ def weight_of(stumps: Sequence[Stump], mass: float, written: str = "w", cells: s
     return F.col(written) * F.exp(moved) / mass
 
 
-def best_split(rows: DataFrame, n: int, ones: float, zeros: float, weight: Column) -> tuple | None:
+def binned(rows: DataFrame) -> tuple[DataFrame, set[int]]:
+    """``rows`` with the values of every feature that has more than ``BINS`` rounded up to its quantiles, and the numbers of these features."""
+    values = rows.select(F.inline("cells")).groupBy("i").agg(F.approx_count_distinct("v", 0.01).alias("n"), F.max("v").alias("top"),
+                                                            F.percentile_approx("v", [k / BINS for k in range(1, BINS)], BINS * 40).alias("cuts"))
+    wide = cut_lineage(values.filter(F.col("n") > BINS).select("i", F.array_distinct(F.concat("cuts", F.array("top"))).alias("cuts")))
+    features = {r["i"] for r in wide.select("i").collect()}
+    if not features:
+        return rows, features
+    keyed = cut_lineage(rows.withColumn("_row", F.monotonically_increasing_id()))
+    cells = keyed.select("_row", F.inline("cells")).join(F.broadcast(wide), "i", "left")
+    value = F.when(F.col("cuts").isNull(), F.col("v")).otherwise(F.array_min(F.filter("cuts", lambda c: c >= F.col("v"))))
+    rounded = cells.select("_row", F.struct("i", value.alias("v")).alias("c")).groupBy("_row").agg(F.sort_array(F.collect_list("c")).alias("_cells"))
+    empty = F.array().cast(rows.schema["cells"].dataType)
+    return keyed.join(rounded, "_row", "left").withColumn("cells", F.coalesce("_cells", empty)).drop("_row", "_cells"), features
+
+
+def best_split(rows: DataFrame, n: int, ones: float, zeros: float, weight: Column, wide: Collection[int] = ()) -> tuple | None:
     """(feature, threshold, below ones, below zeros) of the split with the least weighted Gini impurity; ties go to the first feature, then the least
-    threshold. Thresholds lie half way between neighbouring values. None if every feature is constant. ``ones`` and ``zeros`` are the class totals."""
-    w = F.col("w")
-    cells = rows.select("label", weight.alias("w"), F.inline("cells"))
-    seen = cells.groupBy("i", "v").agg(F.sum(F.when(F.col("label") == 1, w).otherwise(0.0)).alias("w1"),
-                                       F.sum(F.when(F.col("label") == 1, 0.0).otherwise(w)).alias("w0"), F.count("*").alias("c"))
-    by = W.partitionBy("i")
-    rest = seen.groupBy("i").agg(F.lit(0.0).alias("v"), (F.lit(ones) - F.sum("w1")).alias("w1"), (F.lit(zeros) - F.sum("w0")).alias("w0"),
-                                 (F.lit(n) - F.sum("c")).alias("c")).filter("c > 0")
-    running = by.orderBy("v").rowsBetween(W.unboundedPreceding, 0)
-    splits = seen.unionByName(rest).select("i", "v", F.sum("w1").over(running).alias("b1"), F.sum("w0").over(running).alias("b0"),
-                                           F.lead("v").over(by.orderBy("v")).alias("next")).filter("next is not null")
-    a1, a0 = F.greatest(F.lit(ones) - F.col("b1"), F.lit(0.0)), F.greatest(F.lit(zeros) - F.col("b0"), F.lit(0.0))
-    side = lambda x, y: F.when(x + y > 0, x * y / (x + y)).otherwise(0.0)
-    impurity = F.round(side(F.col("b1"), F.col("b0")) + side(a1, a0), DIGITS)
-    best = splits.agg(F.min(F.struct(impurity.alias("g"), "i", ((F.col("v") + F.col("next")) / 2).alias("t"), "b1", "b0")).alias("b")).first()["b"]
-    return None if best is None else (best["i"], best["t"], best["b1"], best["b0"])
+    threshold. Thresholds lie half way between neighbouring values, for the ``wide`` features at the lower one. None if every feature is
+    constant. ``ones`` and ``zeros`` are the class totals. At most features times ``BINS`` sums come to the driver."""
+    one = F.col("label") == 1
+    sums = (rows.select("label", weight.alias("w"), F.inline("cells")).groupBy("i", "v")
+            .agg(F.sum(F.when(one, F.col("w")).otherwise(0.0)).alias("w1"), F.sum(F.when(one, 0.0).otherwise(F.col("w"))).alias("w0"), F.count("*").alias("c")).toArrow())
+    if not len(sums):
+        return None
+    i, v, w1, w0, c = (sums[name].to_numpy() for name in ("i", "v", "w1", "w0", "c"))
+    order = np.lexsort((v, i))
+    i, v, w1, w0, c = i[order], v[order], w1[order], w0[order], c[order]
+    first = np.flatnonzero(np.diff(i, prepend=-1))
+    rest = n - np.add.reduceat(c, first) > 0  # features that some row does not have
+    i, v = np.append(i, i[first][rest]), np.append(v, np.zeros(rest.sum()))
+    w1 = np.append(w1, (ones - np.add.reduceat(w1, first))[rest])
+    w0 = np.append(w0, (zeros - np.add.reduceat(w0, first))[rest])
+    order = np.lexsort((v, i))
+    i, v, w1, w0 = i[order], v[order], w1[order], w0[order]
+    first = np.flatnonzero(np.diff(i, prepend=-1))
+    sizes = np.diff(np.append(first, len(i)))
+    upto = lambda w: np.cumsum(w) - np.repeat(np.cumsum(w)[first] - w[first], sizes)
+    b1, b0 = upto(w1), upto(w0)
+    a1, a0 = np.maximum(ones - b1, 0), np.maximum(zeros - b0, 0)
+    side = lambda x, y: np.divide(x * y, x + y, out=np.zeros_like(x), where=x + y > 0)
+    impurity = np.round(side(b1, b0) + side(a1, a0), DIGITS)
+    after = np.append(v[1:], np.inf)
+    cut = np.where(np.isin(i, list(wide)), v, (v + after) / 2)
+    usable = np.append(i[1:] == i[:-1], False)
+    if not usable.any():
+        return None
+    best = np.lexsort((cut[usable], i[usable], impurity[usable]))[0]
+    place = np.flatnonzero(usable)[best]
+    return int(i[place]), float(cut[place]), float(b1[place]), float(b0[place])
 
 
 def boost(rows: DataFrame, rounds: int, learning_rate: float = 1.0) -> tuple[list[Stump], DataFrame]:
@@ -83,16 +116,18 @@ def boost(rows: DataFrame, rounds: int, learning_rate: float = 1.0) -> tuple[lis
 
     Boosting ends when a stump makes no error (it alone then speaks, with a say of one) or is no better than chance (it is left out unless it is the first).
     """
+    rows = cut_lineage(rows)
     total, positive = rows.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
     if total == 0:
         raise ValueError("boosting needs rows")
+    rows, wide = binned(rows)
     current = cut_lineage(rows.withColumn("w", F.lit(1.0 / total)))
     ones, zeros = positive / total, (total - positive) / total
     stumps: list[Stump] = []
     fresh: list[Stump] = []  # rounds since the rows were written, and their weights' total
     mass = 1.0
     for _ in range(rounds):
-        split = best_split(current, total, ones, zeros, weight_of(fresh, mass))
+        split = best_split(current, total, ones, zeros, weight_of(fresh, mass), wide)
         feature, threshold, b1, b0 = split if split else (-1, 0.0, ones, zeros)
         a1, a0 = max(ones - b1, 0.0), max(zeros - b0, 0.0)
         below, above = int(b1 > b0), int(a1 > a0)

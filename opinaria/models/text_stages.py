@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.ml import Transformer
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol
-from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
+from pyspark.ml.util import (DefaultParamsReadable, DefaultParamsReader, DefaultParamsWritable, DefaultParamsWriter, MLReadable, MLReader, MLWritable,
+                             MLWriter)
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,8 +18,40 @@ from opinaria.operators.vectorize import Vectorizer
 from opinaria.session import computed
 
 
-class ReviewCleaner(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
-    """Normalise, correct spelling (given a dictionary table), remove stop words, stem."""
+class _CleanerWriter(MLWriter):
+    """Metadata, and the dictionary beside it: a saved cleaner needs no other file."""
+
+    def __init__(self, cleaner: ReviewCleaner):
+        super().__init__()
+        self.cleaner = cleaner
+
+    def saveImpl(self, path: str) -> None:
+        DefaultParamsWriter.saveMetadata(self.cleaner, path, self.sparkSession)
+        place = self.cleaner.getOrDefault(self.cleaner.dictionary)
+        if place:
+            self.sparkSession.read.parquet(place).write.parquet(f"{path}/dictionary")
+
+
+class _CleanerReader(MLReader):
+    def load(self, path: str) -> ReviewCleaner:
+        metadata = DefaultParamsReader.loadMetadata(path, self.sparkSession)
+        cleaner = ReviewCleaner()
+        cleaner._resetUid(metadata["uid"])
+        DefaultParamsReader.getAndSetParams(cleaner, metadata)
+        if cleaner.getOrDefault(cleaner.dictionary):
+            cleaner._set(dictionary=f"{path}/dictionary")
+        return cleaner
+
+
+class ReviewCleaner(Transformer, HasInputCol, HasOutputCol, MLReadable, MLWritable):
+    """Normalise, correct spelling (given a dictionary table, which is stored with the stage), remove stop words, stem."""
+
+    def write(self) -> MLWriter:
+        return _CleanerWriter(self)
+
+    @classmethod
+    def read(cls) -> MLReader:
+        return _CleanerReader()
 
     stopWords = Param(Params._dummy(), "stopWords", "words to remove", TypeConverters.toListString)
     stem = Param(Params._dummy(), "stem", "whether to stem", TypeConverters.toBoolean)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from opinaria.functions.tokens import words
@@ -106,9 +106,20 @@ def misclassification(prediction: Column, label: Column) -> Column:
     return F.avg((prediction != label).cast("int"))
 
 
-def stage_counts(stages: dict[str, DataFrame]) -> DataFrame:
-    parts = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("stage"), "n") for name, df in stages.items()]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+class StageCounts:
+    """Row counts of the stages of one flow, collected while the flow itself runs: ``watch`` marks a stage, and once the last
+    table has been written (``written``), ``frame`` holds a row per stage. Nothing is read or computed a second time."""
+
+    def __init__(self):
+        self.seen: dict[str, Observation] = {}
+
+    def watch(self, name: str, df: DataFrame) -> DataFrame:
+        self.seen[name] = Observation(f"rows {name} {id(self)}")
+        return df.observe(self.seen[name], F.count(F.lit(1)).alias("n"))
+
+    def written(self, df: DataFrame) -> DataFrame:
+        """The flow, run and written down."""
+        return cut_lineage(df)
+
+    def frame(self, spark: SparkSession) -> DataFrame:
+        return spark.createDataFrame([(name, o.get["n"]) for name, o in self.seen.items()], "stage string, n bigint")

@@ -11,12 +11,12 @@ from opinaria.functions.stem import STEPS, stem_text
 from opinaria.functions.tokens import (bucket, format_duration, has_portuguese_keyword, long_enough, merge_title,
                                        ngrams, remove_words, removed_words, sentiment_label, words)
 from opinaria.functions.translit import to_ascii
-from opinaria.operators import stats
+from opinaria.operators import spelling, stats
 from opinaria.plans import reviews as flow
 from opinaria.plans.registry import query
 from opinaria.plans.views import (CLEAN, REVIEWS, SQL_STOP, STOP_WORDS, TEN_POINT, reviews, sql_hashed,
                                   sql_long_enough, sql_normalized, sql_sentiment, sql_words, table)
-from opinaria.session import computed
+from opinaria.session import computed, cut_lineage
 
 SETTINGS = flow.Settings(stop_words=STOP_WORDS, ten_point_sources=TEN_POINT)
 
@@ -264,8 +264,12 @@ def bigram_counts(spark, sf_dir):
 SELECT 'loaded' AS stage, count(*) AS n FROM reviews UNION ALL SELECT 'unique', count(*) FROM unique_reviews
 UNION ALL SELECT 'long enough', count(*) FROM labelled""")
 def stage_row_counts(spark, sf_dir):
-    raw = reviews(spark, sf_dir)
-    return stats.stage_counts({"loaded": raw, "unique": flow.prepare(raw, SETTINGS), "long enough": labelled(spark, sf_dir)})
+    """Counted while the flow runs, by observed metrics: the texts are normalised once."""
+    counts = stats.StageCounts()
+    unique = counts.watch("unique", flow.prepare(counts.watch("loaded", reviews(spark, sf_dir)), SETTINGS))
+    rows = counts.watch("long enough", flow.clean(unique, SETTINGS).filter(long_enough(F.col("text"))))
+    counts.written(flow.label(rows, SETTINGS).select("doc_id", "sentiment", "length"))
+    return counts.frame(spark)
 
 
 @query("bigram_arrays", f"""WITH w AS (SELECT doc_id, {sql_words(sql_normalized('text'))} AS t FROM documents)
@@ -333,10 +337,25 @@ def stem_vocabulary(spark, sf_dir):
 
 
 @query("stem_texts", f"""WITH {_sql_rules()},
-tokens AS (SELECT item_id, unnest(t) AS word, unnest(range(len(t))) AS pos FROM (SELECT item_id, {sql_words(sql_normalized('text'))} AS t FROM benchmark)),
+tokens AS (SELECT doc_id, unnest(t) AS word, unnest(range(len(t))) AS pos FROM (SELECT doc_id, {sql_words(sql_normalized('text'))} AS t FROM documents)),
 v0 AS (SELECT DISTINCT word, word AS cur FROM tokens),
 {_sql_step('v1', ('plural',), 'v0')}, {_sql_step('v2', ('adverb',), 'v1')}, {_sql_step('v3', ('feminine',), 'v2')},
 {_sql_step('v4', ('augmentative',), 'v3')}, {_sql_step('v5', ('noun', 'verb', 'vowel'), 'v4')}
-SELECT item_id, string_agg(cur, ' ' ORDER BY pos) AS text FROM tokens JOIN v5 USING (word) GROUP BY item_id""")
+SELECT d.doc_id, coalesce(string_agg(cur, ' ' ORDER BY pos), '') AS text FROM documents d LEFT JOIN tokens ON tokens.doc_id = d.doc_id LEFT JOIN v5 USING (word) GROUP BY d.doc_id""")
 def stem_texts(spark, sf_dir):
-    return table(spark, sf_dir, "benchmark").select("item_id", stem_text(N.normalize_text(F.col("text"))).alias("text"))
+    """Every word of the documents is stemmed once; the texts take the stems from a map of their own words."""
+    docs = cut_lineage(computed(table(spark, sf_dir, "documents").select("doc_id", "text"), text=N.normalize_text(F.col("text"))))
+    stems = computed(spelling.vocabulary(docs).select("token"), corrected=stem_text(F.col("token"))).filter("token <> corrected")
+    return spelling.correct_texts(docs, cut_lineage(stems))
+
+
+@query("word_frequencies_stemmed", f"""WITH {CLEAN}, {_sql_rules()},
+tokens AS (SELECT sentiment, unnest({sql_words('text')}) AS word FROM labelled), v0 AS (SELECT DISTINCT word, word AS cur FROM tokens),
+{_sql_step('v1', ('plural',), 'v0')}, {_sql_step('v2', ('adverb',), 'v1')}, {_sql_step('v3', ('feminine',), 'v2')},
+{_sql_step('v4', ('augmentative',), 'v3')}, {_sql_step('v5', ('noun', 'verb', 'vowel'), 'v4')}
+SELECT cur AS word, CASE WHEN grouping(sentiment) = 1 THEN NULL ELSE sentiment END AS sentiment, count(*) AS n
+FROM tokens JOIN v5 USING (word) WHERE cur <> '' GROUP BY GROUPING SETS ((cur), (cur, sentiment))""")
+def word_frequencies_stemmed(spark, sf_dir):
+    """Frequencies of stems: words are counted first, so that a word is stemmed once, not at every occurrence."""
+    counted = stats.word_frequencies(labelled(spark, sf_dir))
+    return computed(counted, word=stem_text(F.col("word"))).filter("word <> ''").groupBy("word", "sentiment").agg(F.sum("n").alias("n"))

@@ -1,5 +1,6 @@
 """Bucketed order statistics, neighbours, votes and joins against brute force, hot keys included."""
 
+import itertools
 import random
 from itertools import combinations
 
@@ -161,3 +162,44 @@ def test_second_round_skips_cells_out_of_reach(spark):
     for i, v in rows:
         near = sorted(((v[0] - w[0]) ** 2 + (v[1] - w[1]) ** 2, j) for j, w in rows if j != i)[:3]
         assert [got[i, k] for k in (1, 2, 3)] == [j for _, j in near]
+
+
+def all_paths(tokens, fixes, joins, counts):
+    """The best path by trying all."""
+    from opinaria.operators import compound as CO
+
+    def go(at):
+        if at == len(tokens):
+            yield 0, "", []
+            return
+        for kind, taken, price, said in CO.edges(tokens, at, fixes, joins):
+            for p, k, w in go(at + taken):
+                yield price + p, str(kind) + k, said + w
+
+    rank = lambda p: (p[0], -sum(counts.get(pair, 0).bit_length() for pair in zip(p[2], p[2][1:])), p[1])
+    return min(go(0), key=rank)[2]
+
+
+def test_best_path_equals_all_paths():
+    from opinaria.operators import compound as CO
+    rng = random.Random(21)
+    names = [f"w{k}" for k in range(6)]
+    for _ in range(400):
+        fixes = {w: (rng.choice([None, "x", "y"]), rng.choice([1, 2]), rng.choice([None, "a b", "x y"])) for w in names[:4]}
+        tokens = [rng.choice(names) for _ in range(rng.randint(0, 8))]
+        joins = {p: rng.choice("pq") for p in zip(tokens, tokens[1:]) if rng.random() < 0.4}
+        counts = {p: rng.choice([1, 3, 9]) for p in itertools.product([*names, *"xyabpq"], repeat=2) if rng.random() < 0.3}
+        seen = {p: n for p, n in counts.items() if p in CO.competing_pairs(tokens, fixes, joins)}
+        assert CO.best_path(tokens, fixes, joins, seen) == all_paths(tokens, fixes, joins, counts), (tokens, fixes, joins)
+    assert len(CO.best_path(["w0", "w5"] * 20_000, {"w0": ("x", 1, "a b")}, {}, {})) >= 40_000
+
+
+def test_words_written_apart_and_together(spark):
+    from opinaria.operators.compound import spell_check_compound
+    docs = spark.createDataFrame([(1, "pro duto muito bom"), (2, "produtobom  muito"), (3, "muitto bom xyzxyz"), (4, "muito bom"), (5, ""), (6, None)], "doc_id bigint, text string")
+    dictionary = spark.createDataFrame([("produto", 50), ("muito", 90), ("bom", 70), ("pro", 2)], "term string, n bigint")
+    bigrams = spark.createDataFrame([("produto", "bom", 5), ("produto", "muito", 9)], "w1 string, w2 string, n bigint")
+    got = {r["doc_id"]: r["text"] for r in spell_check_compound(docs, dictionary, bigrams).collect()}
+    assert got == {1: "produto muito bom", 2: "produto bom muito", 3: "muito bom xyzxyz", 4: "muito bom", 5: "", 6: None} or got[6] in (None, "")
+    assert [got[k] for k in (1, 2, 3, 4, 5)] == ["produto muito bom", "produto bom muito", "muito bom xyzxyz", "muito bom", ""]
+    assert spell_check_compound(docs.limit(0), dictionary, bigrams).collect() == []

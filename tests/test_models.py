@@ -47,8 +47,9 @@ def test_ensembles(spark, features):
     boost = AdaBoost(DecisionTreeClassifier(maxDepth=1), 4).fit(train)
     assert S.accuracy_of(bag.transform(test)) > 0.9 and S.accuracy_of(boost.transform(test)) > 0.7
     path = shared_dir(spark)
-    bag.save_to(spark, path)
-    again = WeightedVote.load_from(spark, path)
+    PipelineModel([bag]).save(path)
+    again = PipelineModel.load(path)
+    assert again.stages[0].weights == bag.weights and again.stages[0].uid == bag.uid
     assert [r["prediction"] for r in again.transform(test).orderBy("doc_id").collect()] == [
         r["prediction"] for r in bag.transform(test).orderBy("doc_id").collect()]
 
@@ -239,3 +240,53 @@ def test_stumps_of_pure_and_constant_rows(spark):
     assert [(s.feature, s.below, s.error) for s in ST.boost(pure.select(F.col("label").cast("int").alias("label"), ST.cells_of().alias("cells")), 5)[0]] == [(-1, 1, 0.0)]
     even = spark.createDataFrame([(Vectors.dense([0.0]), float(k % 2)) for k in range(6)], ["features", "label"])
     assert {r["prediction"] for r in ST.StumpBoost(5).fit(even).transform(even).collect()} == {0.0}
+
+
+def test_search_goes_on_where_it_was(spark, monkeypatch):
+    from opinaria.models import search as SE
+    rows = sentences(spark, copies=8)
+    train, test = rows.filter("doc_id % 4 < 3"), rows.filter("doc_id % 4 = 3")
+    specs = [V.Vectorizer("Unigram", min_df=2, max_df=1.0), V.Vectorizer("TF-IDF Rare", tfidf=True, min_df=2, max_df=0.1)]
+    constant = C.Classifier("x", "Shrunk", lambda n, d, C=1e-9: LogisticRegression(regParam=1 / C, elasticNetParam=1.0, threshold=0.99), {"C": [1e-9]})
+    broken = C.Classifier("x", "Broken", lambda n, d: LogisticRegression(featuresCol="nothing"), {})
+    small = C.Classifier("linear_model", "LogisticRegression", C.BY_NAME["LogisticRegression"].build, {"C": [0.5, 1.0]})
+    tried = [small, C.BY_NAME["MultinomialNB"], C.BY_NAME["BernoulliNB"], constant, broken]
+    folder = shared_dir(spark)
+    fits = []
+    real = SE._fit_and_score
+    monkeypatch.setattr(SE, "_fit_and_score", lambda c, f, p: fits.append(c.name) or real(c, f, p))
+
+    def lost(*_):
+        raise KeyboardInterrupt
+    vote = SE._vote
+    monkeypatch.setattr(SE, "_vote", lost)
+    with pytest.raises(KeyboardInterrupt):
+        SE.model_search(train, test, specs, tried, folder)
+    before = len(fits)
+    assert before >= 2 * 5 + 3
+    monkeypatch.setattr(SE, "_vote", vote)
+    out = SE.model_search(train, test, specs, tried, folder).collect()
+    first = [r for r in out if r["phase"] == "first"]
+    assert len(first) == 10 and {r["c_name"] for r in first if r["accuracy"] is None} == {"x.Broken"}
+    assert all("IllegalArgument" in r["error"] or "nothing" in r["error"] for r in first if r["c_name"] == "x.Broken")
+    final = {(r["v_name"], r["c_name"]): r for r in out if r["phase"] == "final"}
+    names = {"linear_model.LogisticRegression", "naive_bayes.MultinomialNB", "naive_bayes.BernoulliNB"}
+    assert {c for _, c in final} == names
+    grids = {(r["v_name"], r["c_name"], r["params"]): r["accuracy"] for r in out if r["phase"] == "grid"}
+    votes = [r for r in out if r["phase"] == "vote"]
+    assert {r["v_name"] for r in votes} == {v for v, _ in final} and all(r["accuracy"] > 0.9 for r in votes)
+    for (v, c), r in final.items():
+        assert grids[v, c, r["params"]] == max(a for (w, d, _), a in grids.items() if (w, d) == (v, c))
+        assert r["flag"] == "*"
+    done = len(fits)
+    again = SE.model_search(train, test, specs, tried, folder).collect()
+    assert sorted(again) == sorted(out) and len(fits) == done
+
+
+def test_search_drops_outliers_before_training(spark):
+    from opinaria.models import search as SE
+    rows = [(i, [0, 1], [1.0 + (i % 3), 2.0]) for i in range(60)] + [(99, [5, 6], [40.0, 50.0])]
+    train = spark.createDataFrame([(r[0], 0.0) for r in rows], "doc_id bigint, label double")
+    cells = spark.createDataFrame([(i, k, v) for i, idx, val in rows for k, v in zip(idx, val)], "doc_id bigint, idx int, value double")
+    kept = {r["doc_id"] for r in SE.inlying(train, cells, contamination=0.02).collect()}
+    assert 99 not in kept and len(kept) >= 59
