@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opinaria.functions.tokens import words
@@ -23,13 +23,18 @@ def drop_duplicate_rows(df: DataFrame, subset: Sequence[str] | None = None, id_c
     keys = list(subset) if subset else [c for c in df.columns if c != id_col]
     if id_col is None:
         return df.dropDuplicates(keys)
+    losers = duplicate_ids(df, keys, id_col)
+    return df.join(F.broadcast(losers) if fits_broadcast(losers) else losers, id_col, "left_anti").select(df.columns)
+
+
+def duplicate_ids(df: DataFrame, keys: Sequence[str], id_col: str) -> DataFrame:
+    """The ids of all rows but the first of each content, a written table."""
     cells = [part for c in keys for part in (F.isnull(c), F.col(c))]  # the hash itself passes over nulls
     digest = F.struct(F.xxhash64(*cells).alias("a"), F.xxhash64(F.lit(1), *reversed(cells)).alias("b"))
     rows = cut_lineage(df.select(id_col, digest.alias("_digest")))
     groups = rows.groupBy("_digest").agg(F.min(id_col).alias("_first"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
     losers = lookup(rows, groups, "_digest", "inner", salt=F.col(id_col)).filter(F.col(id_col) != F.col("_first")).select(id_col)
-    losers = cut_lineage(losers)
-    return df.join(F.broadcast(losers) if fits_broadcast(losers) else losers, id_col, "left_anti").select(df.columns)
+    return cut_lineage(losers)
 
 
 def count_share(df: DataFrame, by: str) -> DataFrame:
@@ -106,20 +111,10 @@ def misclassification(prediction: Column, label: Column) -> Column:
     return F.avg((prediction != label).cast("int"))
 
 
-class StageCounts:
-    """Row counts of the stages of one flow, collected while the flow itself runs: ``watch`` marks a stage, and once the last
-    table has been written (``written``), ``frame`` holds a row per stage. Nothing is read or computed a second time."""
-
-    def __init__(self):
-        self.seen: dict[str, Observation] = {}
-
-    def watch(self, name: str, df: DataFrame) -> DataFrame:
-        self.seen[name] = Observation(f"rows {name} {id(self)}")
-        return df.observe(self.seen[name], F.count(F.lit(1)).alias("n"))
-
-    def written(self, df: DataFrame) -> DataFrame:
-        """The flow, run and written down."""
-        return cut_lineage(df)
-
-    def frame(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame([(name, o.get["n"]) for name, o in self.seen.items()], "stage string, n bigint")
+def stage_counts(df: DataFrame, stages: dict[str, Column]) -> DataFrame:
+    """(stage, n): rows that pass each condition and all before it, counted in one pass over ``df``."""
+    passed, counts = F.lit(True), []
+    for name, condition in stages.items():
+        passed = passed & condition
+        counts.append(F.struct(F.lit(name).alias("stage"), F.count_if(passed).alias("n")))
+    return df.agg(F.array(*counts).alias("_c")).select(F.inline("_c"))

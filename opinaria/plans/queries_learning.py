@@ -11,10 +11,16 @@ from pyspark.sql import functions as F
 from opinaria.functions.normalize import normalize_text
 from opinaria.models import bayes as B, classifiers as C, language as LM, selection as S, stumps as ST
 from opinaria.models.text_stages import ReviewCleaner
+from opinaria.models.ensembles import WeightedVote
+from opinaria.models.search import model_search as search
 from opinaria.operators import spelling, stats, vectorize as V
+from opinaria.operators.compound import spell_check_compound
+from opinaria.operators.curves import roc_curve
+from opinaria.plans import reviews as flow
 from opinaria.plans.queries_features import _SCALES, _UNIGRAM, _sql_vocabulary, documents, unigram_counts
+from opinaria.plans.queries_lexicon import BY_VALUE, texts as scored_texts, word_lists
 from opinaria.plans.registry import query
-from opinaria.plans.views import STOP_WORDS, sql_hashed, sql_normalized, sql_words, table
+from opinaria.plans.views import STOP_WORDS, TEN_POINT, reviews, sql_hashed, sql_normalized, sql_words, table
 from opinaria.session import computed, cut_lineage, shared_dir
 
 # ---- spelling: words of the benchmark and conversations against a dictionary of frequent document words
@@ -68,6 +74,27 @@ def spelling_splits(spark, sf_dir):
     return spelling.splits(unknown, words, cut_lineage(stats.bigram_counts(talk)))
 
 
+@query("spell_checked_documents")
+def spell_checked_documents(spark, sf_dir):
+    """All documents along the best paths of their lattices; the dictionary is their own frequent words, the neighbours their own word pairs."""
+    docs = cut_lineage(documents(spark, sf_dir))
+    words = cut_lineage(stats.unigram_counts(docs).filter("n >= 4"))
+    return spell_check_compound(docs, words, cut_lineage(stats.bigram_counts(docs)))
+
+
+@query("review_flow")
+def review_flow(spark, sf_dir):
+    """The whole flow over all documents: copies dropped, scored raw, normalised, corrected as sentences, stop words removed, filtered by length and
+    detected language, labelled, stemmed, filtered again."""
+    docs = cut_lineage(documents(spark, sf_dir))
+    words, pairs = cut_lineage(stats.unigram_counts(docs).filter("n >= 4")), cut_lineage(stats.bigram_counts(docs))
+    model = LM.fit_language_model(V.split_train(table(spark, sf_dir, "documents").select("doc_id", "lang", "text")).filter("is_train"))
+    settings = flow.Settings(stop_words=STOP_WORDS, ten_point_sources=TEN_POINT, language="en", stem=True, rules=BY_VALUE)
+    rows = flow.review_table(reviews(spark, sf_dir), *word_lists(scored_texts(spark, sf_dir)), dictionary=words, bigrams=pairs,
+                             detect=lambda df: LM.detect_language(df, model), settings=settings)
+    return rows.select("doc_id", "source", "rating", "text", "language", "sentiment", F.col("length").cast("bigint").alias("length"), "leia")
+
+
 # ---- naive Bayes, against the same model computed from counts
 
 _NB = f"""toks AS (SELECT doc_id, {sql_words(sql_normalized('text'))} AS t FROM documents), occ AS (SELECT doc_id, unnest(t) AS term FROM toks),
@@ -136,10 +163,6 @@ def _features(spark, sf_dir, spec: V.Vectorizer):
     return _WRITTEN[key]
 
 
-# Every boosting round is a chain of Spark jobs of its own; the registered queries stop after so many (README, "Registered
-# parameters"). All other parameters are the classifiers' defaults.
-ROUNDS = {name: {"n_estimators": 10} for name in (
-    "GradientBoostingClassifier", "XGBClassifier", "LGBMClassifier", "CatBoostClassifier")}
 UNIGRAMS = V.Vectorizer("Unigram")
 
 
@@ -161,7 +184,7 @@ def _fitted(name: str):
     def fit(spark, sf_dir):
         _, train, test = _features(spark, sf_dir, UNIGRAMS)
         size = len(train.select("features").first()["features"])
-        model = C.BY_NAME[name].build(train.count(), size, **ROUNDS.get(name, {})).fit(train)
+        model = C.BY_NAME[name].build(train.count(), size).fit(train)
         return judged(model.transform(test))
 
     return fit
@@ -170,18 +193,22 @@ def _fitted(name: str):
 for _c in C.CLASSIFIERS:
     _fitted(_c.name)
 
+# The general search takes all eight vectorisers and seventeen classifiers; these are registered (README, "Registered parameters").
+SEARCHED = (UNIGRAMS, V.Vectorizer("Bigram", high=2), V.Vectorizer("TF-IDF Unigram", tfidf=True))
 SWEEP = ("LogisticRegression", "RidgeClassifier", "MultinomialNB", "BernoulliNB")
 
 
-@query("comparison_sweep")
+@query("comparison_sweep", f"""SELECT v_name, c_name, '' AS flag, TRUE AS beats_majority FROM (SELECT unnest(['Unigram', 'TF-IDF Unigram']) AS v_name)
+CROSS JOIN (SELECT unnest([{', '.join(repr(C.BY_NAME[n].c_name) for n in SWEEP)}]) AS c_name)""")
 def comparison_sweep(spark, sf_dir):
     """Two vectorisers by four classifiers."""
     tables, sizes = {}, {}
     for spec in (UNIGRAMS, V.Vectorizer("TF-IDF Unigram", tfidf=True)):
         _, train, test = _features(spark, sf_dir, spec)
         tables[spec.name], sizes[spec.name] = (train, test), len(train.select("features").first()["features"])
-    rows = S.results_frame(spark, S.compare(tables, [C.BY_NAME[n] for n in SWEEP], sizes, ROUNDS))
-    return rows.select("v_name", "c_name", "accuracy", "flag")
+    rows = S.results_frame(spark, S.compare(tables, [C.BY_NAME[n] for n in SWEEP], sizes))
+    shares = test.groupBy("label").count().agg(F.max("count") / F.sum("count")).scalar()
+    return rows.select("v_name", "c_name", "flag", (F.col("accuracy") > shares).alias("beats_majority"))
 
 
 # The same counts in the other engine: scaled counts of both halves, ranks and folds of the training half, and naive Bayes from them.
@@ -225,15 +252,15 @@ def grid_search(spark, sf_dir):
     return found.select("doc_id", F.lit(alpha).alias("alpha"), F.col("preds")[0].alias("pred"))
 
 
-@query("vote_search")
+@query("vote_search", _JUDGED)
 def vote_search(spark, sf_dir):
     _, train, test = _features(spark, sf_dir, UNIGRAMS)
     n, size, voters = train.count(), len(train.select("features").first()["features"]), []
     for name in SWEEP:
-        estimator = C.BY_NAME[name].build(n, size, **ROUNDS.get(name, {}))
+        estimator = C.BY_NAME[name].build(n, size)
         voters.append((name, lambda e=estimator: e, estimator.fit(train)))
     best = S.best_vote(voters, train, test)
-    return best["model"].transform(test).select("doc_id", F.lit(",".join(best["members"])).alias("members"), F.col("prediction").cast("int").alias("pred"))
+    return judged(best["model"].transform(test))
 
 
 @query("learning_curve", f"""WITH {_BAYES}, alphas AS (SELECT 0 AS place, 1.0::DOUBLE AS alpha), steps AS (SELECT unnest(range(1, 11)) AS model),
@@ -273,6 +300,54 @@ def boosted_stump_weights(spark, sf_dir):
     return weighted.select("doc_id", F.round("w", 9).alias("weight"))
 
 
+def _sql_curve_points(side: str, docs: str) -> str:
+    """Scores of every one-vs-rest model for the rows of one side, under the class's name and under all classes together."""
+    return f"""SELECT '{side}/' || m AS model, round(s, 6) AS score, hit FROM (
+  SELECT b.lang AS m, CASE WHEN d.lang = b.lang THEN 1 ELSE 0 END AS hit, any_value(b.p) + coalesce(sum(v * w), 0) AS s
+  FROM {docs} d CROSS JOIN bias b LEFT JOIN val ON val.doc_id = d.doc_id LEFT JOIN odds o ON o.lang = b.lang AND o.term = val.term GROUP BY d.doc_id, d.lang, b.lang)"""
+
+
+@query("naive_bayes_curves", f"""WITH {_BAYES}, learnt AS (SELECT doc_id, lang FROM documents SEMI JOIN train USING (doc_id)), judged AS (SELECT doc_id, lang FROM documents ANTI JOIN train USING (doc_id)),
+langs AS (SELECT DISTINCT lang FROM learnt), n AS (SELECT lang, term, sum(v) AS n FROM val JOIN learnt USING (doc_id) GROUP BY lang, term),
+cell AS (SELECT l.lang, t.term, coalesce(n, 0) AS n, sum(coalesce(n, 0)) OVER (PARTITION BY t.term) AS every FROM langs l CROSS JOIN terms t LEFT JOIN n ON n.lang = l.lang AND n.term = t.term),
+odds AS (SELECT lang, term, ln(n + 1) - ln(sum(n) OVER (PARTITION BY lang) + n_terms) - ln(every - n + 1) + ln(sum(every - n) OVER (PARTITION BY lang) + n_terms) AS w FROM cell, width),
+bias AS (SELECT lang, ln(count(*) + 1) - ln((SELECT count(*) FROM learnt) - count(*) + 1) AS p FROM learnt GROUP BY lang),
+scored AS ({_sql_curve_points('train', 'learnt')} UNION ALL {_sql_curve_points('test', 'judged')}),
+named AS (SELECT model, score, hit FROM scored UNION ALL SELECT split_part(model, '/', 1) || '/all', score, hit FROM scored),
+g AS (SELECT model, score, sum(hit) AS pos, count(*) - sum(hit) AS neg FROM named GROUP BY model, score),
+c AS (SELECT model, pos, neg, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER (PARTITION BY model) AS p, sum(neg) OVER (PARTITION BY model) AS n,
+  lead(pos) OVER (PARTITION BY model ORDER BY score DESC) AS npos, lead(neg) OVER (PARTITION BY model ORDER BY score DESC) AS nneg
+  FROM g WINDOW w AS (PARTITION BY model ORDER BY score DESC ROWS UNBOUNDED PRECEDING))
+SELECT model, round(fp / n, 9) AS fpr, round(tp / p, 9) AS tpr FROM c WHERE npos IS NULL OR npos <> pos OR nneg <> neg UNION ALL SELECT DISTINCT model, 0, 0 FROM named""")
+def naive_bayes_curves(spark, sf_dir):
+    """ROC points of one-vs-rest naive Bayes over the languages, on training and test rows, per language and for all languages together."""
+    train, test, vocab, seen, new = _long(spark, sf_dir)
+    langs = [r["lang"] for r in table(spark, sf_dir, "documents").select("lang").distinct().orderBy("lang").collect()]
+    number = sum((F.when(F.col("lang") == name, k).otherwise(0) for k, name in enumerate(langs)), F.lit(0))
+    labels = table(spark, sf_dir, "documents").select("doc_id", number.alias("label"), F.lit(0).alias("part"))
+    sides = {"train": (train.select("doc_id").join(labels, "doc_id"), seen), "test": (test.select("doc_id").join(labels, "doc_id"), new)}
+    stats_ = B.statistics(seen, sides["train"][0], vocab, 1, labels=range(len(langs)))
+    weights, priors = B.one_vs_rest(stats_)
+    scored = None
+    for side, (docs, cells) in sides.items():
+        rows = B.predictions(cells, docs, weights, priors)
+        decisions = F.array(*[F.struct(F.lit(f"{side}/{name}").alias("model"), (F.col("scores")[2 * k + 1] - F.col("scores")[2 * k]).alias("score"),
+                                       (F.col("label") == k).cast("int").alias("label")) for k, name in enumerate(langs)])
+        part = rows.select(F.inline(decisions))
+        both = part.unionByName(part.withColumn("model", F.lit(f"{side}/all")))
+        scored = both if scored is None else scored.unionByName(both)
+    points = roc_curve(cut_lineage(scored.withColumn("score", F.round("score", 6))))
+    return points.select("model", F.round("fpr", 9).alias("fpr"), F.round("tpr", 9).alias("tpr"))
+
+
+@query("model_search")
+def model_search(spark, sf_dir):
+    """The whole search: features without outliers, defaults, pruning, grids, refits and votes, for the vectorisers and classifiers below."""
+    train, test = train_test(spark, sf_dir)
+    found = search(train, test, SEARCHED, [C.BY_NAME[n] for n in SWEEP], shared_dir(spark))
+    return found.select("phase", "v_name", "c_name", "params", "accuracy", "flag", "error")
+
+
 @query("most_informative_terms")
 def most_informative_terms(spark, sf_dir):
     train, test = train_test(spark, sf_dir)
@@ -285,32 +360,36 @@ def most_informative_terms(spark, sf_dir):
 
 @query("one_vs_rest_curve")
 def one_vs_rest_curve(spark, sf_dir):
-    from opinaria.operators.curves import roc_curve
     _, train, test = _features(spark, sf_dir, UNIGRAMS)
     model = C.BY_NAME["LinearSVC"].build(train.count(), 100).fit(train)
     return roc_curve(S.one_vs_rest_scores(model.transform(test), "LinearSVC"))
 
 
-@query("detected_languages")
+@query("detected_languages", f"""SELECT lang, count(*) AS test_rows, TRUE AS mostly_right FROM documents WHERE {sql_hashed('doc_id')} % 100 >= 50 GROUP BY lang""")
 def detected_languages(spark, sf_dir):
     docs = V.split_train(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
     model = LM.fit_language_model(docs.filter("is_train"))
-    return LM.detect_language(docs.filter("NOT is_train").select("doc_id", "lang", "text"), model).select("doc_id", "lang", "language")
+    found = LM.detect_language(docs.filter("NOT is_train").select("doc_id", "lang", "text"), model)
+    return found.groupBy("lang").agg(F.count("*").alias("test_rows"), (F.avg((F.col("language") == F.col("lang")).cast("int")) > 0.5).alias("mostly_right"))
 
 
-@query("saved_scoring_model")
+@query("saved_scoring_model", _JUDGED)
 def saved_scoring_model(spark, sf_dir):
-    """One saved model from raw text to prediction: fitted once, loaded the second time."""
+    """One saved model from raw text to the vote of three classifiers, with spelling and stemming: fitted once, loaded the second time."""
     docs = V.split_train(table(spark, sf_dir, "documents").select("doc_id", "text", (F.col("lang") == "en").cast("double").alias("label")))
     train, test = docs.filter("is_train").drop("is_train"), docs.filter("NOT is_train").drop("is_train")
     base = shared_dir(spark)
 
     def fit():
-        cleaner = ReviewCleaner("text", "clean", STOP_WORDS)
+        dictionary = shared_dir(spark)
+        stats.unigram_counts(computed(train, text=normalize_text(F.col("text")))).filter("n >= 4").write.parquet(dictionary)
+        cleaner = ReviewCleaner("text", "clean", STOP_WORDS, dictionary=dictionary)
         cleaned = cut_lineage(cleaner.transform(train).drop("text"))
         model, a, _ = S.featurize(cleaned, cleaned, UNIGRAMS, text="clean")
-        return PipelineModel([cleaner, *model.stages, C.BY_NAME["LogisticRegression"].build(train.count(), 100).fit(a)])
+        a = cut_lineage(a.select("doc_id", "label", "features"))
+        voters = [C.BY_NAME[name].build(train.count(), 100).fit(a) for name in ("LogisticRegression", "MultinomialNB", "BernoulliNB")]
+        return PipelineModel([cleaner, *model.stages, WeightedVote(voters)])
 
-    S.fit_or_load(spark, base, {"model": "LogisticRegression"}, train, fit)
-    model = S.fit_or_load(spark, base, {"model": "LogisticRegression"}, train, fit)
-    return model.transform(test).select("doc_id", F.col("label").cast("int").alias("label"), F.col("prediction").cast("int").alias("pred"))
+    S.fit_or_load(spark, base, {"model": "vote"}, train, fit)
+    model = S.fit_or_load(spark, base, {"model": "vote"}, train, fit)
+    return judged(model.transform(test))

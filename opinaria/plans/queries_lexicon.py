@@ -192,11 +192,11 @@ def lexicon_accuracy(spark, sf_dir):
     return both.agg(F.count("*").alias("n"), F.round(F.avg((F.col("leia") == F.col("sentiment")).cast("int")), 6).alias("accuracy"))
 
 
-@query("review_flow", f"""WITH RECURSIVE {_BY_VALUE}{CLEAN.removeprefix(REVIEWS)}
+@query("review_flow_plain", f"""WITH RECURSIVE {_BY_VALUE}{CLEAN.removeprefix(REVIEWS)}
 SELECT l.doc_id, l.source, l.rating, l.text, l.sentiment, l.length, CASE WHEN round(raw_compound, 4) >= 0 THEN 'positive' ELSE 'negative' END AS leia
 FROM labelled l JOIN scores USING (doc_id)""")
-def review_flow(spark, sf_dir):
-    """The whole flow over all documents: copies dropped, scored raw, cleaned, filtered, labelled."""
+def review_flow_plain(spark, sf_dir):
+    """The flow over all documents without spelling, language and stemming: copies dropped, scored raw, cleaned, filtered, labelled."""
     settings = flow.Settings(stop_words=STOP_WORDS, ten_point_sources=TEN_POINT, stem=False, rules=BY_VALUE)
     rows = flow.review_table(reviews(spark, sf_dir), *word_lists(texts(spark, sf_dir)), settings=settings)
     return rows.select("doc_id", "source", "rating", "text", "sentiment", F.col("length").cast("bigint").alias("length"), "leia")

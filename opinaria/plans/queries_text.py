@@ -16,7 +16,7 @@ from opinaria.plans import reviews as flow
 from opinaria.plans.registry import query
 from opinaria.plans.views import (CLEAN, REVIEWS, SQL_STOP, STOP_WORDS, TEN_POINT, reviews, sql_hashed,
                                   sql_long_enough, sql_normalized, sql_sentiment, sql_words, table)
-from opinaria.session import computed, cut_lineage
+from opinaria.session import computed, cut_lineage, lookup
 
 SETTINGS = flow.Settings(stop_words=STOP_WORDS, ten_point_sources=TEN_POINT)
 
@@ -264,12 +264,11 @@ def bigram_counts(spark, sf_dir):
 SELECT 'loaded' AS stage, count(*) AS n FROM reviews UNION ALL SELECT 'unique', count(*) FROM unique_reviews
 UNION ALL SELECT 'long enough', count(*) FROM labelled""")
 def stage_row_counts(spark, sf_dir):
-    """Counted while the flow runs, by observed metrics: the texts are normalised once."""
-    counts = stats.StageCounts()
-    unique = counts.watch("unique", flow.prepare(counts.watch("loaded", reviews(spark, sf_dir)), SETTINGS))
-    rows = counts.watch("long enough", flow.clean(unique, SETTINGS).filter(long_enough(F.col("text"))))
-    counts.written(flow.label(rows, SETTINGS).select("doc_id", "sentiment", "length"))
-    return counts.frame(spark)
+    """Copies are marked instead of dropped, so that one pass cleans every text once and counts all stages."""
+    raw = reviews(spark, sf_dir)
+    copies = stats.duplicate_ids(raw, ["source", "title", "text", "rating"], "doc_id").withColumn("copy", F.lit(True))
+    marked = lookup(raw, copies, "doc_id", salt=F.col("doc_id")).withColumn("text", merge_title(F.col("title"), F.col("text"), SETTINGS.null_title))
+    return stats.stage_counts(flow.clean(marked, SETTINGS), {"loaded": F.lit(True), "unique": F.col("copy").isNull(), "long enough": long_enough(F.col("text"))})
 
 
 @query("bigram_arrays", f"""WITH w AS (SELECT doc_id, {sql_words(sql_normalized('text'))} AS t FROM documents)
