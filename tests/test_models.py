@@ -246,7 +246,7 @@ def test_search_goes_on_where_it_was(spark, monkeypatch):
     from opinaria.models import search as SE
     rows = sentences(spark, copies=8)
     train, test = rows.filter("doc_id % 4 < 3"), rows.filter("doc_id % 4 = 3")
-    specs = [V.Vectorizer("Unigram", min_df=2, max_df=1.0), V.Vectorizer("TF-IDF Rare", tfidf=True, min_df=2, max_df=0.1)]
+    specs = [V.Vectorizer("Unigram", min_df=2, max_df=1.0), V.Vectorizer("One", min_df=2, max_df=1.0, max_features=1)]
     constant = C.Classifier("x", "Shrunk", lambda n, d, C=1e-9: LogisticRegression(regParam=1 / C, elasticNetParam=1.0, threshold=0.99), {"C": [1e-9]})
     broken = C.Classifier("x", "Broken", lambda n, d: LogisticRegression(featuresCol="nothing"), {})
     small = C.Classifier("linear_model", "LogisticRegression", C.BY_NAME["LogisticRegression"].build, {"C": [0.5, 1.0]})
