@@ -73,8 +73,30 @@ class ByteCnn:
             found[at : at + batch] = e / e.sum(axis=1, keepdims=True)
         return found
 
+    def gradients(self, x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the mean cross-entropy; that of max pooling reaches only the winning position of each filter."""
+        n = len(x)
+        patches = self._patches(x)
+        top, best = self._pooled(patches)
+        z = top @ self.out + self.out_bias
+        p = np.exp(z - z.max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        p[np.arange(n), y] -= 1
+        p /= n
+        back = (p @ self.out.T) * (top > 0)  # (window, filter)
+        won = patches[np.arange(n)[:, None], best]  # (window, filter, place * dim)
+        grads = {"out": top.T @ p, "out_bias": p.sum(axis=0), "conv_bias": back.sum(axis=0),
+                 "conv": np.einsum("bf,bfk->kf", back, won) * self.mask}
+        spread = back[:, :, None] * self.conv.T[None]
+        embed = np.zeros_like(self.embed)
+        padded = np.concatenate([x, np.zeros((n, max(WIDTHS) - 1), np.uint8)], axis=1)
+        for place in range(max(WIDTHS)):
+            np.add.at(embed, padded[np.arange(n)[:, None], best + place], spread[:, :, place * self.dim : (place + 1) * self.dim])
+        grads["embed"] = embed
+        return grads
+
     def train(self, windows: np.ndarray, labels: np.ndarray, epochs: int = 6, batch: int = 64, rate: float = 3e-3, seed: int = 6) -> None:
-        """Adam on the cross-entropy; the gradient of max pooling reaches only the winning position of each filter."""
+        """Adam on the cross-entropy."""
         names = ["embed", "conv", "conv_bias", "out", "out_bias"]
         first, second, t = ({n: np.zeros_like(getattr(self, n)) for n in names} for _ in range(2)), None, 0
         first, second = first
@@ -83,24 +105,8 @@ class ByteCnn:
             order = draw.permutation(len(windows))
             for at in range(0, len(order), batch):
                 some = order[at : at + batch]
-                x, y, n = windows[some], labels[some], len(some)
-                patches = self._patches(x)
-                top, best = self._pooled(patches)
-                z = top @ self.out + self.out_bias
-                p = np.exp(z - z.max(axis=1, keepdims=True))
-                p /= p.sum(axis=1, keepdims=True)
-                p[np.arange(n), y] -= 1
-                p /= n
-                back = (p @ self.out.T) * (top > 0)  # (window, filter)
-                won = patches[np.arange(n)[:, None], best]  # (window, filter, place * dim)
-                grads = {"out": top.T @ p, "out_bias": p.sum(axis=0), "conv_bias": back.sum(axis=0),
-                         "conv": np.einsum("bf,bfk->kf", back, won) * self.mask}
-                spread = back[:, :, None] * self.conv.T[None]
-                embed = np.zeros_like(self.embed)
-                padded = np.concatenate([x, np.zeros((n, max(WIDTHS) - 1), np.uint8)], axis=1)
-                for place in range(max(WIDTHS)):
-                    np.add.at(embed, padded[np.arange(n)[:, None], best + place], spread[:, :, place * self.dim : (place + 1) * self.dim])
-                grads["embed"] = embed
+                x, y = windows[some], labels[some]
+                grads = self.gradients(x, y)
                 t += 1
                 for name in names:
                     g = grads[name]

@@ -14,14 +14,48 @@ def test_windows_cover_the_whole_text():
     assert windows_of(text, 128).tobytes().rstrip(b"\0") == text.lower() and windows_of(b"", 128).shape == (0, 128)
 
 
+def loss(model, x, y):
+    return -np.log(model.probabilities(x)[np.arange(len(x)), y].astype(float)).mean()
+
+
 def test_gradients_equal_differences():
+    model = ByteCnn(["a", "b", "c"], length=16, filters=2)
+    draw = np.random.default_rng(0)
+    x, y = draw.integers(97, 103, (6, 16), dtype=np.uint8), np.array([0, 1, 2, 1, 1, 0])
+    names = ["embed", "conv", "conv_bias", "out", "out_bias"]
+    for name in names:
+        setattr(model, name, getattr(model, name).astype(float))
+    grads, step = model.gradients(x, y), 1e-6
+
+    def forward():
+        top, _ = model._pooled(model._patches(x))
+        z = top @ model.out + model.out_bias
+        return (np.log(np.exp(z).sum(axis=1)) - z[np.arange(len(x)), y]).mean()
+
+    for name in names:
+        values = getattr(model, name)
+        assert grads[name].shape == values.shape
+        free = np.argwhere(model.mask > 0) if name == "conv" else np.argwhere(np.ones(values.shape, bool))
+        if name == "embed":
+            free = free[np.isin(free[:, 0], [0, *range(97, 104)])]
+        for at in map(tuple, free[:: max(1, len(free) // 60)]):
+            was = values[at]
+            values[at] = was + step
+            above = forward()
+            values[at] = was - step
+            below = forward()
+            values[at] = was
+            assert abs((above - below) / (2 * step) - grads[name][at]) < 1e-6, (name, at)
+    assert (grads["conv"][model.mask == 0] == 0).all()
+
+
+def test_training_lowers_the_loss():
     model = ByteCnn(["a", "b"], length=16, filters=2)
     draw = np.random.default_rng(0)
     x, y = draw.integers(97, 123, (6, 16), dtype=np.uint8), np.array([0, 1, 0, 1, 1, 0])
-    loss = lambda: -np.log(model.probabilities(x)[np.arange(6), y].astype(float)).mean()
-    before = loss()
+    before = loss(model, x, y)
     model.train(x, y, epochs=40, batch=6, rate=1e-2)
-    assert loss() < 0.2 * before
+    assert loss(model, x, y) < 0.2 * before
 
 
 def test_held_out_accuracy(spark):

@@ -1,6 +1,6 @@
 import numpy as np
 
-from opinaria.llm.toxicity import best_threshold, features_of, fit_linear, Rows, score, train
+from opinaria.llm.toxicity import best_threshold, features_of, fit_chain, fit_linear, Rows, score, train
 
 SF = "/root/testdata/sf0.1"
 MARKED = {"stupid", "disgusting", "clown", "trash", "moron", "worthless", "scum", "pathetic", "idiot", "loser"}
@@ -23,6 +23,61 @@ def test_linear_model_finds_the_word():
     assert 0.5 <= best_threshold(y, p) < 0.7 and best_threshold(np.zeros(3), np.zeros(3)) == 0.5
 
 
+def sparse_rows(n, width, seed):
+    draw = np.random.default_rng(seed)
+    cells = [(r, f) for r in range(n) for f in sorted(draw.choice(width, 6, replace=False))]
+    row, feature = map(np.array, zip(*cells))
+    return Rows(row, feature, n, width), draw
+
+
+def test_linear_model_meets_the_conditions_of_its_minimum():
+    rows, draw = sparse_rows(400, 30, 1)
+    dense = np.zeros((400, 30))
+    dense[rows.row, rows.feature] = 1
+    earlier = draw.random((400, 1))
+    y = (dense[:, 3] + earlier[:, 0] + draw.normal(0, 0.4, 400) > 0.8).astype(float)
+    l1 = 5e-3
+    model = fit_linear(rows, earlier, y, l1=l1, rounds=6000)
+    rarity = np.log(401 / (1 + dense.sum(axis=0)))
+    w = model.weights / rarity
+    p = 1 / (1 + np.exp(-((dense * rarity) @ w + earlier @ model.chained + model.bias)))
+    slope = (dense * rarity).T @ (p - y) / 400
+    assert (w != 0).any() and (w == 0).any()
+    assert np.abs(slope[w != 0] + l1 * np.sign(w[w != 0])).max() < 1e-5
+    assert np.abs(slope[w == 0]).max() < l1 + 1e-5
+    assert abs((p - y).mean()) < 1e-5 and np.abs(earlier.T @ (p - y) / 400).max() < 1e-5
+
+
+def test_chain_equals_a_plain_restatement():
+    rows, draw = sparse_rows(300, 20, 2)
+    has = np.zeros((300, 20), bool)
+    has[rows.row, rows.feature] = True
+    first = (has[:, 2] | has[:, 5]).astype(float)
+    second = np.where(draw.random(300) < 0.2, np.nan, (has[:, 2] & (draw.random(300) < 0.9)).astype(float))
+    labels, fold = np.column_stack([first, second]), np.arange(300) % 5
+    words = np.sort(draw.integers(1, 1 << 60, 20).astype(np.uint64))
+    chain = fit_chain(words, rows, labels, fold, ["a", "b"], 5)
+
+    none, unseen = np.zeros((300, 0)), np.zeros(300)
+    for part in range(5):  # each row's probability comes from a model that has not seen the row
+        others = fit_linear(rows.take(fold != part), none[fold != part], first[fold != part])
+        unseen[fold == part] = others.predict(rows.take(fold == part), none[fold == part])
+    known = ~np.isnan(second)
+    want = [fit_linear(rows, none, first), fit_linear(rows.take(known), unseen[known, None], second[known])]
+    kept = np.any([m.weights != 0 for m in want], axis=0)
+    for got, model in zip(chain.models, want):
+        assert np.allclose(got.weights, model.weights[kept]) and np.allclose(got.chained, model.chained) and np.isclose(got.bias, model.bias)
+    assert chain.thresholds[0] == best_threshold(first, unseen)
+
+    scores = chain.scores([words[has[r]] for r in range(300)])
+    for r in range(300):
+        earlier = []
+        for model in want:
+            z = sum(model.weights[f] for f in range(20) if has[r, f]) + sum(c * p for c, p in zip(model.chained, earlier)) + model.bias
+            earlier.append(1 / (1 + np.exp(-z)))
+        assert np.allclose(scores[r], earlier)
+
+
 def test_a_later_category_uses_the_earlier_one(spark):
     rows = [(k, "good words " + ("bad" if k % 3 == 0 else "fine") + f" w{k % 7}") for k in range(300)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
