@@ -3,7 +3,7 @@ to the shared folder where a file is the point, and read back."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opinaria.functions.normalize import normalize_text
@@ -170,28 +170,41 @@ def search_product_ids(spark, sf_dir):
 
 
 def _shop_pages(spark, sf_dir) -> DataFrame:
-    """The given pages with the scripts and elements product pages carry put before their markup."""
-    sku = F.concat(F.lit('<script type="application/ld+json">{"@type": "Product", "sku": "'), F.col("page_id").cast("string"), F.lit('"}</script>'))
-    no_sku = F.lit('<script type="application/ld+json">{"@type": "Organization"}</script>')
-    meta = F.concat(F.lit('<script type="text/javascript">var a = 1;\nsiteMetadata = {"page": {"listItems": [{"idProduct": '),
-                    F.col("page_id").cast("string"), F.lit('}, {"idProduct": '), (F.col("page_id") + 7).cast("string"), F.lit("}]}};  </script>"))
-    hit = F.concat(F.lit('<div data-x="1" class="card js-search-result-li even" data-res_id="r'), F.col("page_id").cast("string"),
-                   F.lit('">a</div><div class="other" data-res_id="no">b</div>'))
-    return table(spark, sf_dir, "pages").select("page_id", F.concat(sku, no_sku, meta, hit, F.col("html")).alias("html"))
+    """The given pages with the scripts and elements product pages carry put before their markup; what they carry differs from page to page."""
+    page, number = F.col("page_id"), F.col("page_id").cast("string")
 
+    def script(kind: str, *body: Column) -> Column:
+        return F.concat(F.lit(f'<script async type="{kind}">'), *body, F.lit("</script>"))
 
-@query("json_ld_skus", "SELECT page_id, CAST(page_id AS VARCHAR) AS product_id FROM pages")
+    sku = script("application/ld+json", F.lit('{"@type": "Product",\n "sku": "'), number, F.lit('"}'))
+    second = F.when(page % 4 == 1, script("application/ld+json", F.lit('{"sku": '), number, F.lit(', "offers": {"sku": "inner"}}'))).otherwise(F.lit(""))
+    no_sku = F.lit('<script type="application/ld+json">{"@type": "Organization"}</script>')
+    json_ld = F.concat(F.when(page % 5 == 0, no_sku).when(page % 7 == 3, script("application/ld+json", F.lit('{"sku": "unread", "name": }')))
+                       .otherwise(sku), no_sku, second)
+    listed = F.transform(F.sequence(F.lit(0), (page % 3).cast("int")), lambda k: F.concat(F.lit('{"idProduct": '), (page + 7 * k).cast("string"), F.lit("}")))
+    meta = F.when(page % 4 == 2, script("text/javascript", F.lit("var siteData = 1;"))).otherwise(script(
+        "text/javascript", F.lit('var a = 1;\nsiteMetadata = {"page": {"listItems": ['), F.array_join(listed, ", "), F.lit("]}};  ")))
+    hit = F.concat(F.when(page % 3 == 0, F.concat(F.lit('<li data-res_id="s'), number, F.lit('"\n class="js-search-result-li">a</li>'))).otherwise(F.lit("")),
+                   F.when(page % 4 != 0, F.concat(F.lit('<div data-x="1" class="card js-search-result-li even" data-res_id="r'), number, F.lit('">a</div>')))
+                   .otherwise(F.lit('<div class="js-search-result-link" data-res_id="no">a</div>')),
+                   F.lit('<div class="other" data-res_id="no">b</div>'))
+    return table(spark, sf_dir, "pages").select("page_id", F.concat(json_ld, meta, hit, F.col("html")).alias("html"))
+
+
+@query("json_ld_skus", """SELECT page_id, CAST(page_id AS VARCHAR) AS product_id FROM pages WHERE page_id % 5 <> 0 AND page_id % 7 <> 3
+UNION ALL SELECT page_id, CAST(page_id AS VARCHAR) FROM pages WHERE page_id % 4 = 1""")
 def json_ld_skus(spark, sf_dir):
     return P.json_ld_skus(_shop_pages(spark, sf_dir))
 
 
-@query("metadata_product_ids", """SELECT page_id, CAST(page_id AS VARCHAR) AS product_id FROM pages
-UNION ALL SELECT page_id, CAST(page_id + 7 AS VARCHAR) FROM pages""")
+@query("metadata_product_ids", """SELECT page_id, CAST(page_id + 7 * k AS VARCHAR) AS product_id
+FROM (SELECT page_id, unnest(range(1 + page_id % 3)) AS k FROM pages WHERE page_id % 4 <> 2)""")
 def metadata_product_ids(spark, sf_dir):
     return P.metadata_product_ids(_shop_pages(spark, sf_dir))
 
 
-@query("attribute_ids", "SELECT page_id, 'r' || page_id AS value FROM pages")
+@query("attribute_ids", """SELECT page_id, 's' || page_id AS value FROM pages WHERE page_id % 3 = 0
+UNION ALL SELECT page_id, 'r' || page_id FROM pages WHERE page_id % 4 <> 0""")
 def attribute_ids(spark, sf_dir):
     return P.attribute_values(_shop_pages(spark, sf_dir), "js-search-result-li", "data-res_id")
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from opinaria.functions import normalize as N
 from opinaria.functions.entities import unescape_html
 from opinaria.functions.stem import STEPS, stem_text
-from opinaria.functions.tokens import (bucket, format_duration, has_portuguese_keyword, long_enough, merge_title,
+from opinaria.functions.tokens import (PORTUGUESE_KEYWORDS, bucket, format_duration, has_portuguese_keyword, long_enough, merge_title,
                                        ngrams, remove_words, removed_words, sentiment_label, words)
 from opinaria.functions.translit import to_ascii
 from opinaria.operators import spelling, stats
@@ -84,9 +84,7 @@ def remove_tags_bounded(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", N.remove_tags(F.col("html"), bounded=True).alias("text"))
 
 
-@query("remove_urls", """SELECT page_id, regexp_replace('see ' || url || ' and ' || html,
-  'https?:\\/\\/(www\\.)?[-a-zA-Z0-9@:%._\\+~#=]{1,256}\\.[a-zA-Z0-9()]{1,6}\\b([-a-zA-Z0-9()@:%_\\+.~#?&//=]*)', ' ', 'g') AS text
-FROM pages""")
+@query("remove_urls", f"SELECT page_id, regexp_replace('see ' || url || ' and ' || html, '{N.URL}', ' ', 'g') AS text FROM pages")
 def remove_urls(spark, sf_dir):
     text = F.concat(F.lit("see "), F.col("url"), F.lit(" and "), F.col("html"))
     return table(spark, sf_dir, "pages").select("page_id", N.remove_urls(text).alias("text"))
@@ -171,9 +169,8 @@ def language_filter(spark, sf_dir):
     return table(spark, sf_dir, "documents").filter(F.col("lang") == "en").select("doc_id", "source", "n_chars")
 
 
-@query("keyword_language", """SELECT doc_id, CASE WHEN regexp_matches(strip_accents(lower(text)),
-  '\\b(recomendo|amei|entrega|otim[ao]|excelente|rapida|celular|gostei|facil|lindo|bonito|comprei|legal|perfume|preco|tela|pra|lento|problema|pelicula|memoria|cabelo|ultima)\\b')
-  THEN 'pt' ELSE lang END AS language FROM documents""")
+@query("keyword_language", f"""SELECT doc_id, CASE WHEN regexp_matches(strip_accents(lower(text)),
+  '\\b({'|'.join(PORTUGUESE_KEYWORDS)})\\b') THEN 'pt' ELSE lang END AS language FROM documents""")
 def keyword_language(spark, sf_dir):
     folded = to_ascii(F.lower("text"))
     return table(spark, sf_dir, "documents").select(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from opinaria.functions import normalize as N
 from opinaria.functions.tokens import bucket
 from opinaria.session import spread
 
@@ -51,15 +52,17 @@ REVIEWS = f"""reviews AS (
 TEN_POINT = ("src0",)
 
 
+# Fixed value: the word with a digit, without the Unicode boundaries the other engine lacks.
+SQL_WORD_WITH_DIGIT = r"\b[0-9a-z]*[0-9]+[0-9a-z]*\b"
+
+
 def sql_normalized(expr: str) -> str:
     """The normalisation chain in the other engine's dialect; it has neither back-references
     nor Unicode word boundaries, and the data hold only the entities listed."""
     s = f"lower(coalesce({expr}, ''))"
     for name, char in (("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&amp;", "&")):
         s = f"replace({s}, '{name}', '{char}')"
-    url = (r"https?:\/\/(www\.)?[-a-zA-Z0-9@:%._\+~#=]{1,256}\.[a-zA-Z0-9()]{1,6}\b"
-           r"([-a-zA-Z0-9()@:%_\+.~#?&//=]*)")
-    for pattern in (r"<[^.]*>", url, r"\b[0-9a-z]*[0-9]+[0-9a-z]*\b"):
+    for pattern in (N.TAG, N.URL, SQL_WORD_WITH_DIGIT):
         s = f"regexp_replace({s}, '{pattern}', ' ', 'g')"
     s = f"replace(replace(strip_accents({s}), 'ß', 'ss'), '©', '(c)')"
     s = f"regexp_replace({s}, '[\\x00-\\x1F\\x7F]', '', 'g')"

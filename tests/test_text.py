@@ -55,6 +55,15 @@ def test_transliteration(spark):
         "bom produto muito...bom", "a b c d", "fim TM No 1 12 kg A", "x" * 50 + "..."]
 
 
+@pytest.mark.parametrize("text, expected", [
+    ("שלום עולם", "shlvm vlm"), ("كتاب شمس", "ktab shms"), ("საქართველო ღვინო", "sakartvelo gvino"), ("բարև", "bar"), ("երեխա շուն", "erekha shown"),
+    ("すし と カタカナ", "sushi to katakana"), ("じんじゃ", "jinjiya"), ("がくせい", "gakusei"), ("한국 사람 좋아", "hangug saram joha"), ("안녕 씨", "annyeong ssi"),
+    ("漢字 é", " e"),
+])
+def test_scripts(spark, text, expected):
+    assert column(spark, [text], to_ascii) == [expected]
+
+
 def test_collapse_lines(spark):
     assert column(spark, ["  a\r\n b   c ", None], N.collapse_lines) == ["a b c", ""]
 
