@@ -290,3 +290,13 @@ def test_search_drops_outliers_before_training(spark):
     cells = spark.createDataFrame([(i, k, v) for i, idx, val in rows for k, v in zip(idx, val)], "doc_id bigint, idx int, value double")
     kept = {r["doc_id"] for r in SE.inlying(train, cells, contamination=0.02).collect()}
     assert 99 not in kept and len(kept) >= 59
+
+
+def test_char_grams_are_all_substrings(spark):
+    from opinaria.models.language import char_grams
+
+    texts = ["", "a", "Äb", "😀 aé\nB", "xyz" * 40_000]
+    rows = spark.createDataFrame(list(enumerate(texts)) + [(9, None)], "i int, text string").select("i", char_grams(F.col("text")).alias("g")).collect()
+    for r in rows:
+        t = (texts[r.i] if r.i < 9 else "").lower()
+        assert r.g == [t[k : k + n] for n in (1, 2, 3) for k in range(len(t) - n + 1)]
