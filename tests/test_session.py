@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from opinaria import session as S
 from opinaria.models import classifiers as C
 from opinaria.models import selection as M
-from opinaria.operators import voting
+from opinaria.operators import spelling, voting
 from opinaria.sources import dictionaries as D
 
 
@@ -73,3 +73,20 @@ def test_lines_of_several_lexicon_files_count_by_file_name(spark, tmp_path):
     (tmp_path / "a.txt").write_text("bom\t1.0\n" + "filler\t0.5\n" * 500)
     (tmp_path / "b.txt").write_text("bom\t2.0\nbom\t3.0\n")
     assert {r.word: r.measure for r in D.read_lexicon(spark, str(tmp_path)).collect()} == {"bom": 3.0, "filler": 0.5}
+
+
+def _joins(rows):
+    return rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_replicas_and_deletion_keys_are_not_broadcast_for_small_files(spark, tmp_path):
+    """A few kilobytes of file stand for sixteen replicas of every row, or for all deletion keys of every word."""
+    words = [f"{a}{b}{c}ord" for a in "abcd" for b in "efgh" for c in "ijkl"]
+    spark.createDataFrame([(w, k) for k, w in enumerate(words)], "term string, n int").write.parquet(f"{tmp_path}/words")
+    terms = spark.read.parquet(f"{tmp_path}/words")
+    rows = terms.select("term", F.col("n").alias("id"))
+    found = S.lookup(rows, terms, "term", salt=F.col("id"), bounded=False)
+    assert "Broadcast" not in _joins(found) and found.filter("id = n").count() == len(words)
+    pairs = spelling.candidates(spark.createDataFrame([("aeiorx",)], "token string"), terms)
+    assert "Broadcast" not in _joins(pairs) and ("aeiord", 1) in {(r.term, r.distance) for r in pairs.collect()}
+    assert "Broadcast" in _joins(rows.join(S.sized(terms), "term"))
