@@ -53,6 +53,11 @@ def _terms(docs: DataFrame, spec: V.Vectorizer, key: str = "doc_id") -> DataFram
     return computed(docs.select(key, "text"), terms=spec.terms(F.col("text"))).select(key, "terms")
 
 
+def _words(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The words of the documents, written: both the vocabulary and the counts are made of them."""
+    return cut_lineage(computed(docs.select(key, "text"), words=vector_tokens(F.col("text"))).select(key, "words"))
+
+
 def _plain_vocabulary(high: int):
     sql = f"""WITH {_sql_tokens('documents', 'doc_id')}, occ AS (SELECT doc_id, unnest({_GRAMS[high]}) AS term FROM toks),
 {_sql_vocabulary('occ', 'doc_id', 'documents')} SELECT term, idx, df, tf FROM vocab"""
@@ -60,7 +65,7 @@ def _plain_vocabulary(high: int):
 
     @query(f"vocabulary_{spec.name.lower()}", sql)
     def vocabulary(spark, sf_dir):
-        return V.fit_vocabulary(_terms(documents(spark, sf_dir), spec), spec).withColumn("idx", F.col("idx").cast("bigint"))
+        return V.word_vocabulary(_words(documents(spark, sf_dir)), spec).withColumn("idx", F.col("idx").cast("bigint"))
 
     return vocabulary
 
@@ -90,8 +95,7 @@ SELECT toks.row_id, coalesce(string_agg(gram, '|' ORDER BY n, i, j, k), '') AS g
     @query(f"vocabulary_{name}", f"""WITH {_CONVERSATIONS}, {_sql_skip('row_id', high)}, occ AS (SELECT row_id, gram AS term FROM grams),
 {_sql_vocabulary('occ', 'row_id', 'conversations')} SELECT term, idx, df, tf FROM vocab""")
     def vocabulary(spark, sf_dir):
-        docs = _terms(conversations(spark, sf_dir), spec, "row_id")
-        return V.fit_vocabulary(docs, spec).withColumn("idx", F.col("idx").cast("bigint"))
+        return V.word_vocabulary(_words(conversations(spark, sf_dir), "row_id"), spec).withColumn("idx", F.col("idx").cast("bigint"))
 
     return arrays, vocabulary
 
@@ -131,8 +135,9 @@ SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) A
 
     @query(spec.name.lower().replace("tf-idf ", "tfidf_"), sql)
     def weights(spark, sf_dir):
-        docs = _terms(documents(spark, sf_dir), spec)
-        vocab = cut_lineage(V.fit_vocabulary(docs, spec))
+        docs = _words(documents(spark, sf_dir))
+        vocab = cut_lineage(V.word_vocabulary(docs, spec))
+        docs = docs.select("doc_id", spec.grams(F.col("words"), 1, spec.high).alias("terms"))
         n_docs = table(spark, sf_dir, "documents").agg(F.count("*")).scalar()
         out = V.tfidf(V.count_terms(docs, vocab), vocab, n_docs)
         return out.select("doc_id", "term", F.round("value", 6).alias("value"))

@@ -300,3 +300,43 @@ def test_char_grams_are_all_substrings(spark):
     for r in rows:
         t = (texts[r.i] if r.i < 9 else "").lower()
         assert r.g == [t[k : k + n] for n in (1, 2, 3) for k in range(len(t) - n + 1)]
+
+
+def test_vocabulary_by_lengths_is_that_of_all_terms(spark):
+    """Longer terms are counted only where their parts are frequent; the vocabulary is that of counting every term."""
+    from itertools import combinations
+    from collections import Counter
+
+    said = [[f"w{int((k * 7919 + i * i * 31) ** 0.5 * 10) % (3 + i % 9)}" for i in range(5 + k % 23)] for k in range(120)] + [[], ["w0"], None]
+    rows = spark.createDataFrame([(k, None if t is None else " ".join(t)) for k, t in enumerate(said)], "doc_id int, text string")
+    for spec in (V.Vectorizer("a", 3, min_df=3, max_features=40), V.Vectorizer("b", 3, skip=2, min_df=3, max_features=40),
+                 V.Vectorizer("c", 2, skip=2, min_df=3, max_features=4000), V.Vectorizer("d", 3, min_df=2, max_df=0.2, max_features=25)):
+        tf, df = Counter(), Counter()
+        for t in said:
+            grams = []
+            for n in range(1, spec.high + 1):
+                for i in range(len(t or []) - n + 1):
+                    grams += [" ".join(t[j] for j in (i, *rest)) for rest in combinations(range(i + 1, min(i + n + (spec.skip or 0), len(t))), n - 1)]
+            tf.update(grams)
+            df.update(set(grams))
+        kept = sorted((g for g in tf if spec.min_df <= df[g] <= spec.max_df * len(said)), key=lambda g: (-tf[g], g))[:spec.max_features]
+        wanted = [(g, i, df[g], tf[g]) for i, g in enumerate(sorted(kept))]
+        terms = rows.select(spec.terms(F.col("text")).alias("terms"))
+        assert sorted(map(tuple, V.fit_vocabulary(terms, spec).collect())) == wanted, spec
+        assert any(" " in g for g in kept)
+
+
+def test_rare_terms_do_not_leave_their_row(spark, monkeypatch):
+    """Of 4,000 different pairs and triples only those of frequent words are counted."""
+    rows = spark.createDataFrame([("alpha beta gamma " + " ".join(f"rare{k}x{i}" for i in range(40)),) for k in range(50)], "text string")
+    counted, made = V._counted, []
+
+    def seen(docs, terms, with_rows):
+        out = counted(docs, terms, with_rows)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(V, "_counted", seen)
+    spec = V.Vectorizer("t", 3, max_df=1.0, max_features=3)
+    found = V.fit_vocabulary(rows.select(spec.terms(F.col("text")).alias("terms")), spec)
+    assert [r.term for r in found.orderBy("term").collect()] == ["alpha", "alpha beta", "alpha beta gamma"] and sum(made[1:]) < 100
