@@ -113,3 +113,15 @@ def test_grams_on_random_lists(spark):
         plain = [sum([[" ".join(t[i:i + n]) for i in range(len(t) - n + 1)] for n in range(1, high + 1)], []) for t in lists]
         assert column(spark, lists, lambda c: ngrams(c, 1, high), "array<string>") == plain
     assert column(spark, ["A bc é x-ray 99"], vector_tokens) == [["bc", "ray", "99"]]
+
+
+def test_ascii_signs_are_not_looked_up(spark):
+    """A long text with one rare sign: time goes with its letters, not with letters times the signs that have a spelling."""
+    import time
+
+    rows = spark.createDataFrame([("x… " + "word. " * 200_000,), ("™ café\U0001f600  b",)], "text string")
+    rows.select(F.sum(F.length(strip_accents_ascii(F.col("text"))))).collect()
+    start = time.time()
+    found = [r[0] for r in rows.select(strip_accents_ascii(F.col("text"))).collect()]
+    assert time.time() - start < 4
+    assert found[0] == "x... " + "word. " * 200_000 and found[1] == "TM cafe  b"
