@@ -11,6 +11,7 @@ from opinaria.functions.stem import stem_text
 from opinaria.functions.tokens import (format_duration, has_portuguese_keyword, long_enough, merge_title, ngrams,
                                        remove_words, sentiment_label, skip_ngrams, vector_tokens)
 from opinaria.functions.translit import strip_accents_ascii, to_ascii
+from opinaria.operators.spelling import correct_texts
 
 
 def column(spark, values, expression, kind="string"):
@@ -125,3 +126,14 @@ def test_ascii_signs_are_not_looked_up(spark):
     found = [r[0] for r in rows.select(strip_accents_ascii(F.col("text"))).collect()]
     assert time.time() - start < 4
     assert found[0] == "x... " + "word. " * 200_000 and found[1] == "TM cafe  b"
+
+
+def test_corrections_come_from_a_hash_table_of_the_row(spark):
+    """No map is searched key by key, and rows that share an id may share a word."""
+    said = [f"w{'abcdefghij'[k % 10]}{k}" for k in range(2_000)]
+    rows = spark.createDataFrame([(1, "  ".join(said)), (2, "kept words"), (3, ""), (4, None), (5, "wa0 b"), (5, "c wa0"), (None, "wa0")], "doc_id int, text string")
+    fixes = spark.createDataFrame([(w, f"{w} x") for w in said] + [("b", "")], "token string, corrected string")
+    found = correct_texts(rows, fixes)
+    assert "try_element_at" not in found._jdf.queryExecution().analyzed().toString()
+    wanted = {(1, " ".join(f"{w} x" for w in said)), (2, "kept words"), (3, ""), (4, None), (5, "wa0 x "), (5, "c wa0 x"), (None, "wa0")}
+    assert {tuple(r) for r in found.select("doc_id", "text").collect()} == wanted and found.count() == 7
