@@ -90,3 +90,11 @@ def test_replicas_and_deletion_keys_are_not_broadcast_for_small_files(spark, tmp
     pairs = spelling.candidates(spark.createDataFrame([("aeiorx",)], "token string"), terms)
     assert "Broadcast" not in _joins(pairs) and ("aeiord", 1) in {(r.term, r.distance) for r in pairs.collect()}
     assert "Broadcast" in _joins(rows.join(S.sized(terms), "term"))
+
+
+def test_sides_of_many_bytes_are_shuffled(spark):
+    """Held once the side is 20 MB, but a driver holds a broadcast several times."""
+    rows = spark.range(20_000).select("id", F.repeat(F.lit("x"), 1000).alias("s"))
+    assert not S.fits_broadcast(rows) and S.fits_broadcast(rows.limit(5000))
+    joined = spark.range(30_000).join(S.sized(rows), "id", "left")
+    assert "BroadcastHashJoin" not in joined._jdf.queryExecution().executedPlan().toString() and joined.count() == 30_000
