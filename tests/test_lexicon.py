@@ -1,6 +1,7 @@
 from math import sqrt
 
 import pytest
+from pyspark.sql import functions as F
 
 from opinaria.operators import lexicon as L
 from opinaria.sources.dictionaries import boosters, negations
@@ -129,3 +130,21 @@ def test_bucket_test_lets_every_known_word_through(spark):
     test = bucket_test(words, "w")
     assert words.filter(test(F.col("w"))).count() == 3000
     assert spark.range(5000).selectExpr("concat('other', id) as w").filter(test(F.col("w"))).count() < 200
+
+
+def test_bucket_test_sends_bitmaps_to_the_driver(spark, monkeypatch):
+    """A table that fills the buckets is a few rows at the driver, whose test lets the same words through as a set of buckets."""
+    from opinaria.operators import lexicon as L
+
+    words = spark.range(20_000).select(F.concat(F.lit("w"), F.col("id").cast("string")).alias("w"))
+    kind, rows = type(words), []
+    collect = kind.collect
+    monkeypatch.setattr(kind, "collect", lambda self: rows.append(collect(self)) or rows[-1])
+    test = L.bucket_test(words, "w")
+    assert sum(map(len, rows)) <= 16
+    monkeypatch.undo()
+    bucket = F.pmod(F.xxhash64("w"), F.lit(L.KNOWN_BUCKETS))
+    held = {r["b"] for r in words.select(bucket.alias("b")).distinct().collect()}
+    others = spark.range(50_000).select(F.concat(F.lit("v"), F.col("id").cast("string")).alias("w"))
+    for r in words.unionByName(others).select(test(F.col("w")).alias("t"), bucket.alias("b")).collect():
+        assert r["t"] == (r["b"] in held)
