@@ -203,3 +203,14 @@ def test_words_written_apart_and_together(spark):
     assert got == {1: "produto muito bom", 2: "produto bom muito", 3: "muito bom xyzxyz", 4: "muito bom", 5: "", 6: None} or got[6] in (None, "")
     assert [got[k] for k in (1, 2, 3, 4, 5)] == ["produto muito bom", "produto bom muito", "muito bom xyzxyz", "muito bom", ""]
     assert spell_check_compound(docs.limit(0), dictionary, bigrams).collect() == []
+
+
+def test_counted_terms_keep_their_partitions(spark):
+    """Narrow rows are few compressed bytes; merged by these, a task's memory grew with the table."""
+    from opinaria.operators import vectorize as V
+
+    docs = spark.range(40).select(F.col("id").alias("doc_id"), F.array(F.lit("ab"), F.lit("ab"), F.concat(F.lit("c"), F.col("id").cast("string"))).alias("terms"))
+    vocab = spark.createDataFrame([("ab", 0)], "term string, idx int")
+    counts = V.count_terms(docs, vocab)
+    assert {tuple(r) for r in counts.collect()} == {(i, "ab", 2) for i in range(40)}
+    assert counts.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
