@@ -137,3 +137,13 @@ def test_corrections_come_from_a_hash_table_of_the_row(spark):
     assert "try_element_at" not in found._jdf.queryExecution().analyzed().toString()
     wanted = {(1, " ".join(f"{w} x" for w in said)), (2, "kept words"), (3, ""), (4, None), (5, "wa0 x "), (5, "c wa0 x"), (None, "wa0")}
     assert {tuple(r) for r in found.select("doc_id", "text").collect()} == wanted and found.count() == 7
+
+
+def test_folding_by_words_equals_folding_sign_by_sign(spark):
+    rng = random.Random(5)
+    signs = "abz 9_.!\n\t" + "\u00e9\u00df\u0153\u00f1\u2122\u00a0\u2026\u0438\u0436\u0449\ud55c\u304b\u30b7\u05e7\u05e9\u00aa\ufb01\u2460\U0001F600" + "    "
+    texts = ["", " ", "  \u00e9  "] + ["".join(rng.choice(signs) for _ in range(rng.randrange(40))) for _ in range(300)]
+    spelled = dict(zip(signs, column(spark, list(signs), to_ascii)))
+    assert column(spark, texts, to_ascii) == ["".join(spelled[c] for c in t) for t in texts]
+    steps = lambda c: N.remove_short_words(N.squeeze_vowels(N.squeeze_spaces(N.letters_only(N.remove_control(to_ascii(N.remove_words_with_digits(c)))))))
+    assert column(spark, texts, N.normalize_text) == column(spark, texts, steps)
