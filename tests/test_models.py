@@ -340,3 +340,28 @@ def test_rare_terms_do_not_leave_their_row(spark, monkeypatch):
     spec = V.Vectorizer("t", 3, max_df=1.0, max_features=3)
     found = V.fit_vocabulary(rows.select(spec.terms(F.col("text")).alias("terms")), spec)
     assert [r.term for r in found.orderBy("term").collect()] == ["alpha", "alpha beta", "alpha beta gamma"] and sum(made[1:]) < 100
+
+
+def test_block_sums_equal_sums_over_rows(spark, monkeypatch):
+    from math import exp
+
+    from opinaria.models import stumps as ST
+
+    monkeypatch.setattr(ST, "BLOCK", 7)
+    made = [(i % 2 if i % 9 else None, [(f, float((i * f) % 4 - 1)) for f in (0, 2, 5) if (i * f) % 4 != 1 and (i + f) % 3]) for i in range(60)] + [(1, []), (0, None), (1, None)]
+    rows = spark.createDataFrame(made, "label int, cells array<struct<i int, v double>>").repartition(3)
+    pairs = ST.Pairs.of(rows, len(made))
+    stumps = [ST.Stump(2, -0.5, 0, 1, 0.3, 0.7), ST.Stump(5, 1.0, 1, 0, 0.3, 0.4), ST.Stump(-1, 0.0, 1, 1, 0.3, 0.2)]
+    w1, w0 = ST.sums_of(ST.in_blocks(rows, pairs), pairs, stumps, 0.5, 2.0)
+    want = {}
+    for label, cells in made:
+        held = dict(cells or [])
+        votes = [s.below if s.feature < 0 or held.get(s.feature, 0.0) <= s.threshold else s.above for s in stumps]
+        weight = 0.25 * exp(sum(s.say for s, vote in zip(stumps, votes) if label is not None and vote != label))
+        for cell in held.items():
+            want.setdefault(cell, [0.0, 0.0])[0 if label == 1 else 1] += weight
+    assert list(zip(pairs.i.tolist(), pairs.v.tolist())) == sorted(want)
+    for k, cell in enumerate(sorted(want)):
+        assert (w1[k], w0[k]) == pytest.approx(want[cell])
+    by_rows = rows.withColumn("w", F.lit(0.5)).withColumn("w", ST.weight_of(stumps, 2.0))
+    assert sum(r["w"] for r in by_rows.collect()) > 0
