@@ -214,3 +214,22 @@ def test_counted_terms_keep_their_partitions(spark):
     counts = V.count_terms(docs, vocab)
     assert {tuple(r) for r in counts.collect()} == {(i, "ab", 2) for i in range(40)}
     assert counts.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_visitors_bring_back_only_what_is_within_their_bound():
+    import numpy as np
+    import pandas as pd
+
+    data = pd.DataFrame({"id": [1, 2, 3, 4], "vec": [[0.0], [1.0], [2.0], [9.0]]})
+    query = pd.DataFrame({"id": [3, 10, 11], "vec": [[2.0], [1.5], [20.0]], "bound": [1.0, np.inf, 5.0]})
+    found = neighbors.dense_block(2)(query, data)
+    assert list(found.itertuples(index=False, name=None)) == [(3, 2, 1.0), (10, 2, 0.5), (10, 3, 0.5)]
+    sparse = lambda df: df.assign(idx=[[0]] * len(df), val=df["vec"])
+    assert neighbors.sparse_block(2)(sparse(query), sparse(data)).equals(found)
+
+
+def test_neighbouring_cells_share_a_group_while_they_fit_a_chunk():
+    import numpy as np
+
+    groups = neighbors._neighbouring(np.array([[9.0, 0], [0, 0], [5, 0], [1, 0], [np.inf, 0]]), np.array([3, 2, 7, 2, 0]), 7)
+    assert groups[1] == groups[3] != groups[2] != groups[0] and groups[0] != groups[1]
