@@ -233,3 +233,8 @@ def test_neighbouring_cells_share_a_group_while_they_fit_a_chunk():
 
     groups = neighbors._neighbouring(np.array([[9.0, 0], [0, 0], [5, 0], [1, 0], [np.inf, 0]]), np.array([3, 2, 7, 2, 0]), 7)
     assert groups[1] == groups[3] != groups[2] != groups[0] and groups[0] != groups[1]
+
+
+def test_repeated_ids_find_no_more_than_k(spark):
+    df = spark.range(300).selectExpr("id", "array(cast(id * 7 % 300 as double), cast(id * 11 % 13 as double)) as vec")
+    assert neighbors.k_nearest(df.unionByName(df), 4, n_pivots=12).groupBy("id").count().filter("count <> 4").collect() == []
