@@ -186,6 +186,14 @@ def test_scores_shuffle_nothing(spark):
     assert "Exchange" not in plan
 
 
+def test_a_batch_without_hits_scores_zero(spark):
+    docs = spark.createDataFrame([(1, "xx yy!"), (2, "")], "doc_id bigint, text string").coalesce(1)
+    lists = (spark.createDataFrame(WORDS, "word string, measure double"), boosters(spark), negations(spark))
+    rows = L.score_sentiment(docs, *lists).orderBy("doc_id").collect()
+    assert [(r["compound"], r["pos"], r["neg"], r["neu"]) for r in rows] == [(0.0, 0.0, 0.0, 1.0), (0.0, 0.0, 0.0, 0.0)]
+    assert [r["pos"] for r in L.token_valences(docs, *lists).collect()] == [-1, -1]
+
+
 def test_a_word_with_two_measures_is_two_rows(spark):
     docs = spark.createDataFrame([(1, "bom")], "doc_id bigint, text string")
     lexicon = spark.createDataFrame([("bom", 2.0), ("bom", 1.0)], "word string, measure double")
